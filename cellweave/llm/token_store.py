@@ -30,21 +30,16 @@ FORMAT = {
     "parquet.enable.dictionary#ids.list.element": "true",
     "parquet.dictionary.page.size": str(1 << 20),
 }
-#: Bytes of text a file holds, roughly.
-FILE_TEXT_BYTES = 24 << 20
-
 
 def write_token_store(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, end_id after each, and write the ids in ascending order of doc_id (null ids first; rows of one id by text).
 
     Null texts count as empty: end_id alone. The sort is by range, so any number of files are written side by side.
     """
-    spark = docs.sparkSession
     vocabulary = vocabulary or byte_bpe_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-total // FILE_TEXT_BYTES))
-    ordered = rows.repartitionByRange(int(files), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    files = max(1, docs.rdd.getNumPartitions())  # as many as the input has splits, so they grow with it
+    ordered = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file_no, at_id = PieceEncoder.of(vocabulary), TaskContext.get().partitionId(), 0

@@ -9,13 +9,16 @@ library treats them by its default.
 
 from __future__ import annotations
 
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond it the memory is emptied. Bounds memory, never results.
-CACHE_ENTRIES = 500_000
+#: Pieces that a worker remembers, some 60 bytes each; beyond it, it starts anew. Bounds memory, never results.
+CACHE_ENTRIES = 1_000_000
+#: Pieces handed to the library at once, which holds some 1 KB for each until its ids are taken.
+ENCODED_AT_ONCE = 10_000
 #: Bytes of one text that are cut at once.
 WINDOW = 8 << 20
 
@@ -64,7 +67,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces as one Arrow array, their ids in a row, and where each piece's begin."""
+        self.pieces, self.flat, self.begins = pa.array([], pa.large_binary()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -72,19 +79,29 @@ class PieceEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each distinct piece as little-endian unsigned 32-bit integers."""
-        known = self.known
-        missing = [p for p in pieces if p not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_ENTRIES:
-                known = self.known = {p: known[p] for p in pieces if p in known} if len(pieces) < CACHE_ENTRIES else {}
-            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in missing], add_special_tokens=False)
-            known |= zip(missing, (array("I", e.ids).tobytes() for e in got), strict=True)
-            missing_ids = None if len(known) >= len(pieces) else dict(zip(missing, (known[p] for p in missing), strict=True))
-            if missing_ids:
-                return [known.get(p) or missing_ids.get(p, b"") for p in pieces]
-        return [known[p] for p in pieces]
+    def _remember(self, pieces: pa.Array) -> None:
+        lengths, ids = [], []
+        for at in range(0, len(pieces), ENCODED_AT_ONCE):
+            texts = [p.decode("utf-8", "replace") for p in pieces.slice(at, ENCODED_AT_ONCE).to_pylist()]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), "<u4", int(lengths[-1].sum())))
+        ends = np.cumsum(np.concatenate(lengths))
+        self.begins = np.concatenate([self.begins, ends + self.begins[-1]])
+        self.flat = np.concatenate([self.flat, *ids])
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Where each distinct piece is among the known ones; new ones are encoded."""
+        found = pc.index_in(distinct, value_set=self.pieces)
+        if found.null_count:
+            missing = distinct.filter(found.is_null())
+            if len(self.pieces) + len(missing) > CACHE_ENTRIES:
+                self._forget()
+                missing = distinct
+            self._remember(missing)
+            found = pc.index_in(distinct, value_set=self.pieces)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Starts and ends of all pieces in the texts' buffer, them as an Arrow array, and the number before each text."""
@@ -105,32 +122,28 @@ class PieceEncoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]) if len(starts) else pa.array([], pa.large_binary())
         return starts, ends, pieces, np.searchsorted(starts, bounds)
 
-    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    def _looked_up(self, pieces: pa.Array) -> np.ndarray:
         coded = pieces.dictionary_encode()
-        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), self._encoded(coded.dictionary.to_pylist())
+        return self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text's begin (one more than texts)."""
         _, _, pieces, before = self._pieces(texts.fill_null(""))
-        which, coded = self._distinct(pieces)
-        each = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        first = np.cumsum(each) - each
-        lengths = each[which]
+        where = self._looked_up(pieces)
+        first, lengths = self.begins[where], np.diff(self.begins)[where]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        where = np.repeat(first[which] - ends[:-1], lengths) + np.arange(ends[-1])
-        return flat[where], ends[before]
+        at = np.repeat(first - ends[:-1], lengths)
+        at += np.arange(ends[-1])
+        return self.flat[at], ends[before]
 
     def prefix_counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dynamic programme over prefixes: byte offsets where pieces end (over all texts), the tokens up to each, and where each text's entries begin.
+        """Dynamic programme over prefixes: byte offsets where pieces end (in their text), the tokens up to each, and where each text's entries begin.
 
         tokens[k] = tokens[k - 1] + the tokens of piece k, restarted at each text; so tokens of the prefix that ends with piece k are exact.
         """
         texts = texts.fill_null("")
         starts, ends, pieces, before = self._pieces(texts)
-        which, coded = self._distinct(pieces)
-        each = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
-        running = np.cumsum(each[which])
+        running = np.cumsum(np.diff(self.begins)[self._looked_up(pieces)])
         if len(running):
             base = np.concatenate([[0], running])[before[:-1]]
             text_of = np.repeat(np.arange(len(texts)), np.diff(before))

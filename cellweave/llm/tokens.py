@@ -143,7 +143,8 @@ class PieceEncoder:
         """
         texts = texts.fill_null("")
         starts, ends, pieces, before = self._pieces(texts)
-        running = np.cumsum(np.diff(self.begins)[self._looked_up(pieces)])
+        where = self._looked_up(pieces)  # before begins is read: it may grow
+        running = np.cumsum(np.diff(self.begins)[where])
         if len(running):
             base = np.concatenate([[0], running])[before[:-1]]
             text_of = np.repeat(np.arange(len(texts)), np.diff(before))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import images, tables
+
 FLAGSHIP = "a4_cell_statistics"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = images.QUERIES | tables.QUERIES
+ORACLE_SQL = images.ORACLE_SQL | tables.ORACLE_SQL

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import decontaminate, licenses, toxicity
 
@@ -117,7 +118,7 @@ def test_toxicity_holds_out(spark):
     train, test = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0")
     model = toxicity.fit(docs, train)
     assert (np.diff(model.thresholds) > 0).all()
-    got = toxicity.score(docs, model).join(test, "doc_id").select("toxic", test["toxic"].alias("label"), "severity").collect()
+    got = toxicity.score(docs, model).join(test.select("doc_id", F.col("toxic").alias("label")), "doc_id").select("toxic", "label", "severity").collect()
     wrong = sum(bool(r[0]) != bool(r[1]) for r in got)
     assert wrong <= 0.03 * len(got)
     mean = [np.mean([r["severity"] for r in got if r[1] == k]) for k in (0, 1)]

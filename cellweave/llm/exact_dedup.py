@@ -107,6 +107,7 @@ def exact_duplicates(docs: DataFrame, **how) -> DataFrame:
     rows = common.materialize(block_identities(docs, **how), "identities")
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), "uid")
     groups = rows.groupBy("k", "name").agg(F.max(order).alias("last"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = common.materialize(groups, "groups")  # so that both sides of the join are plain shuffles, whose hot keys AQE can split
     same = rows.groupBy("k", "name", "doc_id").agg(F.count("*").alias("same")).where("same > 1")
     out = rows.join(groups, ["k", "name"])
     if same.isEmpty():

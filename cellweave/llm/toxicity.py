@@ -1,10 +1,11 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(threshold_k - w . x) with one weight vector for all thresholds; x marks which of the selected
-words a text holds. The expected grade is the severity; a document is toxic if P(grade >= 1) is one half or more.
+features a text holds: words, and starts of words (written with a star, for families of inflected and compound words).
+The expected grade is the severity; a document is toxic if P(grade >= 1) is one half or more.
 
-Grades come from the binary labels: 0 for clean rows; toxic rows are graded 1 to 3 by how many distinct selected words
-of the toxic side they hold (terciles of the sample). The model is fitted on a bounded sample of labelled rows
+Grades come from the binary labels: 0 for clean rows; toxic rows are graded 1 to 3 by how many selected features they
+hold (terciles of the sample). The model is fitted on a bounded sample of labelled rows
 (MAX_TOXIC, MAX_CLEAN, taken in hash order of doc_id); all other work covers all rows.
 """
 
@@ -19,13 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .decontaminate import as_texts, words
+from .decontaminate import _TABLE, as_texts
 
 #: Labelled rows that the model is fitted on, at most.
-MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
-#: Selected words, at most, and the least z score of their log odds ratio.
-MAX_WORDS, MIN_Z = 400, 6.0
+MAX_TOXIC, MAX_CLEAN = 3_000, 6_000
+#: Selected words, at most, and the least signed root of the log-likelihood ratio that tells their shares apart.
+MAX_WORDS, MIN_Z = 400, 4.0
 GRADES = 4
+#: Characters of the starts of words that are features; the least share of toxic rows (and number) that have a feature; toxic rows with it for each clean one.
+STARTS = (3, 4, 5, 6)
+LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.01, 4, 4
+
+
+def features(text: bytes, starts: tuple[int, ...] = STARTS) -> set[str]:
+    """Distinct words of a text (as in decontamination) and, with a star, their starts of these lengths."""
+    found = set(text.translate(_TABLE).decode("utf-8", "replace").split(" "))
+    found.discard("")
+    out = set(found)
+    for n in starts:
+        out |= {w[:n] + "*" for w in found if len(w) >= n}
+    return out
 
 
 @dataclass
@@ -39,6 +53,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(score[:, None] - self.thresholds[None, :], -60, 60)))
 
 
+#: Finds nothing toxic.
+NOTHING = Model([], np.zeros(0), np.array([30.0, 31.0, 32.0]))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
     """toxic (0/1) and words (distinct) of at most max_toxic + max_clean labelled documents, one row for equal texts' words.
 
@@ -50,7 +68,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
 
     @F.arrow_udf("array<string>")
     def distinct(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(w.decode("utf-8", "replace") for w in set(words(t))) for t in as_texts(texts)], pa.list_(pa.string()))
+        return pa.array([sorted(features(t)) for t in as_texts(texts)], pa.list_(pa.string()))
 
     # max_toxic + max_clean rows of two numbers: small whatever the corpus
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
@@ -58,19 +76,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
 
 
 def select_words(sample: DataFrame, totals: dict[int, int], max_words: int = MAX_WORDS, min_z: float = MIN_Z) -> list[tuple[str, float]]:
-    """Words whose share among toxic rows differs clearly from that among clean rows, with their z score."""
+    """Features that are clearly commoner among toxic rows than among clean rows, strongest first, with the root of the log-likelihood ratio."""
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return []
     counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    c, d = F.lit(n1 + 1.0) - a, F.lit(n0 + 1.0) - b
-    z = (F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    rows = counts.where("n >= 5").withColumn("z", z).where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "word").limit(max_words)
+    a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
+    share = F.col("n") / (n1 + n0)
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    cells = ((a, share * n1), (b, share * n0), (n1 - a, (1 - share) * n1), (n0 - b, (1 - share) * n0))
+    g = F.sqrt(F.greatest(2 * sum((part(seen, expected) for seen, expected in cells), F.lit(0.0)), F.lit(0.0)))
+    z = F.when(a / n1 >= b / n0, g).otherwise(-g)
+    clear = (a >= max(LEAST_ROWS, LEAST_SHARE * n1)) & (a >= LEAST_ODDS * b)
+    rows = counts.where(clear).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.col("z").desc(), F.length("word").desc(), "word").limit(max_words)  # of equals, the most specific
     return [(r["word"], r["z"]) for r in rows.collect()]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 0.5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def explaining(x: np.ndarray, toxic: np.ndarray) -> list[int]:
+    """Columns picked one by one, each the one that best tells the toxic rows without a picked word from the clean rows.
+
+    Words that merely stand beside others in copies of toxic texts explain nothing more and are left out.
+    """
+    kept: list[int] = []
+    left, clean = toxic == 1, toxic == 0
+    while left.any():
+        n1, n0 = left.sum(), clean.sum()
+        a, b = x[left].sum(0), x[clean].sum(0)
+        share = (a + b) / (n1 + n0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = sum(np.where(seen > 0, seen * np.log(seen / want), 0) for seen, want in ((a, share * n1), (b, share * n0), (n1 - a, (1 - share) * n1), (n0 - b, (1 - share) * n0)))
+        score = np.where(a / n1 > b / max(n0, 1), np.sqrt(np.maximum(2 * g, 0)), -1)
+        score[kept] = -1
+        best = int(score.argmax())
+        if score[best] <= 0:
+            break
+        kept.append(best)
+        left = left & (x[:, best] == 0)
+    return kept
+
+
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 0.02, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of the cumulative-link model, by gradient steps with momentum (Adam) on the mean loss."""
     n, m = x.shape
     w, first, gaps = np.zeros(m), 0.0, np.zeros(grades - 2)
@@ -106,17 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     chosen = select_words(sample, totals)
     if not chosen:
-        return Model([], np.zeros(0), np.array([30.0, 31.0, 32.0]))
+        return NOTHING
     names = [w for w, _ in chosen]
-    positive = np.array([z > 0 for _, z in chosen])
     place = {w: k for k, w in enumerate(names)}
-    listed = F.array_intersect("words", F.array(*[F.lit(w) for w in names]))
+    listed = F.array_intersect("words", F.array(*[F.lit(w) for w in names]).cast("array<string>"))
     rows = sample.select("toxic", listed.alias("words")).collect()  # the sample's rows, with selected words only
     x, toxic = np.zeros((len(rows), len(names))), np.array([r["toxic"] for r in rows])
     for k, r in enumerate(rows):
         x[k, [place[w] for w in r["words"]]] = 1
-    held = x[:, positive].sum(1)
-    edges = np.quantile(held[toxic == 1], [1 / 3, 2 / 3])
+    kept = explaining(x, toxic)
+    if not kept:
+        return NOTHING
+    x, names = x[:, kept], [names[k] for k in kept]
+    held = x.sum(1)
+    edges = np.quantile(held[(toxic == 1) & (held > 0)], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (held > edges[0]).astype(int) + (held > edges[1]), 0)
     return Model(names, *fit_ordinal(x, grade))
 
@@ -124,9 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
 def _scored(model: Model):
     @F.arrow_udf("severity double, p_toxic double, grade int")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        weight = {w.encode(): float(v) for w, v in zip(model.words, model.weights, strict=True)}
+        weight = dict(zip(model.words, model.weights.tolist(), strict=True))
+        starts = tuple(sorted({len(w) - 1 for w in model.words if w.endswith("*")}))
         for texts in batches:
-            score = np.array([sum(weight[w] for w in sorted(set(words(t)) & weight.keys())) for t in as_texts(texts)], float)
+            score = np.array([sum(weight[w] for w in sorted(features(t, starts) & weight.keys())) for t in as_texts(texts)], float)
             below = model.at_most(score)
             p = np.diff(np.concatenate([np.zeros((len(score), 1)), below, np.ones((len(score), 1))], 1))
             yield pa.StructArray.from_arrays([pa.array((1 - below).sum(1)), pa.array(1 - below[:, 0]), pa.array(p.argmax(1).astype(np.int32))], ["severity", "p_toxic", "grade"])

@@ -36,10 +36,7 @@ def tile_positions(tiles: DataFrame, by: Sequence[str] = ("row_id", "well")) ->
 
 def missing_tiles(tiles: DataFrame, axes: Sequence[str]) -> DataFrame:
     """Combinations of the axes' values that no tile has, each once. The grid is the product of short lists of distinct values."""
-    grid = None
-    for axis in axes:
-        values = tiles.agg(F.array_sort(F.collect_set(axis)).alias(axis))
-        grid = values if grid is None else grid.join(values, F.lit(True))
+    grid = tiles.agg(*[F.array_sort(F.collect_set(axis)).alias(axis) for axis in axes])
     for axis in axes:
         grid = grid.withColumn(axis, F.explode(axis))
     return grid.join(tiles.select(*axes).distinct(), list(axes), "left_anti")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import images, tables
+from . import images, more, tables
 
 FLAGSHIP = "a4_cell_statistics"
-QUERIES = images.QUERIES | tables.QUERIES
-ORACLE_SQL = images.ORACLE_SQL | tables.ORACLE_SQL
+QUERIES = images.QUERIES | tables.QUERIES | more.QUERIES
+ORACLE_SQL = images.ORACLE_SQL | tables.ORACLE_SQL | more.ORACLE_SQL

@@ -55,7 +55,7 @@ def w6_compressed_rows(spark, d):
 
 
 @query(f"""{_TILES}, t AS (SELECT * FROM tiles WHERE tile_id % 9 <> 0), g AS (SELECT * FROM (SELECT DISTINCT row_id FROM t), (SELECT DISTINCT well FROM t), (SELECT DISTINCT x_pos FROM t), (SELECT DISTINCT y_pos FROM t), (SELECT DISTINCT channel FROM t))
-    SELECT row_id, well, x_pos, y_pos, channel FROM g ANTI JOIN t USING (row_id, well, x_pos, y_pos, channel)""")
+    SELECT row_id, well, x_pos, y_pos, channel FROM g EXCEPT SELECT row_id, well, x_pos, y_pos, channel FROM t""")
 def j9_missing_tiles(spark, d):
     tiles = plates.tile_positions(A.stage_positions(spark, d)).where("tile_id % 9 != 0")
     return plates.missing_tiles(tiles, ["row_id", "well", "x_pos", "y_pos", "channel"])

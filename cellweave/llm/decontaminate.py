@@ -63,18 +63,19 @@ class Automaton:
         return found, np.array(sorted(hit), np.int64)
 
 
-def _blocks(items: DataFrame, most: int) -> list[list[tuple[str, bytes]]]:
-    """Benchmark items in blocks of at most `most` bytes of text; each is small enough for the driver and for a broadcast."""
+def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Benchmark items in blocks of at most `most` bytes of text, one at a time; each fits the driver and a broadcast. One empty block without items."""
     rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    blocks: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
+    block: list[tuple[str, bytes]] = []
+    size = sent = 0
     for row in rows.toLocalIterator():
+        if block and size + len(row["text"]) > most:
+            yield block
+            block, size, sent = [], 0, sent + 1
+        block.append((row["item_id"], bytes(row["text"])))
         size += len(row["text"])
-        if size > most and blocks[-1]:
-            blocks.append([])
-            size = len(row["text"])
-        blocks[-1].append((row["item_id"], bytes(row["text"])))
-    return blocks
+    if block or not sent:
+        yield block
 
 
 STATE = "n_words long, hits array<int>, found array<string>"
@@ -110,9 +111,8 @@ def as_texts(column: pa.Array) -> Iterator[bytes]:
 
 def found_in(docs: DataFrame, items: DataFrame, state: str, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """docs with the column `state`: n_words, hits (positions of words hit), found (items). Scanned where docs are read; no shuffle."""
-    blocks = _blocks(items, block_bytes)
     docs = docs.withColumn(state, F.lit(None).cast(f"struct<{STATE.replace(' long', ':long').replace(' array', ':array')}>"))
-    for block in blocks:
+    for block in _blocks(items, block_bytes):
         docs = docs.withColumn(state, _pass(docs.sparkSession.sparkContext.broadcast(block), size)(F.col(text_col), F.col(state)))
     return docs
 

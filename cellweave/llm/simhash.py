@@ -29,7 +29,9 @@ _CHUNK = 1 << 18
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 segments of 64 bits."""
+    """(shift, width) of distance + 1 segments of 64 bits; two of them and a chain's number have to fit a 64-bit key."""
+    if not 2 <= distance <= 15:
+        raise ValueError("the distance has to lie between 2 and 15 bits")
     count = distance + 1
     widths = [64 // count + (k < 64 % count) for k in range(count)]
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]

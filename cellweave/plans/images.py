@@ -68,11 +68,11 @@ def p7_min_max(spark, d):
     return pixels.min_max(A.pixels(spark, d)).select("image_id", "y", "x", r6(F.col("normalized"), "normalized"))
 
 
-@query(f"""{with_views('px')}, b AS (SELECT image_id, floor(quantile_cont(value::DOUBLE, 0.01)) AS lo, floor(quantile_cont(value::DOUBLE, 0.99)) AS hi FROM px GROUP BY image_id)
+@query(f"""{with_views('px')}, b AS (SELECT image_id, floor(quantile_cont(value::DOUBLE, 0.25)) AS lo, floor(quantile_cont(value::DOUBLE, 0.75)) AS hi FROM px GROUP BY image_id)
     SELECT {_KEY}, trunc({_QN} * 65535)::INT AS normalized FROM px JOIN b USING (image_id)""")
 def p8_normalize_truncated_bounds(spark, d):
     """Integer bounds, then back to 16 bits."""
-    out = pixels.normalize_quantiles(A.pixels(spark, d), low=0.01, high=0.99, truncate=True)
+    out = pixels.normalize_quantiles(A.pixels(spark, d), low=0.25, high=0.75, truncate=True)
     return out.select("image_id", "y", "x", pixels.to_uint(F.col("normalized")).alias("normalized"))
 
 

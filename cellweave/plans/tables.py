@@ -95,11 +95,11 @@ def o4_split_fractions(spark, d):
     return sampling.split_fractions(A.table(spark, d, "documents").select("doc_id"), [0.7, 0.2, 0.1], ["train", "val", "test"], "doc_id").select("doc_id", "split")
 
 
-@query(f"""WITH s AS (SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'fr')), c AS (SELECT lang, source, count(*) AS n FROM s GROUP BY 1, 2), q AS (SELECT lang, source, round_even(40 * n / sum(n) OVER (PARTITION BY lang), 0)::BIGINT AS quota FROM c),
+@query(f"""WITH s AS (SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'fr')), c AS (SELECT lang, source, count(*) AS n FROM s GROUP BY 1, 2), q AS (SELECT lang, source, round_even(20 * n / sum(n) OVER (PARTITION BY lang), 0)::BIGINT AS quota FROM c),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY {_HASH}, doc_id) AS k FROM s) SELECT doc_id, lang, source FROM r JOIN q USING (lang, source) WHERE k <= quota""")
 def o3_balanced(spark, d):
     rows = A.table(spark, d, "documents").where("lang in ('en', 'fr')").select("doc_id", "lang", "source")
-    return sampling.balanced_per_class(rows, "lang", "source", "doc_id", 40).select("doc_id", "lang", "source")
+    return sampling.balanced_per_class(rows, "lang", "source", "doc_id", 20).select("doc_id", "lang", "source")
 
 
 @query("WITH n AS (SELECT least(greatest((count(*) + 7) // 8, 100), 1000) AS size FROM documents) SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS save_index, (row_number() OVER (ORDER BY doc_id) - 1) // size AS batch FROM documents, n")

@@ -17,11 +17,7 @@ TYPE_SIZE = {1: 1, 3: 2, 4: 4}
 TYPE_CODE = {1: "B", 3: "H", 4: "I"}
 
 
-def read_tiff(data: bytes) -> np.ndarray:
-    """The first page of an uncompressed grey TIFF of 8 or 16 bits; other files are an error."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
+def _tags(data: bytes, order: str) -> dict[int, tuple[int, ...]]:
     at = struct.unpack_from(order + "I", data, 4)[0]
     tags = {}
     for k in range(struct.unpack_from(order + "H", data, at)[0]):
@@ -30,6 +26,18 @@ def read_tiff(data: bytes) -> np.ndarray:
         if kind in TYPE_SIZE:
             place = entry + 8 if n * TYPE_SIZE[kind] <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
             tags[tag] = struct.unpack_from(f"{order}{n}{TYPE_CODE[kind]}", data, place)
+    return tags
+
+
+def read_tiff(data: bytes) -> np.ndarray:
+    """The first page of an uncompressed grey TIFF of 8 or 16 bits; other files are an error."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+        raise ValueError("not a TIFF file")
+    try:
+        tags = _tags(data, order)
+    except struct.error as e:
+        raise ValueError("a cut TIFF file") from e
     bits = tags.get(BITS, (1,))[0]
     if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1 or bits not in (8, 16):
         raise ValueError("only uncompressed grey TIFF files of 8 or 16 bits are read")

@@ -4,7 +4,7 @@ from cellweave.operators import plates, sampling
 
 
 def clusters(spark, values):
-    df = spark.createDataFrame([(v,) for v in values], "px double")
+    df = spark.createDataFrame([(float(v),) for v in values], "px double")
     return [r["x_pos"] for r in plates.cluster_positions(df, "px", "x_pos").orderBy("px").collect()]
 
 

@@ -17,6 +17,8 @@ from . import common
 WORDS = 8
 #: Keys a block takes on average; about 1 false positive in 2,000.
 KEYS_A_BLOCK = 24
+#: Rules, and bytes of their hosts and paths, up to which filter and rules are sent to all executors; larger lists are joined by shuffles.
+SENT_RULES, SENT_BYTES = 100_000, 8 << 20
 #: The named rules of the production filter: (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -57,12 +59,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     """page_id, host, path, rule (like net/; null where none fits) and verdict, a row per row of pages.
 
     The longest rule wins: by host and path together, then by host; of repeated rules, the least verdict. Rules with a
-    null host or path never fit; a null verdict counts as the default. Joins to the filter and the rules carry no
-    hints: Spark sends a side to all executors only when it has measured it to be small. Empty rules give the default.
+    null host or path never fit; a null verdict counts as the default. Filter and rules are counted first and sent to all
+    executors if they are small (SENT_RULES, SENT_BYTES). Empty rules give the default.
     """
     listed = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.min(F.coalesce("verdict", F.lit(default))).alias("verdict"))
     listed = listed.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    shape = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
+    size = F.sum(F.octet_length("host") + F.octet_length("path"))
+    shape = listed.agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("bytes"), F.collect_set(F.length("path")).alias("lengths")).first()
+    sent = F.broadcast if shape["n"] <= SENT_RULES and shape["bytes"] <= SENT_BYTES else lambda side: side
     blocks = max(1, -(-shape["n"] // KEYS_A_BLOCK))
     lengths = F.array(*[F.lit(int(x)) for x in sorted(shape["lengths"])]) if shape["lengths"] else F.array().cast("array<int>")
 
@@ -78,9 +82,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     passes = F.lit(True)
     for w in range(WORDS):
         passes = passes & (F.expr(f"shiftright(w{w}, bit{w}) & 1L") == 1)
-    possible = probes.join(bloom_filter(listed, blocks), "block", "left").withColumn("possible", F.coalesce(passes, F.lit(False)))
+    possible = probes.join(sent(bloom_filter(listed, blocks)), "block", "left").withColumn("possible", F.coalesce(passes, F.lit(False)))
     exact = listed.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    hit = possible.join(exact, F.col("possible") & (F.col("ask_host") == F.col("rule_host")) & (F.col("ask_path") == F.col("rule_path")), "left")
+    hit = possible.join(sent(exact), F.col("possible") & (F.col("ask_host") == F.col("rule_host")) & (F.col("ask_path") == F.col("rule_path")), "left")
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
     best = hit.groupBy("uid", "page_id", "host", "path").agg(F.max(F.when(F.col("rule_host").isNotNull(), rank)).alias("best"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -34,8 +34,10 @@ def many_rules():
     return url_filter.RULES + [(f"h{rng.randint(0, 400)}.net", f"/{rng.choice('abc')}{rng.randint(0, 9)}"[: rng.randint(1, 3)], rng.choice(["allow", "block"])) for _ in range(300)]
 
 
+@pytest.mark.parametrize("sent", [100_000, 0], ids=["sent", "shuffled"])
 @pytest.mark.parametrize("rules", [url_filter.RULES, [], many_rules()], ids=["named", "none", "many"])
-def test_urls(spark, rules):
+def test_urls(spark, monkeypatch, rules, sent):
+    monkeypatch.setattr(url_filter, "SENT_RULES", sent)
     seen = {}
     for h, p, v in rules:  # of repeated rules, the least verdict
         seen[h, p] = min(v, seen.get((h, p), v))

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
 from .decontaminate import as_texts, words
 
 SHINGLE = 5

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +131,10 @@ def assign_slots(pieces: DataFrame, capacity: int = 2048, salts: int = SALTS) ->
     )
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, on_pieces: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """All documents packed into sequences of at most `capacity` tokens.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     pieces = common.materialize(token_pieces(docs, capacity, end_id, vocabulary), "pieces")
-    return assign_slots(pieces if on_pieces is None else on_pieces(pieces), capacity)
+    return assign_slots(pieces, capacity)

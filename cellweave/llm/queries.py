@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, licenses, packing, simhash, token_counts, token_store, toxicity, url_filter
 from .common import new_path, read

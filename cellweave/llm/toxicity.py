@@ -7,10 +7,14 @@ The expected grade is the severity; a document is toxic if P(grade >= 1) is one
 Grades come from the binary labels: 0 for clean rows; toxic rows are graded 1 to 3 by how many selected features they
 hold (terciles of the sample). The model is fitted on a bounded sample of labelled rows
 (MAX_TOXIC, MAX_CLEAN, taken in hash order of doc_id); all other work covers all rows.
+
+Words that merely stand beside others in copies of toxic texts must not count, so near copies among the toxic rows of
+the sample count once in the test that selects features. All features that pass it are kept, whatever stands beside them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +31,14 @@ MAX_TOXIC, MAX_CLEAN = 3_000, 6_000
 #: Selected words, at most, and the least signed root of the log-likelihood ratio that tells their shares apart.
 MAX_WORDS, MIN_Z = 400, 4.0
 GRADES = 4
-#: Characters of the starts of words that are features; the least share of toxic rows (and number) that have a feature; toxic rows with it for each clean one.
+#: Characters of the starts of words that are features; toxic rows with a feature for each clean one.
 STARTS = (3, 4, 5, 6)
-LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.01, 4, 4
+LEAST_ODDS = 4
+#: Rows that may well be there where a sample shows none (the rule of three).
+UNSEEN = 3
+#: MinHash values of a text's five-word shingles, and the share of them that near copies have in common.
+SHINGLE, COPY_SHARE = 5, 0.3
+_FACTORS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def features(text: bytes, starts: tuple[int, ...] = STARTS) -> set[str]:
@@ -42,6 +51,32 @@ def features(text: bytes, starts: tuple[int, ...] = STARTS) -> set[str]:
     return out
 
 
+def sketch(text: bytes) -> list[int]:
+    """MinHash of a text's shingles of SHINGLE words."""
+    h = np.array([zlib.crc32(w) for w in text.translate(_TABLE).split()] or [0], np.uint64)
+    n = max(len(h) - SHINGLE + 1, 1)
+    s = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(h))):
+        s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    s = np.unique(s ^ (s >> np.uint64(31)))
+    return [int((s * f).min() >> np.uint64(32)) for f in _FACTORS]
+
+
+def copy_groups(sketches: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows that near copies link."""
+    parent = np.arange(len(sketches))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for i in range(len(sketches)):
+        for j in np.flatnonzero((sketches[i + 1 :] == sketches[i]).mean(1) >= COPY_SHARE) + i + 1:
+            parent[root(int(j))] = root(i)
+    return np.array([root(k) for k in range(len(sketches))], np.int64)
+
+
 @dataclass
 class Model:
     words: list[str]
@@ -58,7 +93,7 @@ NOTHING = Model([], np.zeros(0), np.array([30.0, 31.0, 32.0]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
-    """toxic (0/1) and words (distinct) of at most max_toxic + max_clean labelled documents, one row for equal texts' words.
+    """toxic (0/1), words (distinct) and, of toxic rows, sketch of at most max_toxic + max_clean labelled documents, one row for equal texts' words.
 
     Labels with a null id or value don't count; where an id has several, toxic wins.
     """
@@ -70,49 +105,83 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     def distinct(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(features(t)) for t in as_texts(texts)], pa.list_(pa.string()))
 
+    @F.arrow_udf("array<long>")
+    def sketched(texts: pa.Array) -> pa.Array:
+        return pa.array([sketch(t) for t in as_texts(texts)], pa.list_(pa.int64()))
+
     # max_toxic + max_clean rows of two numbers: small whatever the corpus
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    return rows.select("toxic", distinct("text").alias("words")).groupBy("words").agg(F.max("toxic").alias("toxic"))
+    rows = rows.select("toxic", distinct("text").alias("words"), sketched(F.when(F.col("toxic") == 1, F.col("text"))).alias("sketch"))
+    rows = rows.groupBy("words").agg(F.max("toxic").alias("toxic"), F.max(F.struct("toxic", "sketch")).alias("m"))
+    return rows.select("words", "toxic", F.when(F.col("toxic") == 1, F.col("m.sketch")).alias("sketch"))
+
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with part: a number for each row, shared by toxic rows that are near copies (at most max_toxic sketches are collected)."""
+    sample = sample.withColumn("row", F.xxhash64("words"))
+    held = sample.where("toxic = 1").select("row", "sketch").orderBy("row").collect()
+    if not held:
+        return sample.withColumn("part", F.col("row"))
+    parts = copy_groups(np.array([r["sketch"] for r in held], np.int64))
+    linked = sample.sparkSession.createDataFrame([(r["row"], held[p]["row"]) for r, p in zip(held, parts.tolist(), strict=True)], "row long, _part long").distinct()
+    return sample.join(F.broadcast(linked), "row", "left").withColumn("part", F.coalesce("_part", "row")).drop("_part")
 
-def select_words(sample: DataFrame, totals: dict[int, int], max_words: int = MAX_WORDS, min_z: float = MIN_Z) -> list[tuple[str, float]]:
-    """Features that are clearly commoner among toxic rows than among clean rows, strongest first, with the root of the log-likelihood ratio."""
+
+def select_words(sample: DataFrame, totals: dict[int, int], max_words: int = MAX_WORDS, min_z: float = MIN_Z) -> list[tuple[str, float, int]]:
+    """Features that are clearly commoner among toxic rows than among clean rows, strongest first, with the root of the log-likelihood ratio and the toxic rows that have them.
+
+    sample: with part, the rows of which count once; totals: the number of parts by toxic.
+    """
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return []
-    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    once = sample.select("toxic", "part", F.explode("words").alias("word")).distinct()
+    counts = once.groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where("a > 0")
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     share = F.col("n") / (n1 + n0)
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     cells = ((a, share * n1), (b, share * n0), (n1 - a, (1 - share) * n1), (n0 - b, (1 - share) * n0))
     g = F.sqrt(F.greatest(2 * sum((part(seen, expected) for seen, expected in cells), F.lit(0.0)), F.lit(0.0)))
     z = F.when(a / n1 >= b / n0, g).otherwise(-g)
-    clear = (a >= max(LEAST_ROWS, LEAST_SHARE * n1)) & (a >= LEAST_ODDS * b)
-    rows = counts.where(clear).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.col("z").desc(), F.length("word").desc(), "word").limit(max_words)  # of equals, the most specific
-    return [(r["word"], r["z"]) for r in rows.collect()]
+    rows = counts.where(a >= LEAST_ODDS * b).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.col("z").desc(), F.length("word").desc(), "word").limit(max_words)  # of equals, the most specific
+    return [(r["word"], r["z"], r["a"]) for r in rows.collect()]
+
 
+def covers(start: str, name: str) -> bool:
+    """Whether texts with this feature's word always have `start` too."""
+    return start == name or (start.endswith("*") and name.removesuffix("*").startswith(start[:-1]))
 
-def explaining(x: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Columns picked one by one, each the one that best tells the toxic rows without a picked word from the clean rows.
 
-    Words that merely stand beside others in copies of toxic texts explain nothing more and are left out.
+def telling(names: list[str], x: np.ndarray, toxic: np.ndarray) -> list[int]:
+    """All columns but starts of words that add nothing to longer features under them: the same rows, or else rows that don't have the odds of a feature.
+
+    So loser keeps its place and lose* goes, where lose* without loser is as common in clean rows. Of a word and its own
+    start with the same rows, the start stays, for inflected forms. Different words stay, whatever stands beside them.
     """
+    stem = [len(n.removesuffix("*")) for n in names]
     kept: list[int] = []
-    left, clean = toxic == 1, toxic == 0
-    while left.any():
-        n1, n0 = left.sum(), clean.sum()
-        a, b = x[left].sum(0), x[clean].sum(0)
-        share = (a + b) / (n1 + n0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = sum(np.where(seen > 0, seen * np.log(seen / want), 0) for seen, want in ((a, share * n1), (b, share * n0), (n1 - a, (1 - share) * n1), (n0 - b, (1 - share) * n0)))
-        score = np.where(a / n1 > b / max(n0, 1), np.sqrt(np.maximum(2 * g, 0)), -1)
-        score[kept] = -1
-        best = int(score.argmax())
-        if score[best] <= 0:
-            break
-        kept.append(best)
-        left = left & (x[:, best] == 0)
-    return kept
+    for k in sorted(range(len(names)), key=lambda k: (-stem[k], names[k].endswith("*"))):
+        under = [j for j in kept if covers(names[k], names[j])]
+        left = (x[:, k] == 1) & ~(x[:, under] == 1).any(1)
+        if under and (toxic[left] == 1).sum() < LEAST_ODDS * (toxic[left] == 0).sum():
+            continue
+        same = [j for j in under if (x[:, j] == x[:, k]).all()]
+        if any(stem[j] > stem[k] for j in same):
+            continue
+        kept = [j for j in kept if j not in same] + [k]
+    return sorted(kept)
+
+
+def raised(names: list[str], weights: np.ndarray, threshold: float, which: np.ndarray) -> np.ndarray:
+    """weights, with those of these features raised until a text that holds one of them alone is toxic.
+
+    The fit can't tell words apart that always stand together and shares one weight among them.
+    """
+    out = weights.copy()
+    for k in sorted(np.flatnonzero(which), key=lambda k: len(names[k])):
+        alone = sum(out[j] for j in range(len(names)) if covers(names[j], names[k]))
+        out[k] += max(0.0, threshold + 1e-6 - alone)
+    return out
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 0.02, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +217,27 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: floa
 def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
     """A model from labelled documents; without rows of both kinds, one that finds nothing toxic."""
     sample = common.materialize(labelled_sample(docs, labels, **how), "toxicity-sample")
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    chosen = select_words(sample, totals)
+    once = without_copies(sample)
+    totals = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.countDistinct("part").alias("n")).collect()}
+    chosen = select_words(once, totals)
     if not chosen:
         return NOTHING
-    names = [w for w, _ in chosen]
+    names = [w for w, _, _ in chosen]
     place = {w: k for k, w in enumerate(names)}
     listed = F.array_intersect("words", F.array(*[F.lit(w) for w in names]).cast("array<string>"))
     rows = sample.select("toxic", listed.alias("words")).collect()  # the sample's rows, with selected words only
     x, toxic = np.zeros((len(rows), len(names))), np.array([r["toxic"] for r in rows])
     for k, r in enumerate(rows):
         x[k, [place[w] for w in r["words"]]] = 1
-    kept = explaining(x, toxic)
-    if not kept:
-        return NOTHING
+    kept = telling(names, x, toxic)
+    often = np.array([chosen[k][2] for k in kept])
     x, names = x[:, kept], [names[k] for k in kept]
     held = x.sum(1)
     edges = np.quantile(held[(toxic == 1) & (held > 0)], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (held > edges[0]).astype(int) + (held > edges[1]), 0)
-    return Model(names, *fit_ordinal(x, grade))
+    weights, thresholds = fit_ordinal(x, grade)
+    certain = (often >= LEAST_ODDS * UNSEEN) & ~(x[toxic == 0] == 1).any(0)
+    return Model(names, raised(names, weights, thresholds[0], certain), thresholds)
 
 
 def _scored(model: Model):

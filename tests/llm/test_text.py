@@ -126,6 +126,23 @@ def test_toxicity_holds_out(spark):
     assert mean[1] > mean[0] + 0.5
 
 
+def test_toxicity_of_words_that_others_accompany(spark):
+    """Every toxic row holds boor; a text with only one of the words beside it is toxic too. Words of one text's near copies aren't features."""
+    rng = np.random.default_rng(3)
+    plain = [f"plain{k}" for k in range(300)]
+    text = lambda *more: " ".join([*rng.choice(plain, 30), *more])
+    texts = [(k, text("boor", *rng.permutation(["lout", "churl", "knave"])[:2])) for k in range(60)]
+    copied = [f"beside{k}" for k in range(40)]
+    texts += [(100 + k, " ".join(["boor", *copied, f"copy{k}"])) for k in range(20)]
+    texts += [(200 + k, text()) for k in range(300)]
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in texts], "doc_id long, toxic int")
+    asked = {"boor": True, "lout": True, "a churl": True, "knave": True, "lout and knave": True, "beside3": False, "beside3 beside4": False, "plain3": False}
+    docs = spark.createDataFrame(texts + [(1000 + k, t) for k, t in enumerate(asked)], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert {t: got[1000 + k] for k, t in enumerate(asked)} == asked
+    assert all(got[i] == (i < 200) for i, _ in texts)
+
+
 def test_severity_grows_with_words(spark):
     model = toxicity.Model(["bad", "worse", "worst"], np.array([6.0, 6.0, 6.0]), np.array([3.0, 8.0, 14.0]))
     docs = spark.createDataFrame([(0, "fine"), (1, "Bad!"), (2, "bad and worse"), (3, "bad worse worst"), (4, None), (5, "")], "doc_id long, text string")

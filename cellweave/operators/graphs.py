@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +18,34 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+def _rounds(most: int | None) -> Iterator[int]:
+    """1, 2, ... without an end, or an error beyond `most`: a loop that isn't done has no right result."""
+    for k in count(1):
+        if most is not None and k > most:
+            raise RuntimeError(f"not settled after {most} rounds")
+        yield k
+
+
+def components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): the least node that edges lead to, by passing labels on and jumping over them."""
     both = _both(edges)
     now = _cut(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(most):
+    for _ in _rounds(most):
         seen = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = now.join(seen, now["node"] == seen["a"], "left").select("node", F.least("component", "near").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         step = _cut(step.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")))
-        changed = step.join(now.withColumnRenamed("component", "was"), "node").where("component != was").isEmpty()
+        settled = step.join(now.withColumnRenamed("component", "was"), "node").where("component != was").isEmpty()
         now = step
-        if changed:
-            break
-    return now
+        if settled:
+            return now
 
 
-def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int = 200) -> DataFrame:
+def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int | None = None) -> DataFrame:
     """(component, centre): a node of least eccentricity per component (the first of ties), by hop counts between its nodes. For graphs of tiles, whose components are small."""
     both = _both(edges)
     reached = _cut(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops")))
-    for hop in range(1, most):
+    for hop in _rounds(most):
         step = reached.where(F.col("hops") == hop - 1).join(both, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"), F.lit(hop).alias("hops")).distinct()
         new = _cut(step.join(reached.select("src", "dst"), ["src", "dst"], "left_anti"))
         if new.isEmpty():
@@ -45,20 +55,24 @@ def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int
     return far.join(parts, "node").groupBy("component").agg(F.min_by("node", F.struct("ecc", "node")).alias("centre"))
 
 
-def positions(edges: DataFrame, centres: DataFrame, most: int = 500) -> DataFrame:
-    """(node, component, y, x, cost): shifts added up along the cheapest path from each component's centre, relaxed until nothing improves."""
+def positions(edges: DataFrame, centres: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, component, y, x, cost): shifts added up along the cheapest path from each component's centre, relaxed until nothing improves.
+
+    That takes no more rounds than there are nodes, unless errors are negative, which is refused.
+    """
     both = _both(edges.where("error < double('inf')"), "dy", "dx", "error")
     zero = F.lit(0.0)
     now = _cut(centres.select(F.col("centre").alias("node"), "component", zero.alias("y"), zero.alias("x"), zero.alias("cost")))
-    for _ in range(most):
+    if not both.where("error < 0").isEmpty():
+        raise ValueError("negative errors have no cheapest paths")
+    for _ in _rounds(most):
         moved = now.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "component", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (F.col("cost") + F.col("error")).alias("cost"))
         best = now.unionByName(moved).groupBy("node").agg(F.min(F.struct("cost", "component", "y", "x")).alias("m"))
         step = _cut(best.select("node", "m.component", "m.y", "m.x", "m.cost"))
         better = step.join(now.select("node", F.col("cost").alias("was")), "node", "left").where("was is null or cost < was - 1e-12").isEmpty()
         now = step
         if better:
-            break
-    return now
+            return now
 
 
 def fit_positions(found: DataFrame, nominal: DataFrame) -> DataFrame:

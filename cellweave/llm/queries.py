@@ -21,7 +21,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+    """The prefix table of every whole text is stored; counts and limits are looked up in it."""
+    path = new_path(spark, "prefix-table")
+    token_counts.write_prefix_table(read(spark, sf_dir, "documents"), path)
+    return token_counts.within(token_counts.read_prefix_table(spark, path), 2048)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

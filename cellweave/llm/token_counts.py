@@ -1,4 +1,8 @@
-"""Token counts by a dynamic programme over prefixes: any truncation or budget question is a search in its table."""
+"""Token counts by a dynamic programme over prefixes: any truncation or budget question is a look into its stored table.
+
+The table holds, for each text, the exact tokens of its first 1, 2, ... characters. Counts hardly differ from one
+character to the next, so Parquet's delta coding stores an entry in about a bit.
+"""
 
 from __future__ import annotations
 
@@ -6,54 +10,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import PieceEncoder, word_bpe_path
+from .prefixes import PrefixCounter
+from .tokens import word_bpe_path
+
+TABLE = "doc_id long, n_bytes long, prefix_tokens array<int>"
+#: Delta-coded integers; row groups small enough that a reader holds few long texts' tables at once.
+FORMAT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10)}
+#: Text bytes whose table is built at once: four bytes an entry, a few times over.
+SLICE_BYTES = 2 << 20
 
 
-def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str | None = None, prefixes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, limit_bytes; with prefixes also the tables themselves.
+def prefix_table(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_bytes (UTF-8), prefix_tokens: the tokens of the text's first 1, 2, ... characters, each as the library has them for that prefix alone.
 
-    limit_bytes: bytes of the longest prefix, ending between pieces, of at most `limit` tokens. prefix_bytes and
-    prefix_tokens: for each piece end, the bytes and the exact number of tokens up to it. Null texts count as empty: no
-    bytes, no tokens, empty tables. Special strings inside a text count as the library's default has it.
+    Null texts count as empty: no bytes, an empty table. Special strings inside a text count as the library's default has
+    it. Null and repeated ids are kept row by row, an empty input gives no rows, other columns are left out whatever their
+    names. Where docs are read the table is made; nothing is shuffled.
     """
     path = vocabulary or word_bpe_path()
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long" + ", prefix_bytes array<long>, prefix_tokens array<long>" * prefixes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(path)
+        counter = PrefixCounter.of(path)
+        for batch in batches:
+            for part in common.slices(batch, 1, SLICE_BYTES):
+                texts = part.column(1).fill_null("")
+                tokens, at = counter.table(texts)
+                n_bytes = np.diff(np.frombuffer(texts.cast(pa.large_binary()).buffers()[1], np.int64, len(texts) + 1, texts.offset * 8))
+                yield pa.record_batch([part.column(0), pa.array(n_bytes, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32()))], ["doc_id", "n_bytes", "prefix_tokens"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, TABLE)
+
+
+def write_prefix_table(docs: DataFrame, path: str, **how) -> None:
+    prefix_table(docs, **how).write.options(**FORMAT).parquet(path)
+
+
+def read_prefix_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TABLE).parquet(path)
+
+
+def within(table: DataFrame, budget: int) -> DataFrame:
+    """Per row of the table: doc_id, n_bytes, n_tokens, over_limit (n_tokens > budget), fit_chars and fit_tokens: characters and tokens of the longest prefix of at most `budget` tokens.
+
+    Counts may fall from one prefix to the next (when a special string or a longer word is completed), so the last entry
+    within the budget is taken, not the first beyond it. A budget below the first character's tokens fits no character.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, 1):
-                ends, tokens, at = encoder.prefix_counts(part.column(1))
-                some = np.diff(at) > 0
-                last = np.maximum(at[1:] - 1, 0)
-                n_bytes = np.where(some, ends[last] if len(ends) else 0, 0)
-                n_tokens = np.where(some, tokens[last] if len(tokens) else 0, 0)
-                within = np.concatenate([[0], np.cumsum(tokens <= limit)])
-                fits = within[at[1:]] - within[at[:-1]]  # entries within the limit, as counts only grow
-                cut = np.where(fits > 0, ends[np.maximum(at[:-1] + fits - 1, 0)] if len(ends) else 0, 0)
-                columns = [part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_tokens > limit), pa.array(cut, pa.int64())]
-                names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"]
-                if prefixes:
-                    columns += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int64())) for x in (ends, tokens)]
-                    names += ["prefix_bytes", "prefix_tokens"]
-                yield pa.record_batch(columns, names)
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(count, schema)
-
-
-def tokens_up_to(counts: DataFrame, n_bytes: int) -> DataFrame:
-    """doc_id, tokens of each text's first pieces that end within n_bytes, from the stored tables (prefixes=True)."""
-    k = F.size(F.filter("prefix_bytes", lambda x: x <= n_bytes))
-    return counts.select("doc_id", F.when(k > 0, F.element_at("prefix_tokens", F.greatest(k, F.lit(1)))).otherwise(0).cast("long").alias("n_tokens"))
-
-
-def truncated(counts: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
-    """doc_id and the longest prefix of each text, ending between pieces, of at most `budget` tokens; no text is encoded again. counts: with prefixes=True."""
-    k = F.size(F.filter("prefix_tokens", lambda x: x <= budget))
-    ends = counts.select("doc_id", F.when(k > 0, F.element_at("prefix_bytes", F.greatest(k, F.lit(1)))).otherwise(0).alias("_cw_end"))
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", text.alias("_cw_text")).join(ends, "doc_id").select("doc_id", F.expr("cast(substring(_cw_text, 1, cast(_cw_end as int)) as string)").alias("text"))
+            lists = batch.column(2)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            tokens = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+            at = at - at[0]
+            some = np.diff(at) > 0
+            n_tokens = np.zeros(len(some), np.int64)
+            n_tokens[some] = tokens[at[1:][some] - 1]
+            fits = np.flatnonzero(tokens <= budget)
+            last = np.searchsorted(fits, at[1:]) - 1
+            end = np.where(last >= 0, fits[np.maximum(last, 0)] if len(fits) else -1, -1)
+            chars = np.where(some & (end >= at[:-1]), end - at[:-1] + 1, 0)
+            fit = np.zeros(len(some), np.int64)
+            fit[chars > 0] = tokens[end[chars > 0]]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(n_tokens > budget), pa.array(chars), pa.array(fit)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "fit_tokens"])
+
+    return table.select("doc_id", "n_bytes", "prefix_tokens").mapInArrow(look, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, fit_tokens long")
+
+
+def tokens_up_to(table: DataFrame, n_chars: int) -> DataFrame:
+    """doc_id, n_tokens of each text's first n_chars characters (of all, where it has no more)."""
+    k = F.least(F.lit(n_chars), F.size("prefix_tokens"))
+    return table.select("doc_id", F.when(k > 0, F.element_at("prefix_tokens", F.greatest(k, F.lit(1)))).otherwise(0).cast("long").alias("n_tokens"))
+
+
+def truncated(table: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
+    """doc_id and the longest prefix of each text, ending at any character, of at most `budget` tokens; no text is encoded again. Ids are unique and not null."""
+    ends = within(table, budget).select("doc_id", F.col("fit_chars").cast("int").alias("_cw_end"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts.join(ends, "doc_id").select("doc_id", F.col("text").substr(F.lit(1), F.col("_cw_end")).alias("text"))

@@ -3,7 +3,7 @@
 A text is cut where every split rule of the two vocabularies (byte_bpe_50k, word_bpe_49k) ends a pre-token whatever
 follows: before ASCII white space that follows something else, and before one of ``,.!?;:`` that follows an ASCII
 letter. Token sequences of such pieces join to the text's own, so each distinct piece is encoded once by the library
-and looked up afterwards. Special strings hold neither white space nor these marks and stay in one piece, so the
+and looked up afterwards (prefixes.py counts the prefixes of pieces). Special strings hold neither white space nor these marks and stay in one piece, so the
 library treats them by its default.
 """
 
@@ -136,28 +136,6 @@ class PieceEncoder:
         at += np.arange(ends[-1])
         return self.flat[at], ends[before]
 
-    def prefix_counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dynamic programme over prefixes: byte offsets where pieces end (in their text), the tokens up to each, and where each text's entries begin.
-
-        tokens[k] = tokens[k - 1] + the tokens of piece k, restarted at each text; so tokens of the prefix that ends with piece k are exact.
-        """
-        texts = texts.fill_null("")
-        starts, ends, pieces, before = self._pieces(texts)
-        where = self._looked_up(pieces)  # before begins is read: it may grow
-        running = np.cumsum(np.diff(self.begins)[where])
-        if len(running):
-            base = np.concatenate([[0], running])[before[:-1]]
-            text_of = np.repeat(np.arange(len(texts)), np.diff(before))
-            running = running - base[text_of]
-            ends = ends - starts[before[:-1].clip(max=len(starts) - 1)][text_of]
-        return ends, running, before
-
-    def piece_prefix(self, piece: bytes, budget: int) -> int:
-        """Bytes of the longest prefix of one piece, ending at a character, that has at most `budget` tokens."""
-        text = piece.decode("utf-8", "replace")
-        tokens = [len(e.ids) for e in self.tokenizer.encode_batch_fast([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
-        return len(text[: max(k for k, n in enumerate(tokens) if n <= budget)].encode())
-
 
 def byte_bpe_path() -> str:
     import public_tokenizers

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cellweave.llm import packing, token_counts, token_store, tokens
+from cellweave.llm import packing, prefixes, token_counts, token_store, tokens
+from cellweave.llm import queries
 from cellweave.llm.common import new_path
 
 PATHS = [tokens.byte_bpe_path(), tokens.word_bpe_path()]
@@ -23,11 +24,40 @@ def test_pieces_are_exact(path, texts):
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     flat, at = encoder.ids(pa.array(texts))
     assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
-    ends, counts, begins = encoder.prefix_counts(pa.array(texts))
-    for k, t in enumerate(texts):
-        table = list(zip(ends[begins[k] : begins[k + 1]].tolist(), counts[begins[k] : begins[k + 1]].tolist()))
-        assert [n for _, n in table] == [len(library.encode(t.encode()[:e].decode(), add_special_tokens=False).ids) for e, _ in table]
-        assert not t or table[-1] == (len(t.encode()), len(want[k]))
+
+
+def every_prefix(library, text):
+    return [len(e.ids) for e in library.encode_batch_fast([text[:k] for k in range(1, len(text) + 1)], add_special_tokens=False)]
+
+
+JOINED = [*PARTS, "か", "\u3099", "\u1100", "\u1161", "\u11a8", "Ｘ", "本" * 20, "n" * 30, "---", "<|endoftext|>" * 2, "ß"]
+
+
+@pytest.mark.parametrize("path", PATHS)
+@pytest.mark.parametrize("short", [48, 4])
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(JOINED), max_size=30).map("".join), min_size=1, max_size=5))
+def test_every_prefix_is_exact(path, short, texts):
+    """Against the library on each prefix, with all pieces long and with few."""
+    counter, was = prefixes.PrefixCounter.of(path), prefixes.SHORT
+    library, prefixes.SHORT = counter.tokenizer, short
+    counter._forget()
+    try:
+        got, at = counter.table(pa.array([*texts, None, ""]))
+    finally:
+        prefixes.SHORT = was
+        counter._forget()
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [every_prefix(library, t) for t in texts] + [[], []]
+
+
+UNSPACED = ["日本語の文章はスペースなしで続きます。" * 12, "x1" * 150, "n" * 300, "ab" * 200, "-" * 300, " " * 300, "\u3000" * 90 + "x", "don't" * 60, "ไทยไม่มีช่องว่าง" * 15, "か\u3099" * 120, "\u1112\u1161\u11ab" * 60, "İ" * 120, "é" * 130, "<|endoftext|>" * 20, "QmFzZTY0+/=" * 30, "😀" * 80]
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_every_prefix_of_long_pieces(path):
+    library, counter = Tokenizer.from_file(path), prefixes.PrefixCounter(path)
+    for text in UNSPACED:
+        assert counter.of_long(text).tolist() == every_prefix(library, text), text[:20]
 
 
 def test_windows_and_forgetting(monkeypatch):
@@ -114,34 +144,80 @@ def test_plan_equals_best_fit_by_document(histogram):
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
 
 
-def test_token_counts(spark, docs, rows, empty_docs, clashing):
+def stored_table(spark, docs, **how):
+    path = new_path(spark, "prefix-table")
+    token_counts.write_prefix_table(docs, path, **how)
+    return token_counts.read_prefix_table(spark, path)
+
+
+def counted(rows, limit):
     library = Tokenizer.from_file(PATHS[1])
-    want = sorted((str(r[0]), len((r[1] or "").encode()), n, n > 100) for r in rows for n in [len(library.encode(r[1] or "", add_special_tokens=False).ids)])
-    for frame in (docs, clashing):
-        got = token_counts.token_counts(frame, limit=100).collect()
-        assert sorted((str(g["doc_id"]), g["n_bytes"], g["n_tokens"], g["over_limit"]) for g in got) == want
-    assert token_counts.token_counts(empty_docs).count() == 0
+    return sorted((str(r[0]), len((r[1] or "").encode()), n, n > limit) for r in rows for n in [len(library.encode(r[1] or "", add_special_tokens=False).ids)])
+
 
+def test_token_counts(spark, docs, rows, empty_docs, clashing):
+    """Null, empty and long texts, null and repeated ids, clashing columns, an empty table."""
+    from pyspark.sql import functions as F
 
-def test_truncation_from_the_table(spark, rows):
+    for frame in (docs, clashing.select("*", F.lit(1).alias("prefix_tokens"), F.lit(2).alias("n_bytes"))):
+        got = token_counts.within(stored_table(spark, frame), 100).collect()
+        assert sorted((str(g["doc_id"]), g["n_bytes"], g["n_tokens"], g["over_limit"]) for g in got) == counted(rows, 100)
+    assert token_counts.within(stored_table(spark, empty_docs), 100).count() == 0
+
+
+@pytest.mark.parametrize("budget", [0, 1, 20, 300])
+def test_truncation_from_the_table(spark, rows, budget):
+    """The longest prefix within the budget among all prefixes, of texts with and without spaces."""
     library = Tokenizer.from_file(PATHS[1])
-    some = [(i, r[1]) for i, r in enumerate(rows) if r[1] and len(r[1]) < 5000]
+    some = list(enumerate([r[1] for r in rows if r[1] is None or len(r[1]) < 800] + UNSPACED + ["a <|endoftext|> b <|endoftext|>" * 5]))
     docs = spark.createDataFrame(some, "doc_id long, text string")
-    counts = token_counts.token_counts(docs, limit=20, prefixes=True)
-    cut = {r["doc_id"]: r["text"] for r in token_counts.truncated(counts, docs, 20).collect()}
-    limit = {r["doc_id"]: r["limit_bytes"] for r in counts.collect()}
+    table = stored_table(spark, docs)
+    cut = {r["doc_id"]: r["text"] for r in token_counts.truncated(table, docs, budget).collect()}
+    fits = {r["doc_id"]: (r["fit_chars"], r["fit_tokens"]) for r in token_counts.within(table, budget).collect()}
     for i, text in some:
-        n = len(library.encode(cut[i], add_special_tokens=False).ids)
-        assert n <= 20 and text.startswith(cut[i]) and limit[i] == len(cut[i].encode())
-        assert cut[i] == text or n + len(library.encode(text[len(cut[i]) :].split(" ")[0] or " ", add_special_tokens=False).ids) >= 0
-    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.tokens_up_to(counts, 1 << 30).collect()} == {r["doc_id"]: r["n_tokens"] for r in counts.collect()}
-
-
-def test_prefix_inside_a_piece():
-    encoder, library = tokens.PieceEncoder.of(PATHS[1]), Tokenizer.from_file(PATHS[1])
-    word = b"incomprehensibilities"
-    k = encoder.piece_prefix(word, 2)
-    assert len(library.encode(word[:k].decode(), add_special_tokens=False).ids) <= 2 < len(library.encode(word.decode(), add_special_tokens=False).ids)
+        counts = [0, *every_prefix(library, text or "")]
+        best = max(k for k, n in enumerate(counts) if n <= budget)
+        assert cut[i] == (text or "")[:best] and fits[i] == (best, counts[best])
+    for n in (0, 1, 17, 1 << 30):
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.tokens_up_to(table, n).collect()}
+        assert got == {i: len(library.encode((t or "")[:n], add_special_tokens=False).ids) for i, t in some}
+
+
+def test_unspaced_text_over_the_limit(spark):
+    """81,000 bytes without an ASCII blank: the table has an entry for each character, and the cut is no empty text."""
+    text = "日本語文章" * 5400
+    docs = spark.createDataFrame([(1, text), (2, "x1" * 5000)], "doc_id long, text string")
+    table = stored_table(spark, docs)
+    library = Tokenizer.from_file(PATHS[1])
+    for r in token_counts.truncated(table, docs, 2048).collect():
+        whole = text if r["doc_id"] == 1 else "x1" * 5000
+        count = lambda k: len(library.encode(whole[:k], add_special_tokens=False).ids)  # noqa: B023, E731
+        assert whole.startswith(r["text"]) and count(len(r["text"])) <= 2048 < count(len(r["text"]) + 1)
+
+
+def test_table_is_delta_coded(spark, docs):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = new_path(spark, "prefix-table")
+    token_counts.write_prefix_table(docs, path)
+    for file in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            column = next(c for c in map(meta.row_group(g).column, range(meta.num_columns)) if c.path_in_schema.startswith("prefix_tokens"))
+            assert "DELTA_BINARY_PACKED" in column.encodings
+            assert column.num_values < 1000 or column.total_compressed_size < column.num_values
+
+
+def test_op4_and_op6_on_whole_tables(spark, tiny):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").orderBy("doc_id").collect()]
+    got = queries.op4_token_counts(spark, tiny).collect()
+    assert sorted((str(g["doc_id"]), g["n_bytes"], g["n_tokens"], g["over_limit"]) for g in got) == counted(rows, 2048)
+    stored, at = sorted(queries.op6_token_store(spark, tiny).collect(), key=lambda r: r["start"]), 0
+    for g, r, ids in zip(stored, rows, reference_ids(rows, 2), strict=True):
+        assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (r[0], at, len(ids), crc(ids))
+        at += len(ids)
 
 
 def test_token_store(spark, docs, rows, empty_docs):

@@ -58,22 +58,28 @@ def bloom_filter(rules: DataFrame, blocks: int) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (like net/; null where none fits) and verdict, a row per row of pages.
 
-    The longest rule wins: by host and path together, then by host; of repeated rules, the least verdict. Rules with a
-    null host or path never fit; a null verdict counts as the default. Filter and rules are counted first and sent to all
-    executors if they are small (SENT_RULES, SENT_BYTES). Empty rules give the default.
+    The longest rule wins: by host and path together, then by host; of repeated rules (hosts compare without A-Z case),
+    the least verdict. Rules with a null host or path never fit; a null verdict counts as the default. A null url, or one
+    without ://, has an empty host and path. Null and repeated ids are judged row by row; other columns of pages are left
+    out, whatever their names; no pages give no rows. Filter and rules are counted first and sent to all executors if
+    they are small (SENT_RULES, SENT_BYTES). Empty rules give the default.
     """
-    listed = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.min(F.coalesce("verdict", F.lit(default))).alias("verdict"))
-    listed = listed.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    size = F.sum(F.octet_length("host") + F.octet_length("path"))
-    shape = listed.agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("bytes"), F.collect_set(F.length("path")).alias("lengths")).first()
+    lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host")
+    stated = rules.where("host is not null and path is not null").select(lower, "path", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    listed = stated.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))  # once hosts are lower-cased: ORG and org are one rule
+    bytes_ = F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))
+    depth, longest = F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)), F.coalesce(F.max(F.length("host")), F.lit(0))
+    shape = listed.agg(F.count("*").alias("n"), bytes_.alias("bytes"), F.collect_set(F.length("path")).alias("lengths"), depth.alias("depth"), longest.alias("longest")).first()
     sent = F.broadcast if shape["n"] <= SENT_RULES and shape["bytes"] <= SENT_BYTES else lambda side: side
     blocks = max(1, -(-shape["n"] // KEYS_A_BLOCK))
     lengths = F.array(*[F.lit(int(x)) for x in sorted(shape["lengths"])]) if shape["lengths"] else F.array().cast("array<int>")
 
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # no more suffixes than the deepest rule has labels, and none longer than the longest: work per url doesn't grow with its host
+    labels = F.slice(F.reverse(F.split("host", r"\.")), F.lit(1), F.lit(max(shape["depth"], 1)))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, F.lit(1), i)), "."))
+    suffixes = F.filter(suffixes, lambda s: F.length(s) <= shape["longest"])
     starts = F.filter(lengths, lambda n: n <= F.length("path"))
     asked = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.struct(s.alias("ask_host"), F.col("path").substr(F.lit(1), n).alias("ask_path")))))
     asked = rows.select("*", F.explode_outer(asked).alias("ask")).select("uid", "page_id", "host", "path", "ask.*")

@@ -56,6 +56,20 @@ def test_urls_empty_and_filtered(spark):
     assert sorted(r["page_id"] for r in url_filter.drop_blocked(pages, rules).collect()) == [2, 3]
 
 
+def test_urls_hosts_of_any_length_and_case(spark):
+    """A host of a megabyte of labels takes seconds; rules that differ in their host's case alone are one rule."""
+    import time
+
+    table = spark.createDataFrame([("ORG", "/", "block"), ("org", "/", "allow"), ("b.Org", "/x", "block"), ("a.b.c.d", "/", "allow")], "host string, path string, verdict string")
+    long = "a." * 500_000
+    urls = [f"http://{long}org/x", f"http://{long}b.org/xy", "http://" + "n" * 1_000_000 + "/x", f"http://{long}/", "http://org/" + "p" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, table, "block").select("page_id", "rule", "verdict").collect()}
+    assert time.time() - began < 60
+    assert got == {0: ("org/", "allow"), 1: ("b.org/x", "block"), 2: (None, "block"), 3: (None, "block"), 4: ("org/", "allow")}
+
+
 def test_bloom_has_no_false_negatives(spark):
     rules = many_rules()
     table = spark.createDataFrame(rules, "host string, path string, verdict string").distinct()

@@ -21,8 +21,8 @@ from . import common
 from .tokens import PieceEncoder, byte_bpe_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Salts that a length's documents are dealt over.
-SALTS = 256
+#: Pieces of one length that are ranked in one window; a commoner length is dealt over as many as it takes.
+RANKED_AT_ONCE = 100_000
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -97,18 +97,20 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return runs
 
 
-def assign_slots(pieces: DataFrame, capacity: int = 2048, salts: int = SALTS) -> DataFrame:
-    """pieces (doc_id, piece, length, ...; materialised, as it is read twice) with sequence_id and offset.
+def assign_slots(pieces: DataFrame, capacity: int = 2048, ranked_at_once: int = RANKED_AT_ONCE) -> DataFrame:
+    """pieces (doc_id, piece, length, ...; materialised, as it is read three times) with sequence_id and offset.
 
-    Ties in (doc_id, piece) may take each other's slots of the same length; every piece has exactly one slot. An empty
-    input gives no rows.
+    Each length has as many salts as its count asks for, so neither the windows nor the counts by salt depend on how
+    common a length is. Ties in (doc_id, piece) may take each other's slots of the same length; every piece has exactly
+    one slot. An empty input gives no rows.
     """
     spark = pieces.sparkSession
-    bucket, rank, local, first, base = common.fresh(pieces, "bucket", "rank", "local", "first", "base")
-    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    bucket, salts, local, base = common.fresh(pieces, "bucket", "salts", "local", "base")
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most `capacity` rows
+    of_length = spark.createDataFrame([(n, max(1, -(-k // ranked_at_once))) for n, k in histogram.items()], f"length long, {salts} long")
+    dealt = pieces.join(F.broadcast(of_length), "length").withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.col(salts)))
     counts = dealt.groupBy("length", bucket).agg(F.count("*").alias("n"))
-    counts = common.materialize(counts, "pack-counts")  # at most capacity * salts rows
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
+    counts = common.materialize(counts, "pack-counts")
     runs = spark.createDataFrame(plan_runs(histogram, capacity), "length long, run_rank long, run_n long, run_sequence long, per long, run_offset long")
     before = Window.partitionBy("length").orderBy(bucket)
     bases = counts.withColumn(base, F.sum("n").over(before) - F.col("n"))
@@ -134,7 +136,9 @@ def assign_slots(pieces: DataFrame, capacity: int = 2048, salts: int = SALTS) ->
 def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """All documents packed into sequences of at most `capacity` tokens.
 
-    Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts count as empty (a
+    piece of end_id alone); null and repeated ids are packed row by row; columns of docs besides doc_id and text are left
+    out, whatever their names; no documents give no rows.
     """
     pieces = common.materialize(token_pieces(docs, capacity, end_id, vocabulary), "pieces")
     return assign_slots(pieces, capacity)

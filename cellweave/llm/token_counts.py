@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,7 @@ def prefix_table(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
             for part in common.slices(batch, 1, SLICE_BYTES):
                 texts = part.column(1).fill_null("")
                 tokens, at = counter.table(texts)
-                n_bytes = np.diff(np.frombuffer(texts.cast(pa.large_binary()).buffers()[1], np.int64, len(texts) + 1, texts.offset * 8))
-                yield pa.record_batch([part.column(0), pa.array(n_bytes, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32()))], ["doc_id", "n_bytes", "prefix_tokens"])
+                yield pa.record_batch([part.column(0), pc.binary_length(texts).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32()))], ["doc_id", "n_bytes", "prefix_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, TABLE)
 

@@ -62,7 +62,8 @@ def reference_fp(text):
     return sum(1 << b for b in range(64) if hashes and sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def reference_near(rows, distance=4):
+def reference_parts(rows, distance=4):
+    """A number for each row, shared by rows that links lead to."""
     fps = [reference_fp(r[1]) for r in rows]
     parent = list(range(len(rows)))
 
@@ -76,11 +77,15 @@ def reference_near(rows, distance=4):
         for b in range(a):
             if (fps[a] ^ fps[b]).bit_count() <= distance:
                 parent[find(a)] = find(b)
-    groups = defaultdict(list)
-    for k, r in enumerate(rows):
-        groups[find(k)].append(r[0])
+    return [find(k) for k in range(len(rows))]
+
+
+def reference_near(rows, distance=4):
+    parts, groups = reference_parts(rows, distance), defaultdict(list)
+    for part, r in zip(parts, rows):
+        groups[part].append(r[0])
     name = {k: min((i for i in ids if i is not None), default=None) for k, ids in groups.items()}
-    return sorted(((r[0], f"{fps[k]:016x}", name[find(k)]) for k, r in enumerate(rows)), key=repr)
+    return sorted(((r[0], f"{reference_fp(r[1]):016x}", name[part]) for part, r in zip(parts, rows)), key=repr)
 
 
 def test_near(docs, rows, clashing, empty_docs):
@@ -88,8 +93,58 @@ def test_near(docs, rows, clashing, empty_docs):
     for frame in (docs, clashing):
         assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(frame).collect()), key=repr) == want
     assert simhash.near_duplicates(empty_docs).count() == 0
-    kept = sorted((r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()), key=repr)
-    assert kept == sorted((i for i, _, c in want if i is None or i == c), key=repr)
+    for frame in (docs, clashing):
+        kept = simhash.drop_near_duplicates(frame)
+        assert kept.columns == frame.columns
+        assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=repr) == one_of_each(rows)
+    assert simhash.drop_near_duplicates(empty_docs).count() == 0
+
+
+def one_of_each(rows):
+    """Of each component the row with the least id, nulls last, then the least SHA-256; its repeats are it."""
+    groups = defaultdict(list)
+    for (i, t), part in zip([(r[0], r[1] or "") for r in rows], reference_parts(rows)):
+        groups[part].append((i is None, i or 0, hashlib.sha256(t.encode()).hexdigest(), i, t))
+    return sorted(((g[3], g[4]) for members in groups.values() for g in members if g[:3] == min(members)[:3]), key=repr)
+
+
+def test_near_drop_tells_texts_of_one_id_apart(spark):
+    text = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, text), (5, text + " more"), (5, "something else entirely that has nothing to do with it"), (None, text), (7, "lonely")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[2], rows[4]])
+
+
+def test_hot_keys_are_dealt_by_blocks(spark):
+    """2,000 fingerprints under one key, in blocks of 100: the same components as brute force, and no group of more than two blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    high = rng.integers(0, 1 << 38, 1200, dtype=np.uint64) << np.uint64(26)  # the first two segments are zero
+    near = np.concatenate([high[:200] ^ (np.uint64(1) << rng.integers(26, 64, 200, dtype=np.uint64)) for _ in range(4)])
+    fps = np.unique(np.concatenate([high, near]))
+    got = simhash.link_forest(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), together=100)
+    links = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in got.collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in links) and len(links) < 20 * len(fps)
+    listed = [int(f) for f in fps]
+    want = [(a, listed[k]) for i, a in enumerate(listed) for k in np.flatnonzero(np.bitwise_count(fps[:i] ^ np.uint64(a)) <= 4)]
+    assert components_of(listed, links) == components_of(listed, want)
+
+
+def components_of(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    groups = defaultdict(set)
+    for n in nodes:
+        groups[find(n)].add(n)
+    return {frozenset(g) for g in groups.values()}
 
 
 def test_hash_equals_spark(spark):

@@ -116,6 +116,18 @@ def test_packing_skewed_and_empty(spark, empty_docs, clashing, rows):
     check_packing(packing.pack(clashing, 128).collect(), rows, 128)
 
 
+def test_common_lengths_are_dealt(spark):
+    """A length of 5,000 pieces over 500 windows of about ten, one of three pieces over one."""
+    rows = [(i, 0, 0, 7, i) for i in range(5000)] + [(i, 0, 0, 3, i) for i in range(5000, 5003)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    got = packing.assign_slots(pieces, 20, ranked_at_once=10).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(5003))
+    filled = defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(filled) == 2500 and all(sorted(v) == [(0, 7), (7, 7), (14, 3), (17, 3)][: len(v)] for v in filled.values())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 300), max_size=30))
 def test_plan_equals_best_fit_by_document(histogram):
@@ -163,6 +175,12 @@ def test_token_counts(spark, docs, rows, empty_docs, clashing):
         got = token_counts.within(stored_table(spark, frame), 100).collect()
         assert sorted((str(g["doc_id"]), g["n_bytes"], g["n_tokens"], g["over_limit"]) for g in got) == counted(rows, 100)
     assert token_counts.within(stored_table(spark, empty_docs), 100).count() == 0
+    was, token_counts.SLICE_BYTES = token_counts.SLICE_BYTES, 500  # many slices of a batch
+    try:
+        got = token_counts.within(stored_table(spark, docs), 100).collect()
+    finally:
+        token_counts.SLICE_BYTES = was
+    assert sorted((str(g["doc_id"]), g["n_bytes"], g["n_tokens"], g["over_limit"]) for g in got) == counted(rows, 100)
 
 
 @pytest.mark.parametrize("budget", [0, 1, 20, 300])

@@ -40,31 +40,27 @@ def _ranked(counts: DataFrame) -> DataFrame:
     return dealt.withColumn("within", within).join(bases, "range").select("h", "n", (F.col("base") + F.col("within")).alias("name"))
 
 
-def _named(rows: DataFrame, content: DataFrame, keys: list[str], level: str, lookup: DataFrame | None = None) -> DataFrame:
-    """rows (uid, i, k, h, ...) with the name of each row's content in place of h.
+def _named(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (uid, i, k, h, ...; materialised) with the name of each row's content in place of h.
 
-    content: (h, *keys) of all rows. lookup: rows with keys too, only read for hashes that several contents share.
+    counts: contents by hash. rows have the content (keys) wherever several contents share a hash; there it decides.
     """
-    counts = common.materialize(_contents(content, keys), f"names-{level}")
-    names = _ranked(counts)
-    named = rows.join(names, "h")
+    named = rows.join(_ranked(counts), "h")
+    rest = [c for c in keys if c in rows.columns]
     if counts.where("n > 1").isEmpty():
-        return named.drop("h", "n", *[c for c in keys if c in rows.columns])
-    met = counts.where("n > 1").select("h")
-    ties = content.join(F.broadcast(met) if met.count() < 10_000 else met, "h").distinct()
-    ties = ties.withColumn("tie", F.row_number().over(Window.partitionBy("h").orderBy(*keys)) - 1)
-    told = (lookup if lookup is not None else rows).join(ties.withColumnsRenamed({k: f"tie_{k}" for k in keys}), "h")
-    for k in keys:
-        told = told.where(F.col(k).eqNullSafe(F.col(f"tie_{k}")))
-    told = told.select("uid", "i", F.col("tie"))
-    out = named.where("n = 1").withColumn("tie", F.lit(0)).unionByName(named.where("n > 1").join(told, ["uid", "i"]))
-    return out.withColumn("name", F.col("name") + F.col("tie")).drop("h", "n", "tie", *[c for c in keys if c in rows.columns])
+        return named.drop("h", "n", *rest)
+    met = named.where("n > 1")
+    ties = met.select("h", *keys).distinct().withColumn("tie", F.row_number().over(Window.partitionBy("h").orderBy(*keys)) - 1)
+    out = named.where("n = 1").withColumn("tie", F.lit(0)).unionByName(met.join(ties, ["h", *keys]))
+    return out.withColumn("name", F.col("name") + F.col("tie")).drop("h", "n", "tie", *rest)
 
 
 def block_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", hashed: Column | None = None) -> DataFrame:
     """Per row of docs: uid (a number of its own), doc_id, text_sha256, k (blocks) and name; (k, name) is the text's identity.
 
     Null texts count as empty: one empty block. hashed: the 64-bit hash of `block`, for tests of colliding hashes.
+    Numbers of rows are given in one place, a table that is written before it is used, so a lost executor can't change
+    them. Tables of single levels are deleted once the identities are written.
     """
     hash_of = F.xxhash64("block") if hashed is None else hashed
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -73,11 +69,20 @@ def block_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: st
     rows = rows.withColumn("k", F.greatest(F.lit(1), F.ceil(F.octet_length("bytes") / block_bytes)).cast("int"))
     cut = F.expr(f"transform(sequence(0, k - 1), i -> substring(bytes, i * {block_bytes} + 1, {block_bytes}))")
     blocks = rows.select("uid", "doc_id", "text_sha256", "k", F.posexplode(cut).alias("i", "block")).withColumn("h", hash_of)
-    first = F.when(F.col("i") == 0, F.col("text_sha256"))
-    base = common.materialize(blocks.select("uid", "doc_id", "k", "i", "h", first.alias("text_sha256")), "blocks")
+    blocks = blocks.select("uid", "doc_id", "k", "i", "h", F.when(F.col("i") == 0, F.col("text_sha256")).alias("text_sha256"), "block")
+    made = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(common.materialize(df, name))
+        return made[-1]
+
+    base = written(blocks.drop("block"), "blocks")
+    counts = written(_contents(blocks.select("h", "block"), ["block"]), "names-0")
+    met = counts.where("n > 1").select("h", F.lit(True).alias("met"))
+    if not met.isEmpty():  # hardly ever: all rows are numbered and written anew, with the blocks whose hash isn't theirs alone
+        base = written(blocks.join(met, "h", "left").withColumn("block", F.when(F.col("met"), F.col("block"))).drop("met"), "met-blocks")
     most = base.agg(F.max("k")).first()[0] or 0
-    content = blocks.select("h", "block")
-    level = common.materialize(_named(base.select("uid", "i", "k", "h"), content, ["block"], "0", blocks.select("uid", "i", "h", "block")), "level-0")
+    level = written(_named(base.drop("doc_id", "text_sha256"), counts, ["block"]), "level-0")
     done, number = [level.where("k = 1").select("uid", "name")], 0
     left = 1
     while left < most:
@@ -89,22 +94,27 @@ def block_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: st
             .agg(F.max(F.expr("if(i % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(i % 2 = 1, name, null)")), F.lit(-1)).alias("b"))
             .withColumn("h", F.xxhash64("a", "b"))
         )
-        pairs = common.materialize(pairs, f"pairs-{number}")
-        level = common.materialize(_named(pairs, pairs.select("h", "a", "b"), ["a", "b"], str(number)), f"level-{number}")
+        pairs = written(pairs, f"pairs-{number}")
+        counts = written(_contents(pairs.select("h", "a", "b"), ["a", "b"]), f"names-{number}")
+        level = written(_named(pairs, counts, ["a", "b"]), f"level-{number}")
         done.append(level.where((F.col("k") > left // 2) & (F.col("k") <= left)).select("uid", "name"))
     ends = done[0]
     for more in done[1:]:
         ends = ends.unionByName(more)
-    return base.where("i = 0").drop("i", "h").join(ends, "uid")
+    out = common.materialize(base.where("i = 0").select("uid", "doc_id", "text_sha256", "k").join(ends, "uid"), "identities")
+    for table in made:
+        common.drop_materialized(table)
+    return out
 
 
 def exact_duplicates(docs: DataFrame, **how) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (hex of the UTF-8), repeated.
 
     Of equal texts the row with the largest doc_id stays (null ids are the smallest; of rows that share that id, one).
-    repeated: another row has this doc_id and this text. Null texts count as empty; an empty input gives no rows.
+    repeated: another row has this doc_id and this text. Null texts count as empty; columns besides id and text are left
+    out, whatever their names; an empty input gives no rows.
     """
-    rows = common.materialize(block_identities(docs, **how), "identities")
+    rows = block_identities(docs, **how)
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), "uid")
     groups = rows.groupBy("k", "name").agg(F.max(order).alias("last"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = common.materialize(groups, "groups")  # so that both sides of the join are plain shuffles, whose hot keys AQE can split
@@ -120,7 +130,11 @@ def exact_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """docs, with one row of each text: the one with the largest doc_id."""
+    """docs, with one row of each text: the one with the largest doc_id (null ids are the smallest).
+
+    Null texts count as empty; of rows that share id and text one stays, with its own values of all other columns, or
+    values of its repeats where those differ. An empty input gives no rows.
+    """
     found = common.materialize(exact_duplicates(docs, **how), "duplicates")
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()

@@ -22,7 +22,7 @@ from .tokens import PieceEncoder, byte_bpe_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that are ranked in one window; a commoner length is dealt over as many as it takes.
-RANKED_AT_ONCE = 100_000
+RANKED_AT_ONCE = 500
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:

@@ -2,22 +2,30 @@
 
 Benchmark and corpus words become numbers of the benchmark's vocabulary (0 for any other word), the automaton runs over
 them once per document, and word numbers lead back to places in the original text.
+
+A worker holds one automaton, of at most BLOCK_BYTES of benchmark text, and keeps it for all its tasks. A larger benchmark
+takes one job a block, each of which writes what it finds; a document's findings meet by its text's SHA-256.
 """
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 WINDOW = 13
 #: Benchmark text that one automaton holds and that is sent to executors at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Words are runs of ASCII letters and digits (lower-cased) and of anything beyond ASCII; all else becomes a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -36,44 +44,78 @@ def word_spans(text: bytes, positions: np.ndarray) -> list[tuple[int, int]]:
 class Automaton:
     """Windows of some benchmark items: `size` consecutive words, or a shorter item's all."""
 
+    #: The one that this worker made last, by its block's key.
+    _made: dict[str, Automaton] = {}
+
     def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW) -> None:
         import ahocorasick
 
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
+        self.items = [item for item, _ in items]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        lengths, owners = array("b"), array("i")  # of each window, by its number
+        self.more: dict[int, list[int]] = {}  # further owners of windows that several items have
+        for k, (_, text) in enumerate(items):
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
             for at in range(max(len(ids) - size, 0) + 1 if ids else 0):
-                windows.setdefault(ids[at : at + size], set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, owners in windows.items():
-            self.automaton.add_word(window, (len(window), tuple(sorted(owners))))
-        self.some = bool(windows)
-        if self.some:
+                window = ids[at : at + size]
+                known = self.automaton.get(window, -1)
+                if known < 0:
+                    self.automaton.add_word(window, len(owners))
+                    lengths.append(len(window))
+                    owners.append(k)
+                elif owners[known] != k:
+                    self.more.setdefault(known, []).append(k)
+        self.lengths, self.owners = lengths, owners
+        if len(owners):
             self.automaton.make_automaton()
 
+    @classmethod
+    def of(cls, key: str, items: list[tuple[str, bytes]], size: int) -> Automaton:
+        if key not in cls._made:
+            cls._made.clear()
+            cls._made[key] = cls(items, size)
+        return cls._made[key]
+
     def scan(self, tokens: list[bytes]) -> tuple[set[str], np.ndarray]:
         """Items with a window in these words, and the positions of the words hit."""
-        found, hit = set(), set()
-        if self.some:
+        windows, hit = set(), set()
+        if len(self.owners):
             get = self.vocabulary.get
-            for end, (n, owners) in self.automaton.iter(tuple([get(w, 0) for w in tokens])):
-                found.update(owners)
-                hit.update(range(end - n + 1, end + 1))
+            for end, window in self.automaton.iter(tuple([get(w, 0) for w in tokens])):
+                windows.add(window)
+                hit.update(range(end - self.lengths[window] + 1, end + 1))
+        found = {self.items[self.owners[w]] for w in windows} | {self.items[k] for w in windows for k in self.more.get(w, ())}
         return found, np.array(sorted(hit), np.int64)
 
 
-def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Benchmark items in blocks of at most `most` bytes of text, one at a time; each fits the driver and a broadcast. One empty block without items."""
+def _parts(item: str, text: bytes, most: int, size: int) -> Iterator[tuple[str, bytes]]:
+    """An item, or where its text is longer than a block, stretches of its words that share their windows' overlaps."""
+    if len(text) <= most:
+        yield item, text
+        return
+    tokens, begin = words(text), 0
+    while begin == 0 or begin + size - 1 < len(tokens):
+        end, held = begin, 0
+        while end < len(tokens) and (end - begin < size or held < most):
+            held += len(tokens[end]) + 1
+            end += 1
+        yield item, b" ".join(tokens[begin:end])
+        begin = max(end - size + 1, begin + 1)
+
+
+def _blocks(items: DataFrame, most: int, size: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Benchmark items in blocks of about `most` bytes of text, one at a time on the driver. One empty block without items."""
     rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     block: list[tuple[str, bytes]] = []
-    size = sent = 0
+    held = sent = 0
     for row in rows.toLocalIterator():
-        if block and size + len(row["text"]) > most:
-            yield block
-            block, size, sent = [], 0, sent + 1
-        block.append((row["item_id"], bytes(row["text"])))
-        size += len(row["text"])
+        for item, text in _parts(row["item_id"], bytes(row["text"]), most, size):
+            if block and held + len(text) > most:
+                yield block
+                block, held, sent = [], 0, sent + 1
+            block.append((item, text))
+            held += len(text)
     if block or not sent:
         yield block
 
@@ -81,20 +123,17 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
 STATE = "n_words long, hits array<int>, found array<string>"
 
 
-def _pass(sent, size: int):
-    """A block's automaton over texts, adding to what earlier blocks have found."""
+def _scanned(sent, key: str, size: int):
+    """A block's automaton over texts."""
 
     @F.arrow_udf(STATE)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        automaton = Automaton(sent.value, size)
-        for texts, before in batches:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            automaton = Automaton.of(key, sent.value, size)
             n, hits, found = [], [], []
-            for text, was in zip(as_texts(texts), before.to_pylist(), strict=True):
+            for text in as_texts(texts):
                 tokens = words(text)
                 items, positions = automaton.scan(tokens)
-                if was and was["hits"]:
-                    items |= set(was["found"])
-                    positions = np.union1d(positions, np.array(was["hits"], np.int64))
                 n.append(len(tokens))
                 hits.append(positions.tolist())
                 found.append(sorted(items))
@@ -103,6 +142,11 @@ def _pass(sent, size: int):
     return run
 
 
+@F.arrow_udf(T.LongType())
+def _n_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words(t)) for t in as_texts(texts)], pa.int64())
+
+
 def as_texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 of each text, one at a time."""
     for value in column.cast(pa.binary()):
@@ -110,11 +154,32 @@ def as_texts(column: pa.Array) -> Iterator[bytes]:
 
 
 def found_in(docs: DataFrame, items: DataFrame, state: str, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
-    """docs with the column `state`: n_words, hits (positions of words hit), found (items). Scanned where docs are read; no shuffle."""
-    docs = docs.withColumn(state, F.lit(None).cast(f"struct<{STATE.replace(' long', ':long').replace(' array', ':array')}>"))
-    for block in _blocks(items, block_bytes):
-        docs = docs.withColumn(state, _pass(docs.sparkSession.sparkContext.broadcast(block), size)(F.col(text_col), F.col(state)))
-    return docs
+    """docs with the column `state`: n_words, hits (positions of words hit), found (items).
+
+    A benchmark of one block is scanned for where docs are read, without a shuffle. Of a larger one each block's findings
+    are written in a job of its own, so that a worker never holds two automata, and joined to docs by their texts' hash.
+    """
+    blocks = _blocks(items, block_bytes, size)
+    block, rest = next(blocks), next(blocks, None)
+    context = docs.sparkSession.sparkContext
+    if rest is None:
+        return docs.withColumn(state, _scanned(context.broadcast(block), uuid.uuid4().hex, size)(F.col(text_col)))
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    written = []
+    for one in chain([block, rest], blocks):
+        sent = context.broadcast(one)
+        hits = docs.select(sha.alias("sha"), _scanned(sent, uuid.uuid4().hex, size)(F.col(text_col)).alias("s")).where(F.size("s.hits") > 0)
+        written.append(common.materialize(hits.select("sha", "s.hits", "s.found").dropDuplicates(["sha"]), "benchmark-hits"))
+        sent.destroy()
+    merged = reduce(DataFrame.unionByName, written).groupBy("sha").agg(*[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "found")])
+    merged = common.materialize(merged, "benchmark-findings")
+    for table in written:
+        common.drop_materialized(table)
+    key, hit, found = common.fresh(docs, "sha", "hits", "found")
+    none = [F.array().cast(t) for t in ("array<int>", "array<string>")]
+    joined = docs.withColumn(key, sha).join(merged.select(F.col("sha").alias(key), F.col("hits").alias(hit), F.col("found").alias(found)), key, "left")
+    whole = F.struct(_n_words(F.col(text_col)).alias("n_words"), F.coalesce(hit, none[0]).alias("hits"), F.coalesce(found, none[1]).alias("found"))
+    return joined.withColumn(state, whole).select(*docs.columns, state)
 
 
 def contaminated(state: str) -> Column:
@@ -126,7 +191,9 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (ids sorted as strings, comma-joined), items_sha256, contaminated.
 
     A document is contaminated if a word is hit and the words hit are a twentieth of its words or more. Null and empty
-    texts have no words; items with a null id or no words have no windows; an item_id given twice counts once.
+    texts have no words; items with a null id or no words have no windows; an item_id given twice counts once. Null and
+    repeated doc_ids are judged row by row; columns of docs besides doc_id and text are left out, whatever their names; no
+    documents give no rows, an empty benchmark hits nothing.
     """
     rows = found_in(docs.select(F.col("doc_id").cast("long"), "text"), items, "state", size, block_bytes)
     joined = F.array_join("state.found", ",")

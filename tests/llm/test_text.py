@@ -57,11 +57,26 @@ def test_scan(spark, rows, block_bytes):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r[0] for r in want if not r[5]), key=repr)
 
 
+def test_items_longer_than_a_block(spark):
+    """An item is cut into stretches with all its windows, which count as one item."""
+    rng = np.random.default_rng(2)
+    item = " ".join(f"w{k}" for k in rng.integers(0, 50, 400))
+    w = item.split()
+    assert sorted({t for _, text in decontaminate._parts("1", item.encode(), 60, 5) for t in [tuple(decontaminate.words(text)[k : k + 5]) for k in range(len(decontaminate.words(text)) - 4)]}) == sorted({tuple(x.encode() for x in w[k : k + 5]) for k in range(396)})
+    rows = [(k, " ".join(["x", *w[k : k + 6], "y"])) for k in range(0, 394, 3)] + [(1000, item), (1001, None)]
+    items = [(1, item), (2, "w1 w2"), (3, item)]
+    got = decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=5, block_bytes=300).drop("items").collect()
+    assert sorted(map(tuple, got), key=repr) == reference_scan(rows, items, 5)
+
+
 def test_scan_odd_inputs(spark, docs, clashing, empty_docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     nothing = items.limit(0)
     assert decontaminate.scan(docs, nothing).where("n_hit > 0 or contaminated").count() == 0
     assert decontaminate.scan(empty_docs, items).count() == 0
+    for block_bytes in (1 << 20, 30):
+        assert decontaminate.drop_contaminated(clashing, items, 5, block_bytes).columns == clashing.columns
+        assert decontaminate.scan(empty_docs, items, 5, block_bytes).count() == 0
     assert decontaminate.drop_contaminated(clashing, nothing).count() == clashing.count()
 
 

@@ -4,9 +4,10 @@ P(grade <= k) = sigmoid(threshold_k - w . x) with one weight vector for all thre
 features a text holds: words, and starts of words (written with a star, for families of inflected and compound words).
 The expected grade is the severity; a document is toxic if P(grade >= 1) is one half or more.
 
-Grades come from the binary labels: 0 for clean rows; toxic rows are graded 1 to 3 by how many selected features they
-hold (terciles of the sample). The model is fitted on a bounded sample of labelled rows
-(MAX_TOXIC, MAX_CLEAN, taken in hash order of doc_id); all other work covers all rows.
+Labels are binary, so grades are made from held-out evidence: the sample falls into two folds, and a toxic row is graded 1
+to 3 by terciles of how many of its features tell toxic from clean among the rows of the other fold; clean rows are 0. A
+row's grade so never rests on its own label's share in choosing words. The model is fitted on a bounded sample of labelled
+rows (MAX_TOXIC, MAX_CLEAN, taken in hash order of doc_id); all other work covers all rows.
 
 Words that merely stand beside others in copies of toxic texts must not count, so near copies among the toxic rows of
 the sample count once in the test that selects features. All features that pass it are kept, whatever stands beside them.
@@ -34,6 +35,8 @@ GRADES = 4
 #: Characters of the starts of words that are features; toxic rows with a feature for each clean one.
 STARTS = (3, 4, 5, 6)
 LEAST_ODDS = 4
+#: Of a feature's toxic rows to its clean ones in one fold, for grades of the other.
+HELD_OUT_ODDS = 2
 #: Rows that may well be there where a sample shows none (the rule of three).
 UNSEEN = 3
 #: MinHash values of a text's five-word shingles, and the share of them that near copies have in common.
@@ -184,8 +187,20 @@ def raised(names: list[str], weights: np.ndarray, threshold: float, which: np.nd
     return out
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 0.02, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds of the cumulative-link model, by gradient steps with momentum (Adam) on the mean loss."""
+def held_out_grades(x: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """0 for clean rows; for toxic rows 1 to 3, by terciles of how many features they hold that toxic rows of the other fold hold HELD_OUT_ODDS times as often as its clean rows."""
+    evidence = np.zeros(len(x))
+    for k in (0, 1):
+        other = fold != k
+        bad, good = x[other & (toxic == 1)].sum(0), x[other & (toxic == 0)].sum(0)
+        evidence[~other] = x[~other][:, (bad > 0) & (bad >= HELD_OUT_ODDS * good)].sum(1)
+    some = evidence[(toxic == 1) & (evidence > 0)]
+    edges = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([np.inf, np.inf])
+    return np.where(toxic == 1, 1 + (evidence > edges[0]).astype(int) + (evidence > edges[1]), 0)
+
+
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 0.02, steps: int = 1000, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (`least` or more) and ascending thresholds of the cumulative-link model, by gradient steps with momentum (Adam) on the mean loss."""
     n, m = x.shape
     w, first, gaps = np.zeros(m), 0.0, np.zeros(grades - 2)
     params = np.concatenate([w, [first], gaps])
@@ -210,6 +225,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: floa
         mean = 0.9 * mean + 0.1 * grad
         spread = 0.999 * spread + 0.001 * grad**2
         params = params - 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.999**step)) + 1e-9)
+        params[:m] = np.maximum(params[:m], least)
     theta = params[m] + np.concatenate([[0.0], np.cumsum(np.exp(params[m + 1 :]))])
     return params[:m], theta
 
@@ -232,10 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
     kept = telling(names, x, toxic)
     often = np.array([chosen[k][2] for k in kept])
     x, names = x[:, kept], [names[k] for k in kept]
-    held = x.sum(1)
-    edges = np.quantile(held[(toxic == 1) & (held > 0)], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (held > edges[0]).astype(int) + (held > edges[1]), 0)
-    weights, thresholds = fit_ordinal(x, grade)
+    fold = np.array([zlib.crc32(" ".join(sorted(r["words"])).encode()) & 1 for r in rows])
+    weights, thresholds = fit_ordinal(x, held_out_grades(x, toxic, fold), least=0.0)
     certain = (often >= LEAST_ODDS * UNSEEN) & ~(x[toxic == 0] == 1).any(0)
     return Model(names, raised(names, weights, thresholds[0], certain), thresholds)
 
@@ -255,7 +269,11 @@ def _scored(model: Model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of docs: doc_id, severity (expected grade), p_toxic, grade (likeliest) and toxic. Null and empty texts hold no words."""
+    """Per row of docs: doc_id, severity (expected grade), p_toxic, grade (likeliest) and toxic.
+
+    Null and empty texts hold no words; null and repeated ids are scored row by row; columns besides doc_id and text are
+    left out, whatever their names; no documents give no rows.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), _scored(model)("text").alias("s"))
     return rows.select("doc_id", "s.*", (F.col("s.p_toxic") >= 0.5).alias("toxic"))
 

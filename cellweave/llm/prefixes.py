@@ -10,22 +10,24 @@ one alone stays whole beside the last token of the prefix before it, and count[i
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from .tokens import PieceEncoder
 
 #: Characters up to which all of a piece's prefixes are handed to the library.
-SHORT = 48
+SHORT = 48  # at most 60: a character has at most four tokens
 #: Characters after a pre-token from which its end no longer depends on what follows (contractions, blanks before a word).
 SETTLED = 3
-#: Pieces and bytes of pieces that a worker remembers; beyond either it starts anew. Bounds memory, never results.
-CACHE_ENTRIES, CACHE_BYTES = 500_000, 24 << 20
+#: Pieces and characters of pieces that a worker remembers; beyond either it starts anew. Bounds memory, never results.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 8 << 20
 #: Prefixes handed to the library at once.
-ENCODED_AT_ONCE = 50_000
+ENCODED_AT_ONCE = 10_000
+#: Pieces that are one word of letters which normalise one by one: their prefixes go to the library's model itself.
+_PLAIN = re.compile(" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class _Word:
@@ -58,7 +60,8 @@ class _Word:
 class Merges:
     """The vocabulary's merges, asked for whether two tokens stay two where they meet."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, closed) -> None:
+        """closed: the library's own model, whose words end; `open` has the same merges without ends of words."""
         from tokenizers import models
 
         with open(path, encoding="utf-8") as f:
@@ -67,7 +70,7 @@ class Merges:
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.open = models.BPE(vocab=model["vocab"], merges=merges)
-        self.closed = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.open
+        self.closed = closed
         self.longest = max(map(len, self.vocabulary))
         self.known: dict[tuple[str, str], bool] = {}
 
@@ -107,10 +110,13 @@ class PrefixCounter:
 
         self.pieces = PieceEncoder.of(path)
         self.tokenizer = self.pieces.tokenizer
+        self.model, self.normal, self.split = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.path, self._merges = path, None
         self.symbols = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        letters = [c for c in map(chr, range(65, 256)) if _PLAIN.fullmatch(c)]
+        self.plain = {c: self._mapped(c) for c in letters} | {" ": self.split.pre_tokenize_str(self.normal.normalize_str(" a") if self.normal else " a")[0][0][:-1]}
         self._forget()
 
     @classmethod
@@ -120,57 +126,82 @@ class PrefixCounter:
         return cls._made[path]
 
     def _forget(self) -> None:
-        self.known, self.flat, self.begins = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known: dict[bytes, int] = {}  # places of pieces; their counts lie in flat, from begins on
+        self.flat, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @property
     def merges(self) -> Merges:
         if self._merges is None:
-            self._merges = Merges(self.path)
+            self._merges = Merges(self.path, self.model)
         return self._merges
 
     def _counted(self, texts: list[str]) -> list[int]:
         out: list[int] = []
         for at in range(0, len(texts), ENCODED_AT_ONCE):
-            out += [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts[at : at + ENCODED_AT_ONCE], add_special_tokens=False)]
+            out += [len(e) for e in self.tokenizer.encode_batch_fast(texts[at : at + ENCODED_AT_ONCE], add_special_tokens=False)]
         return out
 
-    def _remember(self, pieces: pa.Array) -> None:
-        texts = [p.decode("utf-8", "replace") for p in pieces.to_pylist()]
-        short = {t[:k] for t in texts if len(t) <= SHORT for k in range(1, len(t) + 1)}
-        short = dict(zip(short, self._counted(list(short)), strict=True))
-        counts = [[short[t[:k]] for k in range(1, len(t) + 1)] if len(t) <= SHORT else self.of_long(t) for t in texts]
-        lengths = np.fromiter(map(len, counts), np.int64, len(counts))
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, *[np.asarray(c, np.int32) for c in counts]])
-        self.known = pa.concat_arrays([self.known, pieces])
+    def _of_plain(self, texts: list[str], out: dict[str, bytes]) -> list[str]:
+        """Counts of the plain ones of texts (sorted, so that a prefix shared with the one before isn't counted again); returns the others."""
+        others, tokenize, symbols_of = [], self.model.tokenize, self.plain
+        last, counts = "", []
+        for text in texts:
+            if not _PLAIN.fullmatch(text):
+                others.append(text)
+                continue
+            shared, most = 0, min(len(text), len(last))
+            while shared < most and text[shared] == last[shared]:
+                shared += 1
+            counts, symbols = counts[:shared], "".join([symbols_of[c] for c in text[:shared]])
+            for char in text[shared:]:
+                symbols += symbols_of[char]
+                counts.append(len(tokenize(symbols)) if symbols else 0)
+            out[text] = bytes(counts)
+            last = text
+        return others
+
+    def _remember(self, pieces: list[bytes]) -> None:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        counts: dict[str, bytes] = {}  # a short piece has fewer tokens than a byte can tell
+        others = self._of_plain(sorted(t for t in texts if len(t) <= SHORT), counts)
+        short = list({t[:k] for t in others for k in range(1, len(t) + 1)})
+        short = dict(zip(short, self._counted(short), strict=True))
+        for t in others:
+            counts[t] = bytes([short[t[:k]] for k in range(1, len(t) + 1)])
+        long = [k for k, t in enumerate(texts) if len(t) > SHORT]
+        order = [k for k, t in enumerate(texts) if len(t) <= SHORT] + long
+        flat = np.frombuffer(b"".join([counts[texts[k]] for k in order[: len(order) - len(long)]]), np.uint8).astype(np.int32)
+        self.flat = np.concatenate([self.flat, flat, *[self.of_long(texts[k]).astype(np.int32) for k in long]])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(texts[k]) for k in order])])
+        at = len(self.known)
+        self.known.update((pieces[k], at + n) for n, k in enumerate(order))
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece is among the known ones; new ones are counted."""
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary
-        found = pc.index_in(distinct, value_set=self.known)
-        if found.null_count:
-            missing = distinct.filter(found.is_null())
-            if len(self.known) + len(missing) > CACHE_ENTRIES or self.known.nbytes + missing.nbytes > CACHE_BYTES:
-                self._forget()
-                missing = distinct
+        distinct = coded.dictionary.to_pylist()
+        missing = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(missing) > CACHE_ENTRIES or len(self.flat) > CACHE_CHARS:
+            self._forget()
+            missing = distinct
+        if missing:
             self._remember(missing)
-            found = pc.index_in(distinct, value_set=self.known)
-        return found.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
 
     def table(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the first 1, 2, ... characters of each text, all in a row, and where each text's begin (one more than texts)."""
         _, _, pieces, before = self.pieces._pieces(texts.fill_null(""))
         where = self._places(pieces)
-        first, lengths = self.begins[where], np.diff(self.begins)[where]
+        lengths = np.diff(self.begins)[where]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(first - ends[:-1], lengths)
-        at += np.arange(ends[-1])
-        counts = self.flat[at].astype(np.int64)
+        at = np.repeat((self.begins[where] - ends[:-1]).astype(np.int32), lengths)  # a slice's characters and the cache's are far fewer than 2^31
+        at += np.arange(ends[-1], dtype=np.int32)
+        counts = self.flat[at]
         whole = self.flat[self.begins[where + 1] - 1] if len(where) else np.zeros(0, np.int32)
         running = np.concatenate([[0], np.cumsum(whole, dtype=np.int64)])
         base = running[:-1] - np.repeat(running[before[:-1]], np.diff(before))  # tokens of the pieces before, in the same text
-        return (counts + np.repeat(base, lengths)).astype(np.int32), ends[before]
+        counts += np.repeat(base.astype(np.int32), lengths)
+        return counts, ends[before]
 
     def of_long(self, piece: str) -> np.ndarray:
         """Counts of all prefixes of one piece, whatever its length."""
@@ -221,10 +252,10 @@ class PrefixCounter:
         """out[k] for ks up to the end of the one pre-token (or run of blanks) that begins at a."""
         if not ks:
             return
-        normal = self.tokenizer.normalizer
+        normal = self.normal
         part = piece[a : ks[-1]]
         normalized = normal.normalize_str(part) if normal else part
-        whole = self.tokenizer.pre_tokenizer.pre_tokenize_str(normalized)
+        whole = self.split.pre_tokenize_str(normalized)
         if not whole:  # blanks that the vocabulary drops
             out[ks] = base
             return
@@ -244,6 +275,6 @@ class PrefixCounter:
                 out[a + k] = base + word.ended()
 
     def _mapped(self, text: str) -> str:
-        normal = self.tokenizer.normalizer
+        normal = self.normal
         text = normal.normalize_str(text) if normal else text
         return self.symbols.pre_tokenize_str(text)[0][0] if text else ""

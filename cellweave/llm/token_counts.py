@@ -41,6 +41,7 @@ def prefix_table(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                 texts = part.column(1).fill_null("")
                 tokens, at = counter.table(texts)
                 yield pa.record_batch([part.column(0), pc.binary_length(texts).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32()))], ["doc_id", "n_bytes", "prefix_tokens"])
+                pa.default_memory_pool().release_unused()  # what a slice has freed doesn't stay with the worker
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, TABLE)
 
@@ -60,24 +61,14 @@ def within(table: DataFrame, budget: int) -> DataFrame:
     within the budget is taken, not the first beyond it. A budget below the first character's tokens fits no character.
     """
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            at = lists.offsets.to_numpy().astype(np.int64)
-            tokens = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-            at = at - at[0]
-            some = np.diff(at) > 0
-            n_tokens = np.zeros(len(some), np.int64)
-            n_tokens[some] = tokens[at[1:][some] - 1]
-            fits = np.flatnonzero(tokens <= budget)
-            last = np.searchsorted(fits, at[1:]) - 1
-            end = np.where(last >= 0, fits[np.maximum(last, 0)] if len(fits) else -1, -1)
-            chars = np.where(some & (end >= at[:-1]), end - at[:-1] + 1, 0)
-            fit = np.zeros(len(some), np.int64)
-            fit[chars > 0] = tokens[end[chars > 0]]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(n_tokens > budget), pa.array(chars), pa.array(fit)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "fit_tokens"])
-
-    return table.select("doc_id", "n_bytes", "prefix_tokens").mapInArrow(look, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, fit_tokens long")
+    chars = F.size("prefix_tokens")
+    n_tokens = F.when(chars > 0, F.element_at("prefix_tokens", F.greatest(chars, F.lit(1)))).otherwise(0)
+    # one pass that holds no second array, over texts beyond the budget only
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("fit"), F.lit(0).alias("tokens"))
+    take = lambda acc, n: F.when(n <= budget, F.struct((acc["at"] + 1).alias("at"), (acc["at"] + 1).alias("fit"), n.alias("tokens"))).otherwise(F.struct((acc["at"] + 1).alias("at"), acc["fit"].alias("fit"), acc["tokens"].alias("tokens")))
+    fit = F.when(F.col("n_tokens") <= budget, F.struct(chars.alias("fit"), F.col("n_tokens").alias("tokens"))).otherwise(F.aggregate("prefix_tokens", start, take, lambda acc: F.struct(acc["fit"].alias("fit"), acc["tokens"].alias("tokens"))))
+    rows = table.select("doc_id", "n_bytes", "prefix_tokens", n_tokens.alias("n_tokens")).withColumn("fit", fit)
+    return rows.select("doc_id", "n_bytes", F.col("n_tokens").cast("long").alias("n_tokens"), (F.col("n_tokens") > budget).alias("over_limit"), F.col("fit.fit").cast("long").alias("fit_chars"), F.col("fit.tokens").cast("long").alias("fit_tokens"))
 
 
 def tokens_up_to(table: DataFrame, n_chars: int) -> DataFrame:

@@ -29,18 +29,25 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\/"), F.lit("\n")))
 
 
+def _alone() -> Column:
+    """Tells rows without a conv_id apart."""
+    return F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) to examples: conv_id, example (from 0), n_turns, text, loss_begin, loss_end.
 
     loss_begin and loss_end: code points of `text` that are trainable, the target's escaped text. Turns after the last
     assistant turn make an example without trainable text, so that nothing of a conversation is lost. Turns are ordered
-    by turn, role and text, nulls first; null roles and texts count as empty; rows with a null conv_id are one
-    conversation; repeated rows are repeated turns. A conversation has to fit in one row, as its last example does.
+    by turn, role and text, nulls first; null roles and texts count as empty; a row without a conv_id is a conversation of
+    its own, so that such rows never meet in one place; repeated rows are repeated turns. Columns besides these four are
+    left out, whatever their names; no turns give no examples. A conversation has to fit in one row, as its last example
+    does.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     turn = F.struct(F.col("turn"), role.alias("role"), text.alias("text"), F.concat(head, escape(text), F.lit(END + "\n")).alias("formatted"), F.length(head).alias("head"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = turns.groupBy("conv_id", _alone().alias("alone")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     n = F.size("turns")
     targets = F.filter(F.sequence(F.lit(1), n), lambda i: (F.get("turns", i - 1)["role"] == "assistant") | (i == n))
     each = whole.select("conv_id", "turns", F.posexplode(targets).alias("example", "n_turns"))
@@ -74,7 +81,7 @@ def loss_text(text: str = "text") -> Column:
 def digest(examples: DataFrame) -> DataFrame:
     """Read back from examples, a row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all its examples)."""
     rows = examples.select("conv_id", "example", "text", loss_text().alias("loss"))
-    whole = rows.groupBy("conv_id").agg(
+    whole = rows.groupBy("conv_id", _alone().alias("alone")).agg(
         F.max_by("text", "example").alias("text"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
         F.sum(F.length("text")).cast("long").alias("formatted_chars"),

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import PieceEncoder, byte_bpe_path
 
+#: Text bytes encoded at once; a row group is a few of these.
+SLICE_BYTES = 4 << 20
 STORED = "file_no int, doc_id long, file_start long, n_tokens int, ids array<int>"
 #: Writer settings: dictionary pages for ids, delta coding for sorted numbers, row groups and pages small enough to read few documents.
 FORMAT = {
@@ -32,19 +34,23 @@ FORMAT = {
 }
 
 def write_token_store(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text, end_id after each, and write the ids in ascending order of doc_id (null ids first; rows of one id by text).
+    """Encode every whole text, end_id after each, and write the ids in ascending order of doc_id (null ids first; rows of one id by their texts' hash).
 
-    Null texts count as empty: end_id alone. The sort is by range, so any number of files are written side by side.
+    Null texts count as empty: end_id alone. Repeated ids are kept row by row; columns besides id and text are left out,
+    whatever their names; no documents give files without rows. The sort is by range, so any number of files are written
+    side by side, and rows are numbered so that those of one id and text don't have to share a file.
     """
     vocabulary = vocabulary or byte_bpe_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
     files = max(1, docs.rdd.getNumPartitions())  # as many as the input has splits, so they grow with it
-    ordered = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "h", "row"]
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file_no, at_id = PieceEncoder.of(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in common.slices(batch, 1):
+            for part in common.slices(batch, 1, SLICE_BYTES):
                 flat, at = encoder.ids(part.column(1))
                 n = len(part)
                 ends = at[1:] + np.arange(1, n + 1)
@@ -62,6 +68,16 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(path)
 
 
+def tokens_of(store: DataFrame, low: int, high: int) -> DataFrame:
+    """doc_id and ids of the documents low to high: a range over sorted rows, so page and row-group bounds skip the rest."""
+    return store.where(F.col("doc_id").between(low, high)).select("doc_id", "ids")
+
+
+def lengths(store: DataFrame) -> DataFrame:
+    """doc_id, n_tokens: two columns, no ids are read."""
+    return store.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 def positions(store: DataFrame) -> DataFrame:
     """file_no, file_base: ids in all earlier files. One row per file, the only thing summed in one place."""
     totals = store.groupBy("file_no").agg(F.sum(F.col("n_tokens").cast("long")).alias("total"))

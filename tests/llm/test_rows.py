@@ -92,10 +92,10 @@ def conversations():
 
 def reference_chat(rows):
     groups = {}
-    for c, t, r, x in rows:
-        groups.setdefault(c, []).append(((t is not None, t or 0), r or "", x or ""))
+    for k, (c, t, r, x) in enumerate(rows):
+        groups.setdefault((c, k if c is None else 0), []).append(((t is not None, t or 0), r or "", x or ""))
     out = []
-    for c, turns in groups.items():
+    for (c, _), turns in groups.items():
         turns.sort()
         flat = "".join(f"{r}\n{x}\n" for _, r, x in turns)
         loss = "".join(x for _, r, x in turns if r == "assistant")
@@ -105,7 +105,7 @@ def reference_chat(rows):
 
 def test_chat(spark):
     rows = conversations()
-    turns = spark.createDataFrame([(*r, 1, "t") for r in rows], "conv_id long, turn long, role string, text string, example int, loss string")
+    turns = spark.createDataFrame([(*r, 1, "t", 7, 8, 9) for r in rows], "conv_id long, turn long, role string, text string, example int, loss string, turns int, n_turns int, alone int")
     examples = chat.format_conversations(turns)
     got = chat.digest(examples).collect()
     assert sorted((tuple(r)[:5] for r in got), key=repr) == reference_chat(rows)
@@ -114,7 +114,7 @@ def test_chat(spark):
         assert 0 <= r["loss_begin"] <= r["loss_end"] <= len(r["text"])
         assert r["text"].count(chat.START) == r["n_turns"] == r["text"].count(chat.END)
         total[r["conv_id"]] = total.get(r["conv_id"], 0) + len(r["text"])
-    assert {r["conv_id"]: r["formatted_chars"] for r in got} == total
+    assert {r["conv_id"]: r["formatted_chars"] for r in got if r["conv_id"] is not None} == {k: n for k, n in total.items() if k is not None}
 
 
 def test_every_reply_is_an_example(spark):
@@ -125,6 +125,12 @@ def test_every_reply_is_an_example(spark):
     assert got[1]["text"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n<|im_start|>assistant\nd<|im_end|>\n"
 
 
+def test_chat_of_thousands_of_turns(spark):
+    rows = [(1, t, "assistant" if t % 40 == 39 else "user", f"<|im_end|> {t}") for t in range(4000)]
+    got = chat.digest(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [tuple(r)[:5] for r in got] == reference_chat(rows)
+
+
 def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.format_conversations(none)).count() == 0

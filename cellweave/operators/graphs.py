@@ -1,10 +1,18 @@
-"""Tile registration graphs as tables of edges: components, spanning paths, positions, and the global fit."""
+"""Tile registration graphs as tables of edges: components, spanning paths, positions, and the global fit.
+
+Paths run over blocks of consecutive nodes: a task takes all paths inside its block at once, and what leaves the block is
+passed on in the next round. So rounds are block borders crossed, not hops, and no task holds more than a block.
+"""
 
 from __future__ import annotations
 
+import heapq
+import tempfile
+import uuid
 from collections.abc import Iterator
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +22,22 @@ def _both(edges: DataFrame, *columns: str) -> DataFrame:
     return edges.select("a", "b", *columns).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *back))
 
 
+#: Node numbers that make a block.
+BLOCK = 4096
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    """df written to the shared folder and read back, which cuts its lineage; only a local session gets a folder of its own."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="cellweave-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/graphs/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _rounds(most: int | None) -> Iterator[int]:
@@ -41,40 +63,85 @@ def components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> D
             return now
 
 
-def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int | None = None) -> DataFrame:
-    """(component, centre): a node of least eccentricity per component (the first of ties), by hop counts between its nodes. For graphs of tiles, whose components are small."""
-    both = _both(edges)
-    reached = _cut(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops")))
-    for hop in _rounds(most):
-        step = reached.where(F.col("hops") == hop - 1).join(both, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"), F.lit(hop).alias("hops")).distinct()
-        new = _cut(step.join(reached.select("src", "dst"), ["src", "dst"], "left_anti"))
-        if new.isEmpty():
-            break
-        reached = reached.unionByName(new)
-    far = reached.groupBy("src").agg(F.max("hops").alias("ecc")).withColumnRenamed("src", "node")
-    return far.join(parts, "node").groupBy("component").agg(F.min_by("node", F.struct("ecc", "node")).alias("centre"))
+PATHS = "node long, component long, y double, x double, cost double, left boolean"
 
 
-def positions(edges: DataFrame, centres: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, component, y, x, cost): shifts added up along the cheapest path from each component's centre, relaxed until nothing improves.
+def _paths_in_block(key: tuple, arcs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Cheapest paths from the known nodes of one block along its arcs. Nodes outside the block (left) are told of, not gone on from."""
+    out: dict[int, list[tuple]] = {}
+    for a, b, dy, dx, error in arcs[["a", "b", "dy", "dx", "error"]].itertuples(index=False):
+        out.setdefault(a, []).append((b, dy, dx, error))
+    best = {r.node: (r.cost, r.component, r.y, r.x) for r in known.itertuples(index=False)}
+    own, queue, before = set(out) | set(best), [(v[0], n) for n, v in best.items()], dict(best)
+    heapq.heapify(queue)
+    while queue:
+        cost, node = heapq.heappop(queue)
+        if cost > best[node][0] or node not in own:
+            continue
+        _, component, y, x = best[node]
+        for b, dy, dx, error in out.get(node, ()):
+            if b not in best or cost + error < best[b][0] - 1e-12:
+                best[b] = (cost + error, component, y + dy, x + dx)
+                heapq.heappush(queue, (cost + error, b))
+    rows = [(n, v[1], v[2], v[3], v[0], n not in own) for n, v in best.items() if before.get(n) != v]
+    return pd.DataFrame(rows, columns=["node", "component", "y", "x", "cost", "left"])
 
-    That takes no more rounds than there are nodes, unless errors are negative, which is refused.
-    """
-    both = _both(edges.where("error < double('inf')"), "dy", "dx", "error")
+
+def _arcs(edges: DataFrame, block: int) -> DataFrame:
+    return _cut(_both(edges, "dy", "dx", "error").withColumn("block", F.expr(f"a div {block}L")))
+
+
+def _cheapest(arcs: DataFrame, sources: DataFrame, block: int, most: int | None) -> DataFrame:
+    """(node, component, y, x, cost) along the cheapest path from each component's source (node, component)."""
     zero = F.lit(0.0)
-    now = _cut(centres.select(F.col("centre").alias("node"), "component", zero.alias("y"), zero.alias("x"), zero.alias("cost")))
-    if not both.where("error < 0").isEmpty():
-        raise ValueError("negative errors have no cheapest paths")
+    now = _cut(sources.select("node", "component", zero.alias("y"), zero.alias("x"), zero.alias("cost")))
+    fresh = now
     for _ in _rounds(most):
-        moved = now.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "component", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (F.col("cost") + F.col("error")).alias("cost"))
-        best = now.unionByName(moved).groupBy("node").agg(F.min(F.struct("cost", "component", "y", "x")).alias("m"))
-        step = _cut(best.select("node", "m.component", "m.y", "m.x", "m.cost"))
-        better = step.join(now.select("node", F.col("cost").alias("was")), "node", "left").where("was is null or cost < was - 1e-12").isEmpty()
-        now = step
-        if better:
+        dealt = fresh.withColumn("block", F.expr(f"node div {block}L"))
+        moved = _cut(arcs.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(_paths_in_block, PATHS))
+        if moved.isEmpty():
+            return now
+        both = now.withColumn("new", F.lit(0)).unionByName(moved.drop("left").withColumn("new", F.lit(1)))
+        # of equal costs what was there stays; nodes that got a better path from another block are gone on from
+        best = both.groupBy("node").agg(F.min(F.struct("cost", "new", "component", "y", "x")).alias("m"))
+        step = _cut(best.select("node", "m.component", "m.y", "m.x", "m.cost", "m.new"))
+        now = step.drop("new")
+        fresh = step.where("new = 1").drop("new").join(moved.where("left").select("node").distinct(), "node", "left_semi")
+        if fresh.isEmpty():
             return now
 
 
+def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(component, centre): the first node of least eccentricity (in hops) of each component.
+
+    Paths from one node at a time bound every other node's eccentricity from both sides; the next to ask is the one
+    that may have the least. A row per node is held, never a pair, and a chain or a grid takes a few such sweeps.
+    """
+    hops = _arcs(edges.select("a", "b", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), F.lit(1.0).alias("error")), block)
+    far = F.lit(float("inf"))
+    state = _cut(nodes.join(parts, "node").select("node", "component", F.lit(0.0).alias("low"), far.alias("high")))
+    for _ in _rounds(most):
+        rank = F.struct("low", "node")
+        open_, closed = F.when(F.col("low") < F.col("high"), rank), F.when(F.col("low") == F.col("high"), rank)
+        tried = state.groupBy("component").agg(F.min(open_).alias("next"), F.min(closed).alias("centre"))
+        asked = _cut(tried.where("next is not null and (centre is null or next < centre)").select("component", F.col("next.node").alias("node")))
+        if asked.isEmpty():
+            return tried.select("component", F.col("centre.node").alias("centre"))
+        reached = _cheapest(hops, asked, block, most).select("node", "component", F.col("cost").alias("d"))
+        ecc = reached.groupBy("component").agg(F.max("d").alias("ecc"))
+        bounds = reached.join(ecc, "component").select("node", F.greatest("d", F.col("ecc") - F.col("d")).alias("l"), (F.col("ecc") + F.col("d")).alias("h"))
+        joined = state.join(bounds, "node", "left")
+        state = _cut(joined.select("node", "component", F.greatest("low", F.coalesce("l", F.lit(0.0))).alias("low"), F.least("high", F.coalesce("h", far)).alias("high")))
+
+
+def positions(edges: DataFrame, centres: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(node, component, y, x, cost): shifts added up along the cheapest path from each component's centre. Negative errors are refused."""
+    usable = edges.where("error < double('inf')")
+    if not usable.where("error < 0").isEmpty():
+        raise ValueError("negative errors have no cheapest paths")
+    return _cheapest(_arcs(usable, block), centres.select(F.col("centre").alias("node"), "component"), block, most)
+
+
 def fit_positions(found: DataFrame, nominal: DataFrame) -> DataFrame:
     """All tiles in one frame: a linear map nominal -> found of the largest component (identity if it is degenerate) predicts the others' places; the least position becomes the origin."""
     joined = found.join(nominal.select("node", F.col("y").alias("ny"), F.col("x").alias("nx")), "node")

@@ -248,20 +248,20 @@ def i19_register_neighbours(spark, d):
 
 
 def _tile_graph(spark, d):
-    """Tiles of each nation's customers in a chain; every 13th link is missing."""
-    c = A.table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("node"))
-    edges = c.select(F.col("node").alias("a"), (F.col("node") + 10).alias("b")).join(c.select(F.col("node").alias("b")), "b").where("a % 130 != 0")
+    """All customers as tiles in chains of 1,009."""
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
+    edges = c.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(c.select(F.col("node").alias("b")), "b").where("a % 1009 != 0")
     return c, edges.select("a", "b", F.lit(8.0).alias("dy"), (F.col("a") % 3 - 1.0).alias("dx"), F.lit(1.0).alias("error"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 10 = 0), s AS (SELECT node, CASE WHEN lag(node) OVER (ORDER BY node) IS NULL OR lag(node) OVER (ORDER BY node) % 130 = 0 OR lag(node) OVER (ORDER BY node) <> node - 10 THEN 1 ELSE 0 END AS opens FROM n),
+@query("""WITH n AS (SELECT c_custkey AS node FROM customer), s AS (SELECT node, CASE WHEN lag(node) OVER (ORDER BY node) IS NULL OR lag(node) OVER (ORDER BY node) % 1009 = 0 OR lag(node) OVER (ORDER BY node) <> node - 1 THEN 1 ELSE 0 END AS opens FROM n),
     g AS (SELECT node, sum(opens) OVER (ORDER BY node ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT node, min(node) OVER (PARTITION BY k) AS component FROM g""")
 def g3_components(spark, d):
     """Connected tiles."""
     return graphs.components(*_tile_graph(spark, d))
 
 
-@query("""WITH n AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 10 = 0), s AS (SELECT node, CASE WHEN lag(node) OVER (ORDER BY node) IS NULL OR lag(node) OVER (ORDER BY node) % 130 = 0 THEN 1 ELSE 0 END AS opens FROM n),
+@query("""WITH n AS (SELECT c_custkey AS node FROM customer), s AS (SELECT node, CASE WHEN lag(node) OVER (ORDER BY node) IS NULL OR lag(node) OVER (ORDER BY node) % 1009 = 0 THEN 1 ELSE 0 END AS opens FROM n),
     g AS (SELECT node, sum(opens) OVER (ORDER BY node ROWS UNBOUNDED PRECEDING) AS k FROM s), c AS (SELECT node, k, min(node) OVER (PARTITION BY k) AS component, row_number() OVER (PARTITION BY k ORDER BY node) AS r, count(*) OVER (PARTITION BY k) AS size FROM g)
     SELECT component, node AS centre FROM c WHERE r = (size + 1) // 2""")
 def g7_centre_nodes(spark, d):
@@ -269,10 +269,12 @@ def g7_centre_nodes(spark, d):
     return graphs.centre_nodes(nodes, edges, graphs.components(nodes, edges))
 
 
-@query("""WITH n AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 10 = 0), s AS (SELECT node, CASE WHEN lag(node) OVER (ORDER BY node) IS NULL OR lag(node) OVER (ORDER BY node) % 130 = 0 THEN 1 ELSE 0 END AS opens FROM n),
+_CHAINS = """WITH n AS (SELECT c_custkey AS node FROM customer), s AS (SELECT node, CASE WHEN lag(node) OVER (ORDER BY node) IS NULL OR lag(node) OVER (ORDER BY node) % 1009 = 0 THEN 1 ELSE 0 END AS opens FROM n),
     g AS (SELECT node, sum(opens) OVER (ORDER BY node ROWS UNBOUNDED PRECEDING) AS k FROM s), c AS (SELECT node, k, min(node) OVER (PARTITION BY k) AS component, row_number() OVER (PARTITION BY k ORDER BY node) AS r, count(*) OVER (PARTITION BY k) AS size FROM g),
-    p AS (SELECT *, coalesce(sum(node % 3 - 1.0) OVER (PARTITION BY k ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS px FROM c), z AS (SELECT k, r AS rc, px AS pc FROM p WHERE r = (size + 1) // 2)
-    SELECT node, component, ((r - rc) * 8)::DOUBLE AS y, (px - pc)::DOUBLE AS x FROM p JOIN z USING (k)""")
+    p AS (SELECT *, coalesce(sum(node % 3 - 1.0) OVER (PARTITION BY k ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS px FROM c), z AS (SELECT k, r AS rc, px AS pc FROM p WHERE r = (size + 1) // 2)"""
+
+
+@query(_CHAINS + " SELECT node, component, ((r - rc) * 8)::DOUBLE AS y, (px - pc)::DOUBLE AS x FROM p JOIN z USING (k)")
 def g5_positions(spark, d):
     """Shifts added up from each component's centre."""
     nodes, edges = _tile_graph(spark, d)
@@ -280,9 +282,21 @@ def g5_positions(spark, d):
     return graphs.positions(edges, centres).select("node", "component", "y", "x")
 
 
-@query()
+_MAP = """f AS (SELECT node, component, ((r - rc) * 8)::DOUBLE AS y, (px - pc)::DOUBLE AS x, node * 8.0::DOUBLE AS ny, (node % 7)::DOUBLE AS nx FROM p JOIN z USING (k)),
+    main AS (SELECT component AS c FROM f GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+    m AS (SELECT avg(ny) AS mny, avg(nx) AS mnx, avg(y) AS my, avg(x) AS mx, var_pop(ny) AS yy, var_pop(nx) AS xx, covar_pop(ny, nx) AS yx, covar_pop(ny, y) AS ny_y, covar_pop(ny, x) AS ny_x, covar_pop(nx, y) AS nx_y, covar_pop(nx, x) AS nx_x FROM f, main WHERE component = c),
+    l AS (SELECT *, yy * xx - yx * yx AS det FROM m), k2 AS (SELECT *, CASE WHEN abs(det) < 1e-3 THEN 1 ELSE (ny_y * xx - nx_y * yx) / det END AS a, CASE WHEN abs(det) < 1e-3 THEN 0 ELSE (ny_x * xx - nx_x * yx) / det END AS b,
+        CASE WHEN abs(det) < 1e-3 THEN 0 ELSE (nx_y * yy - ny_y * yx) / det END AS c2, CASE WHEN abs(det) < 1e-3 THEN 1 ELSE (nx_x * yy - ny_x * yx) / det END AS d2 FROM l),
+    o AS (SELECT component, avg(my + a * (ny - mny) + c2 * (nx - mnx) - y) AS oy, avg(mx + b * (ny - mny) + d2 * (nx - mnx) - x) AS ox FROM f, k2 GROUP BY component),
+    q AS (SELECT node, component, y + CASE WHEN component = c THEN 0 ELSE oy END AS y, x + CASE WHEN component = c THEN 0 ELSE ox END AS x FROM f JOIN o USING (component), main)
+    SELECT node, component, round(y - (SELECT min(y) FROM q), 4) AS y, round(x - (SELECT min(x) FROM q), 4) AS x FROM q"""
+
+
+@query(_CHAINS + ", " + _MAP)
 def g6_fit_positions(spark, d):
+    """All chains in one frame, by the linear map of the largest."""
     nodes, edges = _tile_graph(spark, d)
     centres = graphs.centre_nodes(nodes, edges, graphs.components(nodes, edges))
-    nominal = nodes.select("node", (F.expr("node div 10") * 8.0).alias("y"), (F.col("node") % 7 * 1.0).alias("x"))
-    return graphs.fit_positions(graphs.positions(edges, centres), nominal)
+    nominal = nodes.select("node", (F.col("node") * 8.0).alias("y"), (F.col("node") % 7 * 1.0).alias("x"))
+    out = graphs.fit_positions(graphs.positions(edges, centres), nominal)
+    return out.select("node", "component", F.round("y", 4).alias("y"), F.round("x", 4).alias("x"))

@@ -1,18 +1,70 @@
+import random
+
 import pytest
 
 from cellweave.operators import graphs
 
+EDGE = "a long, b long, dy double, dx double, error double"
+
 
-def test_long_chains_settle_or_raise(spark):
-    n = 9
+@pytest.mark.parametrize("n, block", [(9, 4096), (1000, 600)])
+def test_long_chains_settle_or_raise(spark, n, block):
     nodes = spark.createDataFrame([(k,) for k in range(n)], "node long")
-    edges = spark.createDataFrame([(k, k + 1, 8.0, 1.0, 1.0) for k in range(n - 1)], "a long, b long, dy double, dx double, error double")
+    edges = spark.createDataFrame([(k, k + 1, 8.0, 1.0, 1.0) for k in range(n - 1)], EDGE)
     parts = graphs.components(nodes, edges)
     assert {r["component"] for r in parts.collect()} == {0}
-    centres = graphs.centre_nodes(nodes, edges, parts)
-    assert [tuple(r) for r in centres.collect()] == [(0, n // 2)]
-    got = {r["node"]: (r["y"], r["x"]) for r in graphs.positions(edges, centres).collect()}
-    assert got == {k: (8.0 * (k - n // 2), 1.0 * (k - n // 2)) for k in range(n)}
-    for run in (lambda: graphs.components(nodes, edges, most=1), lambda: graphs.centre_nodes(nodes, edges, parts, most=2), lambda: graphs.positions(edges, centres, most=2)):
+    centres = graphs.centre_nodes(nodes, edges, parts, block=block)
+    middle = (n - 1) // 2
+    assert [tuple(r) for r in centres.collect()] == [(0, middle)]
+    got = {r["node"]: (r["y"], r["x"]) for r in graphs.positions(edges, centres, block=block).collect()}
+    assert got == {k: (8.0 * (k - middle), 1.0 * (k - middle)) for k in range(n)}
+    for run in (lambda: graphs.components(nodes, edges, most=1), lambda: graphs.centre_nodes(nodes, edges, parts, most=1, block=2)):
         with pytest.raises(RuntimeError):
             run()
+
+
+def brute_force(nodes, edges):
+    """Component, centre (least eccentricity in hops, the first of ties) and cheapest cost from it, of each node."""
+    near = {n: {} for n in nodes}
+    for a, b, _, _, e in edges:
+        near[a][b] = near[b][a] = min(e, near[a].get(b, e))
+
+    def costs(source, weight):
+        best, left = {source: 0.0}, {source}
+        while left:
+            n = left.pop()
+            for m, e in near[n].items():
+                if best[n] + weight(e) < best.get(m, float("inf")):
+                    best[m] = best[n] + weight(e)
+                    left.add(m)
+        return best
+
+    hops = {n: costs(n, lambda e: 1) for n in nodes}
+    component = {n: min(hops[n]) for n in nodes}
+    centre = {c: min((n for n in nodes if component[n] == c), key=lambda n: (max(hops[n].values()), n)) for c in set(component.values())}
+    return component, centre, {n: costs(centre[component[n]], lambda e: e)[n] for n in nodes}
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_against_brute_force(spark, block):
+    """Grids with gaps, a tree, single tiles, equal and unequal errors, blocks that cut every path."""
+    rng = random.Random(4)
+    nodes = list(range(40)) + [100, 101, 102, 103, 200]
+    edges = [(k, k + 1) for k in range(35) if k % 6 != 5 and k != 14] + [(k, k + 6) for k in range(30) if k not in (3, 9)] + [(100, 102), (102, 101), (102, 103)]
+    edges = [(a, b, float(rng.randint(5, 9)), float(rng.randint(-2, 2)), rng.choice([0.5, 1.0, 1.25])) for a, b in edges]
+    df, table = spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, EDGE)
+    component, centre, cost = brute_force(nodes, edges)
+    parts = graphs.components(df, table)
+    assert {r["node"]: r["component"] for r in parts.collect()} == component
+    centres = graphs.centre_nodes(df, table, parts, block=block)
+    assert {r["component"]: r["centre"] for r in centres.collect()} == centre
+    got = {r["node"]: r for r in graphs.positions(table, centres, block=block).collect()}
+    assert {n: round(r["cost"], 9) for n, r in got.items()} == {n: round(c, 9) for n, c in cost.items()}
+    shift = {(a, b): (dy, dx, e) for a, b, dy, dx, e in edges} | {(b, a): (-dy, -dx, e) for a, b, dy, dx, e in edges}
+    for n, r in got.items():  # some neighbour leads there, by its own place, shift and cost
+        assert r["cost"] == 0 or any(b == n and abs(got[a]["cost"] + e - r["cost"]) < 1e-9 and (got[a]["y"] + dy, got[a]["x"] + dx) == (r["y"], r["x"]) for (a, b), (dy, dx, e) in shift.items())
+
+
+def test_negative_errors_are_refused(spark):
+    with pytest.raises(ValueError):
+        graphs.positions(spark.createDataFrame([(1, 2, 0.0, 0.0, -1.0)], EDGE), spark.createDataFrame([(1, 1)], "component long, centre long"))

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+#: Rows that a slice is meant to hold, and the fewest and most slices.
+SLICE_ROWS, LEAST, MOST = 250_000, 64, 4096
+_STEP = 64
+
+
+def _place(order: str, bounds: list) -> Column:
+    """How many bounds are at or below the value: first among every 64th, then among the 64 after it."""
+    below = lambda some: F.size(F.filter(some, lambda b: b <= F.col(order)))
+    coarse = F.array(*[F.lit(b) for b in bounds[_STEP - 1 :: _STEP]]) if len(bounds) >= _STEP else None
+    fine = [F.array(*[F.lit(b) for b in bounds[k : k + _STEP]]) for k in range(0, len(bounds), _STEP)]
+    if coarse is None:
+        return below(fine[0])
+    first = below(coarse)
+    return first * _STEP + F.coalesce(below(F.get(F.array(*fine), first)), F.lit(0))
 
 
-def running_sum(rows: DataFrame, order: str, value: str | None = None, name: str = "before", slices: int = SLICES) -> DataFrame:
-    """rows with the sum of `value` (or the number) of rows that come earlier by the numeric column `order`, which has no ties.
+def running_sum(rows: DataFrame, order: str, value: str | None = None, name: str = "before", slices: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """rows with the sum of `value` (or the number) of rows that come earlier by the numeric column `order`, then by ties, which leave none.
 
-    Slice bounds are approximate quantiles (a list of `slices` numbers); sums by slice are one row each.
+    Slice bounds are approximate quantiles, as many as the number of rows asks for; sums by slice are one row each.
     """
-    at = [k / slices for k in range(1, slices)]
-    bounds = rows.agg(F.percentile_approx(order, at, 10_000).alias("q")).first()["q"] or []
-    of = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    at = [k / MOST for k in range(1, MOST)]
+    shape = rows.agg(F.count("*").alias("n"), F.percentile_approx(order, at, 40_000).alias("q")).first()
+    slices = slices or min(MOST, max(LEAST, shape["n"] // SLICE_ROWS))
+    bounds = sorted(set((shape["q"] or [])[MOST // slices - 1 :: MOST // slices]))
     v = F.col(value) if value else F.lit(1)
-    cut = rows.withColumn("_slice", of)
+    cut = rows.withColumn("_slice", _place(order, bounds) if bounds else F.lit(0))
     sums = cut.groupBy("_slice").agg(F.sum(v).alias("_total"))
-    bases = sums.select("_slice", (F.sum("_total").over(Window.orderBy("_slice")) - F.col("_total")).alias("_base"))
-    within = F.sum(v).over(Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select("_slice", (F.sum("_total").over(Window.orderBy("_slice")) - F.col("_total")).alias("_base"))  # MOST + 1 rows at most
+    within = F.sum(v).over(Window.partitionBy("_slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
     return cut.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(bases), "_slice").withColumn(name, F.col("_base") + F.col("_within")).drop("_slice", "_base", "_within")

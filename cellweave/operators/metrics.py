@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import running_sum
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
@@ -18,29 +20,21 @@ def precision_recall(pred: DataFrame, positive: int, truth: str = "class_true",
     return pred.agg(_ratio(hit, F.count_if(F.col(guess) == positive)).alias("precision"), _ratio(hit, F.count_if(F.col(truth) == positive)).alias("recall"))
 
 
-def threshold_curve(pred: DataFrame, truth: str = "truth", score: str = "score", digits: int = 4) -> DataFrame:
-    """One row per distinct score (to `digits`), from the largest: tp, fp, positives, negatives."""
-    at = pred.groupBy(F.round(score, digits).alias("score")).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
-    order = Window.orderBy(F.col("score").desc())
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return at.select("score", F.sum("p").over(upto).alias("tp"), F.sum("n").over(upto).alias("fp"), F.sum("p").over(everything).alias("positives"), F.sum("n").over(everything).alias("negatives"))
+def threshold_curve(pred: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
+    """One row per distinct score: p and n there, tp and fp down to it, positives and negatives of all. Sums run in slices of the scores, however many there are."""
+    at = pred.groupBy(F.col(score).alias("score")).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
+    down = running_sum(running_sum(at.withColumn("_down", -F.col("score")), "_down", "p", "_p"), "_down", "n", "_n")
+    everything = at.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    return down.select("score", "p", "n", (F.col("_p") + F.col("p")).alias("tp"), (F.col("_n") + F.col("n")).alias("fp")).crossJoin(F.broadcast(everything))  # one row
 
 
 def roc_pr_auc(pred: DataFrame, **columns: str) -> DataFrame:
-    """roc_auc and pr_auc by trapezoids over the threshold curve."""
-    curve = threshold_curve(pred, **columns)
-    order = Window.orderBy(F.col("score").desc())
-    tpr, fpr = _ratio(F.col("tp"), F.col("positives")), _ratio(F.col("fp"), F.col("negatives"))
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    points = curve.select("score", tpr.alias("tpr"), fpr.alias("fpr"), prec.alias("prec"))
-    steps = points.select(
-        (F.col("fpr") - F.lag("fpr", 1, 0.0).over(order)).alias("dx"),
-        (F.col("tpr") + F.lag("tpr", 1, 0.0).over(order)).alias("y"),
-        (F.col("tpr") - F.lag("tpr", 1, 0.0).over(order)).alias("dr"),
-        (F.col("prec") + F.lag("prec", 1, 1.0).over(order)).alias("p"),
-    )
-    return steps.agg((F.sum(F.col("dx") * F.col("y")) / 2).alias("roc_auc"), (F.sum(F.col("dr") * F.col("p")) / 2).alias("pr_auc"))
+    """roc_auc and pr_auc by trapezoids over the threshold curve; the point before each one follows from its own counts."""
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
+    before = F.when(tp + fp > p + n, (tp - p) / F.nullif(tp + fp - p - n, F.lit(0))).otherwise(1.0)
+    roc = _ratio(n, F.col("negatives")) * _ratio(2 * tp - p, F.col("positives"))
+    pr = _ratio(p, F.col("positives")) * (tp / (tp + fp) + before)
+    return threshold_curve(pred, **columns).agg((F.sum(roc) / 2).alias("roc_auc"), (F.sum(pr) / 2).alias("pr_auc"))
 
 
 def f1_at(pred: DataFrame, threshold: float = 0.5, truth: str = "truth", score: str = "score") -> DataFrame:

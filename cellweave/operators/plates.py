@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import running_sum
+
 
 def cluster_positions(tiles: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """A number for each group of close stage positions, from 0 in ascending order, in column `out`.
@@ -69,9 +71,10 @@ def tile_id(name: str) -> Column:
 
 
 def measurement_order(paths: DataFrame, column: str = "path") -> DataFrame:
-    """Measurement folders by the time in their names, with a rank from 0."""
+    """Measurement folders by the time in their names (those without one first), then by name, with a rank from 0. Ranked in slices of time."""
     stamp = F.regexp_extract(column, r"(\d{4}-\d{2}-\d{2}T\d{2}_\d{2}_\d{2})", 1)
-    return paths.withColumn("stamp", stamp).withColumn("rank", F.row_number().over(Window.orderBy("stamp", column)) - 1)
+    seconds = F.coalesce(F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH_mm_ss"))), F.lit(-(1 << 62)))
+    return running_sum(paths.withColumn("stamp", stamp).withColumn("_seconds", seconds), "_seconds", name="rank", ties=[column]).drop("_seconds")
 
 
 def images_from_xml(spark, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _ranked(rows: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> Dat
     if by:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(shuffle_key(key, seed), key)))
     hashed = rows.withColumn("_order", shuffle_key(key, seed) * 4096.0 + F.pmod(F.col(key), F.lit(4096)))
-    return running_sum(hashed, "_order").withColumn("rank", (F.col("before") + 1).cast("int")).drop("before", "_order")
+    return running_sum(hashed, "_order", ties=[key]).withColumn("rank", (F.col("before") + 1).cast("int")).drop("before", "_order")
 
 
 def split_fractions(rows: DataFrame, fractions: Sequence[float], names: Sequence[str], key: str, seed: int = 0) -> DataFrame:

@@ -38,14 +38,17 @@ def _plan(spark: SparkSession, height: int, width: int, rows: int, cols: int, ov
 
 
 def plan_to_json(plan: DataFrame) -> DataFrame:
-    """id and its window as JSON with start, stop and step of both axes."""
-    window = F.struct(*[F.struct(F.col(f"{a}0").alias("start"), F.col(f"{a}1").alias("stop"), F.lit(None).cast("int").alias("step")).alias(a) for a in "yx"])
+    """id and its window as JSON with start, stop and step of both axes; steps from columns ys and xs, null without them."""
+    step = {a: F.col(f"{a}s") if f"{a}s" in plan.columns else F.lit(None).cast("int") for a in "yx"}
+    window = F.struct(*[F.struct(F.col(f"{a}0").alias("start"), F.col(f"{a}1").alias("stop"), step[a].alias("step")).alias(a) for a in "yx"])
     return plan.select("id", F.to_json(F.struct("id", window.alias("window")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def plan_from_json(rows: DataFrame) -> DataFrame:
+    """id, y0, y1, x0, x1, and the steps ys and xs."""
     parsed = F.from_json("json", f"id int, window {WINDOW}")
-    return rows.select(parsed.alias("p")).select("p.id", F.col("p.window.y.start").alias("y0"), F.col("p.window.y.stop").alias("y1"), F.col("p.window.x.start").alias("x0"), F.col("p.window.x.stop").alias("x1"))
+    ends = [F.col(f"p.window.{a}.{part}").alias(a + k) for a in "yx" for part, k in (("start", "0"), ("stop", "1"))]
+    return rows.select(parsed.alias("p")).select("p.id", *ends, F.col("p.window.y.step").alias("ys"), F.col("p.window.x.step").alias("xs"))
 
 
 def with_shards(px: DataFrame, plan: DataFrame) -> DataFrame:
@@ -58,7 +61,9 @@ def with_shards(px: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def with_halo(px: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Columns ty, tx, core: each pixel once for its tile and again for the neighbours within `halo`, so that a tile's neighbourhoods are whole."""
+    """Columns ty, tx, core: each pixel once for its tile and again for the neighbours within `halo`, so that a tile's neighbourhoods are whole. A halo wider than a tile is refused, as it would reach past the neighbours."""
+    if halo > tile:
+        raise ValueError("the halo has to be no wider than a tile")
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     sent = px.withColumn("o", near).withColumns({"ty": F.expr(f"cast(y div {tile} + o.a as int)"), "tx": F.expr(f"cast(x div {tile} + o.b as int)")})
     inside = (F.col("y") >= F.col("ty") * tile - halo) & (F.col("y") < (F.col("ty") + 1) * tile + halo) & (F.col("x") >= F.col("tx") * tile - halo) & (F.col("x") < (F.col("tx") + 1) * tile + halo)
@@ -122,21 +127,3 @@ def merge_shards(labels: DataFrame, by: str = "image_id") -> DataFrame:
 def missing_shards(plan: DataFrame, done: DataFrame) -> DataFrame:
     """Shards still to do when a run is resumed."""
     return plan.join(done.select("id").distinct(), "id", "left_anti")
-
-
-def chunk_shape(shape: Sequence[int], item_bytes: int, target_bytes: int) -> list[int]:
-    """Axes halved in turn until a chunk fits."""
-    out, axis = list(shape), 0
-    while math.prod(out) * item_bytes > target_bytes and any(n > 1 for n in out):
-        out[axis] = max(out[axis] // 2, 1)
-        axis = (axis + 1) % len(out)
-    return out
-
-
-def chunk_shape_from(shape: Sequence[int], item_bytes: int, unit: Sequence[int], target_bytes: int) -> list[int]:
-    """Axes grown in turn by the storage chunk until the target is reached or the shape is."""
-    out, axis = list(unit), 0
-    while math.prod(out) * item_bytes < target_bytes and any(a < b for a, b in zip(out, shape, strict=True)):
-        out[axis] = min(out[axis] + unit[axis], shape[axis])
-        axis = (axis + 1) % len(out)
-    return out

@@ -102,10 +102,10 @@ def p26_channel_selector(spark, d):
     return pixels.select_channels(_stack(spark, d).withColumnRenamed("z", "c"), [2, 0]).select("stack", "c", "y", "x", "value")
 
 
-@query(f"{with_views('px')}, {_STACK} SELECT stack, c::INT AS c, y, x, value FROM stack, range(3) AS r(c) WHERE z = 0")
+@query(f"{with_views('px')} SELECT image_id, c::INT AS c, y, x, value FROM px, range(3) AS r(c)")
 def p27_channel_multiplier(spark, d):
-    px = _stack(spark, d).where("z = 0").withColumnRenamed("z", "c")
-    return pixels.repeat_channel(px, 3).select("stack", "c", "y", "x", "value")
+    px = A.pixels(spark, d).withColumn("c", F.lit(0))
+    return pixels.repeat_channel(px, 3).select("image_id", "c", "y", "x", "value")
 
 
 @query(f"{with_views('px')} SELECT image_id, (CASE image_id % 4 WHEN 0 THEN y WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y ELSE x END)::INT AS y, (CASE image_id % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7 - x ELSE 7 - y END)::INT AS x, value FROM px")
@@ -511,7 +511,7 @@ def l5_pixels_by_shard(spark, d):
 def l6_missing_shards(spark, d):
     """A plan through JSON and back, less what is done."""
     _, h, w = _mosaic(spark, d)
-    plan = tiling.plan_from_json(tiling.plan_to_json(tiling.shard_plan(spark, int(h), int(w), 4096, 5)))
+    plan = tiling.plan_from_json(tiling.plan_to_json(tiling.shard_plan(spark, int(h), int(w), 4096, 5))).drop("ys", "xs")
     return tiling.missing_shards(plan, plan.where("id % 3 = 0"))
 
 

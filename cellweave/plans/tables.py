@@ -73,9 +73,9 @@ def j10_first_measurement(spark, d):
     return plates.first_measurement(tiles.select(*keys, "rank", "tile_id", "file"), keys, "rank")
 
 
-@query("SELECT 'exp-' || c_mktsegment || '-' || strftime(make_timestamp((1500000000 + c_custkey * 1000)::BIGINT * 1000000), '%Y-%m-%dT%H_%M_%S') AS path, row_number() OVER (ORDER BY c_custkey) - 1 AS rank FROM customer WHERE c_custkey < 500")
+@query("SELECT 'exp-' || c_mktsegment || '-' || strftime(make_timestamp((1500000000 + c_custkey * 1000)::BIGINT * 1000000), '%Y-%m-%dT%H_%M_%S') AS path, row_number() OVER (ORDER BY c_custkey) - 1 AS rank FROM customer")
 def s20_measurement_order(spark, d):
-    rows = A.table(spark, d, "customer").where("c_custkey < 500")
+    rows = A.table(spark, d, "customer")
     stamp = F.date_format(F.timestamp_seconds(1500000000 + F.col("c_custkey") * 1000), "yyyy-MM-dd'T'HH_mm_ss")
     return plates.measurement_order(rows.select(F.concat(F.lit("exp-"), "c_mktsegment", F.lit("-"), stamp).alias("path"))).select("path", F.col("rank").cast("long").alias("rank"))
 
@@ -95,11 +95,11 @@ def o4_split_fractions(spark, d):
     return sampling.split_fractions(A.table(spark, d, "documents").select("doc_id"), [0.7, 0.2, 0.1], ["train", "val", "test"], "doc_id").select("doc_id", "split")
 
 
-@query(f"""WITH s AS (SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'fr')), c AS (SELECT lang, source, count(*) AS n FROM s GROUP BY 1, 2), q AS (SELECT lang, source, round_even(20 * n / sum(n) OVER (PARTITION BY lang), 0)::BIGINT AS quota FROM c),
+@query(f"""WITH s AS (SELECT doc_id, lang, source FROM documents), c AS (SELECT lang, source, count(*) AS n FROM s GROUP BY 1, 2), q AS (SELECT lang, source, round_even(10 * n / sum(n) OVER (PARTITION BY lang), 0)::BIGINT AS quota FROM c),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY {_HASH}, doc_id) AS k FROM s) SELECT doc_id, lang, source FROM r JOIN q USING (lang, source) WHERE k <= quota""")
 def o3_balanced(spark, d):
-    rows = A.table(spark, d, "documents").where("lang in ('en', 'fr')").select("doc_id", "lang", "source")
-    return sampling.balanced_per_class(rows, "lang", "source", "doc_id", 20).select("doc_id", "lang", "source")
+    rows = A.table(spark, d, "documents").select("doc_id", "lang", "source")
+    return sampling.balanced_per_class(rows, "lang", "source", "doc_id", 10).select("doc_id", "lang", "source")
 
 
 @query("WITH n AS (SELECT least(greatest((count(*) + 7) // 8, 100), 1000) AS size FROM documents) SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS save_index, (row_number() OVER (ORDER BY doc_id) - 1) // size AS batch FROM documents, n")
@@ -121,7 +121,7 @@ def a14_precision_recall(spark, d):
     return metrics.precision_recall(A.scores(spark, d), 1)
 
 
-_CURVE = """byscore AS (SELECT round(score, 4) AS score, sum(truth) AS p, sum(1 - truth) AS n FROM scores GROUP BY 1), c AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pp, sum(n) OVER () AS nn FROM byscore WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+_CURVE = """byscore AS (SELECT score, sum(truth) AS p, sum(1 - truth) AS n FROM scores GROUP BY 1), c AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pp, sum(n) OVER () AS nn FROM byscore WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
     q AS (SELECT score, tp / nullif(pp, 0) AS tpr, fp / nullif(nn, 0) AS fpr, tp / (tp + fp) AS prec FROM c), st AS (SELECT fpr - lag(fpr, 1, 0) OVER o AS dx, tpr + lag(tpr, 1, 0) OVER o AS y, tpr - lag(tpr, 1, 0) OVER o AS dr, prec + lag(prec, 1, 1) OVER o AS p FROM q WINDOW o AS (ORDER BY score DESC))"""
 
 
@@ -165,13 +165,13 @@ def a19_label_counts(spark, d):
 @query(f"{with_views('sets')} SELECT name, well, unnest(classes) AS cell_id FROM sets")
 def j14_cell_ids(spark, d):
     """D11, J14, P25."""
-    return A.cell_sets(spark, d).select("name", "well", F.explode("classes").alias("cell_id"))
+    return A.cell_sets(spark, d)
 
 
 @query(f"{with_views('sets')} SELECT well, list_sort(list(name)) AS names FROM sets GROUP BY well")
 def j13_region_lookup(spark, d):
     """Region to tables."""
-    return A.cell_sets(spark, d).groupBy("well").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    return A.cell_sets(spark, d).select("name", "well").distinct().groupBy("well").agg(F.sort_array(F.collect_list("name")).alias("names"))
 
 
 @query(f"{with_views('px', 'nuc')}, c AS (SELECT cell_id, count(*) AS n FROM nuc GROUP BY cell_id), i AS (SELECT DISTINCT image_id + 1 AS cell_id, (image_id + 1) * 7 % 101 AS position FROM px WHERE image_id % 10 = 0) SELECT cell_id, position, n FROM i JOIN c USING (cell_id)")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import kernels as K
@@ -15,10 +16,18 @@ def test_tile_plan_of_small_image(spark):
 
 
 def test_plan_json_round_trip(spark):
-    plan = spark.createDataFrame([(17, 50, 175, 25, 225)], "id int, y0 int, y1 int, x0 int, x1 int")
+    """Steps are kept. The format of a stored plan."""
+    plan = spark.createDataFrame([(17, 50, 175, 25, 225, None, 5)], "id int, y0 int, y1 int, x0 int, x1 int, ys int, xs int")
     text = tiling.plan_to_json(plan)
-    assert text.first()["json"] == '{"id":17,"window":{"y":{"start":50,"stop":175,"step":null},"x":{"start":25,"stop":225,"step":null}}}'
-    assert tiling.plan_from_json(text.select("json")).collect() == plan.collect()
+    assert text.first()["json"] == '{"id":17,"window":{"y":{"start":50,"stop":175,"step":null},"x":{"start":25,"stop":225,"step":5}}}'
+    assert tiling.plan_from_json(text.select("json")).select(*plan.columns).collect() == plan.collect()
+    bare = plan.drop("ys", "xs")
+    assert tiling.plan_from_json(tiling.plan_to_json(bare)).where("ys is null and xs is null").select(*bare.columns).collect() == bare.collect()
+
+
+def test_wide_halo_is_refused(spark):
+    with pytest.raises(ValueError):
+        tiling.with_halo(spark.createDataFrame([(0, 0, 1.0)], "y int, x int, value double"), 2, 3)
 
 
 def shard_rows(shard, window, cells):
@@ -62,9 +71,3 @@ def test_with_shards_matches_windows(spark):
     plan = tiling.shard_plan(spark, 40, 30, 100, 3)
     got = tiling.with_shards(px, plan).groupBy("shard").count().collect()
     assert {r["shard"]: r["count"] for r in got} == {r["id"]: (r["y1"] - r["y0"]) * (r["x1"] - r["x0"]) for r in plan.collect()}
-
-
-def test_chunk_shapes():
-    assert tiling.chunk_shape([100, 100], 1, 10_000) == [100, 100]
-    assert tiling.chunk_shape([100, 100], 1, 5_000) == [50, 100]
-    assert tiling.chunk_shape_from([100, 100], 1, [10, 10], 300) == [20, 20]

@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graphs import _cut as _written
+
 WINDOW = "struct<y:struct<start:int,stop:int,step:int>,x:struct<start:int,stop:int,step:int>>"
 
 
@@ -86,42 +88,71 @@ def per_tile(px: DataFrame, tile: int, halo: int, kernel: Callable[[np.ndarray],
     return with_halo(px, tile, halo).groupBy(*by, "ty", "tx").applyInPandas(run, f"{fields}, out double")
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold shards in order. State: the label at each pixel; see merge_shards."""
-    state: dict[tuple[int, int], int] = {}
-    shift = 0
-    for _, rows in pdf.sort_values("shard").groupby("shard", sort=True):
+def segment_shards(px: DataFrame, plan: DataFrame, segmenter: Callable[[np.ndarray], np.ndarray], by: str = "image_id") -> DataFrame:
+    """A segmenter (grid of values -> grid of labels, 0 for background) over each shard of each image: (by, shard, y0, y1, x0, x1, y, x, cell_id).
+
+    px(by, y, x, value); pixels that don't exist are 0, shards without pixels give nothing, and errors end the job. The
+    plan's windows bound what a task holds. Any model that labels an array is a segmenter.
+    """
+    kind = px.schema[by].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         y0, y1, x0, x1 = (int(rows[c].iloc[0]) for c in ("y0", "y1", "x0", "x1"))
-        on_edge = lambda p: p[0] in (y0, y1 - 1) or p[1] in (x0, x1 - 1)  # noqa: B023, E731
-        new = {(y, x): i + shift for y, x, i in zip(rows["y"], rows["x"], rows["cell_id"], strict=True) if i}
-        cut = {i for p, i in new.items() if on_edge(p)}
-        new = {p: i for p, i in new.items() if i not in cut}
-        old = {p: i for p, i in state.items() if y0 <= p[0] < y1 and x0 <= p[1] < x1}
-        old_cut = {i for p, i in old.items() if on_edge(p)}
-        discard = {old[p] for p in new if p in old} - old_cut
-        old = {p: i for p, i in old.items() if i not in discard}
-        problem = {i for p, i in new.items() if p in old}
-        result = old | {p: i for p, i in new.items() if i not in problem}
-        state = {p: i for p, i in state.items() if not (y0 <= p[0] < y1 and x0 <= p[1] < x1)} | result
-        shift = max([shift, *result.values()])
-    return pd.DataFrame([(y, x, i) for (y, x), i in state.items()], columns=["y", "x", "cell_id"])
+        grid = np.zeros((y1 - y0, x1 - x0))
+        grid[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = rows["value"].to_numpy()
+        labels = np.asarray(segmenter(grid))
+        if labels.shape != grid.shape:
+            raise ValueError("a segmenter has to label every pixel of its window")
+        y, x = np.nonzero(labels)
+        window = {c: np.full(len(y), v, np.int32) for c, v in (("y0", y0), ("y1", y1), ("x0", x0), ("x1", x1))}
+        return pd.DataFrame({by: rows[by].iloc[0], "shard": rows["shard"].iloc[0], **window, "y": (y + y0).astype(np.int32), "x": (x + x0).astype(np.int32), "cell_id": labels[y, x].astype(np.int64)})
+
+    shared = with_shards(px.select(by, "y", "x", "value"), plan)
+    return shared.groupBy(by, "shard").applyInPandas(run, f"{by} {kind}, shard int, y0 int, y1 int, x0 int, x1 int, y int, x int, cell_id long")
 
 
 def merge_shards(labels: DataFrame, by: str = "image_id") -> DataFrame:
-    """Shard labels (image, shard, y0, y1, x0, x1, y, x, cell_id; every pixel of a shard) to one mask per image.
+    """Shard labels (by, shard, y0, y1, x0, x1, y, x, cell_id; 0 and missing pixels are background) to one mask per image.
 
     In the order of shards: labels that touch their shard's border go; where a new cell meets a finished one, the new one
-    stays, unless the old one is cut by the window's border, when the old one stays. Ids continue over shards. One
-    image's shards are folded together, as each depends on those before it; images run side by side.
+    stays, unless the old one is cut by the window's border, when the old one stays. Ids continue over shards. Cells
+    decide this among themselves: pixels are joined where windows overlap, to pairs of cells, and are written once.
     """
-    fields = f"{by} {labels.schema[by].dataType.simpleString()}, y int, x int, cell_id long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _merge(pdf)
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
-
-    return labels.groupBy(by).applyInPandas(run, fields)
+    cell = [by, "shard", "cell_id"]
+    border = lambda w: F.col("y").isin(F.col(f"{w}y0"), F.col(f"{w}y1") - 1) | F.col("x").isin(F.col(f"{w}x0"), F.col(f"{w}x1") - 1)
+    whole = labels.where("cell_id != 0").withColumn("cut", border(""))
+    whole = whole.join(whole.groupBy(*cell).agg(F.bool_or("cut").alias("edge")).where("not edge").drop("edge"), cell)
+    px = _written(whole.select(*cell, "y", "x"))
+    shards = _written(labels.select(by, F.col("shard").alias("later"), *[F.col(c).alias(f"l_{c}") for c in ("y0", "y1", "x0", "x1")]).distinct())
+    # each finished pixel under every later window that holds it, by windows of a bucket of the least side
+    side = shards.agg(F.min(F.least(F.col("l_y1") - F.col("l_y0"), F.col("l_x1") - F.col("l_x0")))).first()[0] or 1
+    wide = shards.withColumn("by_", F.explode(F.sequence(F.expr(f"l_y0 div {side}"), F.expr(f"(l_y1 - 1) div {side}")))).withColumn("bx_", F.explode(F.sequence(F.expr(f"l_x0 div {side}"), F.expr(f"(l_x1 - 1) div {side}"))))
+    keyed = px.withColumns({"by_": F.expr(f"y div {side}"), "bx_": F.expr(f"x div {side}")})
+    inside = (F.col("later") > F.col("shard")) & (F.col("y") >= F.col("l_y0")) & (F.col("y") < F.col("l_y1")) & (F.col("x") >= F.col("l_x0")) & (F.col("x") < F.col("l_x1"))
+    seen = keyed.join(wide, [by, "by_", "bx_"]).where(inside).withColumn("cut", border("l_"))
+    new = px.select(by, F.col("shard").alias("later"), F.col("cell_id").alias("new_id"), "y", "x")
+    met = seen.join(new, [by, "later", "y", "x"], "left")
+    pairs = met.groupBy(*cell, "later", "new_id").agg(F.bool_or("cut").alias("cut"))
+    cut = pairs.groupBy(*cell, "later").agg(F.bool_or("cut").alias("cut"))
+    pairs = _written(pairs.where("new_id is not null").drop("cut").join(cut, [*cell, "later"]))
+    # an old cell that isn't cut goes at the first window where a new one meets it; a cut one bars the new one, if both are there
+    gone = pairs.where("not cut").groupBy(*cell).agg(F.min("later").alias("until"))
+    bars = _written(pairs.where("cut").join(gone, cell, "left").where("until is null or until > later").select(by, "shard", "cell_id", "later", "new_id"))
+    cells = px.select(*cell).distinct()
+    barred = None
+    old, fresh = [F.col(c) for c in cell], [F.col(by), F.col("later").alias("shard"), F.col("new_id").alias("cell_id")]
+    while True:  # a bar counts if its own cell isn't barred; settled after as many rounds as bars follow on each other
+        held = bars if barred is None else bars.join(barred, cell, "left_anti")
+        now = _written(held.select(*fresh).distinct())
+        if barred is not None and now.count() == barred.count() and now.join(barred, cell, "left_anti").isEmpty():
+            break
+        barred = now
+    born = cells.join(barred, cell, "left_anti")
+    top = shards.select(by, F.col("later").alias("shard")).join(born.groupBy(by, "shard").agg(F.max("cell_id").alias("top")), [by, "shard"], "left")
+    before = Window.partitionBy(by).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shift = top.select(by, "shard", F.coalesce(F.sum("top").over(before), F.lit(0)).alias("shift"))  # a row per shard
+    alive = born.join(gone, cell, "left_anti").join(shift, [by, "shard"])
+    return px.join(alive, cell).select(by, "y", "x", (F.col("cell_id") + F.col("shift")).alias("cell_id"))
 
 
 def missing_shards(plan: DataFrame, done: DataFrame) -> DataFrame:

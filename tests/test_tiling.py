@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,68 @@ def shard_rows(shard, window, cells):
     return out
 
 
+def fold(pdf):
+    """Brute force: shards folded in order over a whole image; the state is the label at each pixel."""
+    state: dict[tuple[int, int], int] = {}
+    shift = 0
+    for _, rows in pdf.sort_values("shard").groupby("shard", sort=True):
+        y0, y1, x0, x1 = (int(rows[c].iloc[0]) for c in ("y0", "y1", "x0", "x1"))
+        on_edge = lambda p: p[0] in (y0, y1 - 1) or p[1] in (x0, x1 - 1)  # noqa: B023, E731
+        new = {(y, x): i + shift for y, x, i in zip(rows["y"], rows["x"], rows["cell_id"], strict=True) if i}
+        cut = {i for p, i in new.items() if on_edge(p)}
+        new = {p: i for p, i in new.items() if i not in cut}
+        old = {p: i for p, i in state.items() if y0 <= p[0] < y1 and x0 <= p[1] < x1}
+        old_cut = {i for p, i in old.items() if on_edge(p)}
+        discard = {old[p] for p in new if p in old} - old_cut
+        old = {p: i for p, i in old.items() if i not in discard}
+        problem = {i for p, i in new.items() if p in old}
+        result = old | {p: i for p, i in new.items() if i not in problem}
+        state = {p: i for p, i in state.items() if not (y0 <= p[0] < y1 and x0 <= p[1] < x1)} | result
+        shift = max([shift, *result.values()])
+    return pd.DataFrame([(y, x, i) for (y, x), i in state.items()], columns=["y", "x", "cell_id"])
+
+
+def random_shards(seed):
+    """Six overlapping shards of one image, each labelled on its own: cells of one to nine pixels, some at borders, some seen twice."""
+    rng = np.random.default_rng(seed)
+    cells, rows = [], []
+    for _ in range(60):
+        y, x, h, w = rng.integers(0, 24), rng.integers(0, 36), rng.integers(1, 4), rng.integers(1, 4)
+        cells.append({(y + a, x + b) for a in range(h) for b in range(w)})
+    for shard, window in enumerate([(r, r + 14, c, c + 16) for r in (0, 10) for c in (0, 10, 20)]):
+        y0, y1, x0, x1 = window
+        labels = {}
+        for k in rng.permutation(len(cells)):
+            if rng.random() < 0.8:
+                moved = {(y + rng.integers(0, 2), x) for y, x in cells[k]} if rng.random() < 0.3 else cells[k]
+                mine = {p for p in moved if y0 <= p[0] < y1 and x0 <= p[1] < x1 and p not in labels}
+                labels |= {p: int(k) + 1 for p in mine}
+        rows += [(seed, shard, *window, int(y), int(x), i) for (y, x), i in labels.items()]
+    return rows
+
+
+def test_merge_against_folding(spark):
+    rows = [r for seed in range(12) for r in random_shards(seed)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(tuple(r) for r in tiling.merge_shards(table).collect())
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    want = [(seed, *r) for seed, part in frame.groupby("image_id") for r in fold(part).itertuples(index=False, name=None)]
+    assert got == sorted(want)
+
+
+def test_segmentation_by_shards(spark):
+    """Shards segmented on their own and merged: each blob inside some shard once, as the whole image has it; one shard is the image without cells at its border."""
+    image = np.zeros((40, 40))
+    for y, x in [(5, 5), (5, 18), (18, 20), (30, 8), (33, 33), (20, 34), (0, 30)]:
+        image[y : y + 3, x : x + 4] = 1
+    px = spark.createDataFrame([(7, y, x, float(image[y, x])) for y in range(40) for x in range(40)], "image_id long, y int, x int, value double")
+    for plan in (tiling.shard_plan(spark, 40, 40, 400, 6), tiling.shard_plan(spark, 40, 40, 1600, 0)):
+        got = {}
+        for r in tiling.merge_shards(tiling.segment_shards(px, plan, lambda a: K.label_mask(a > 0))).collect():
+            got.setdefault(r["cell_id"], set()).add((r["y"], r["x"]))
+        assert sorted(map(sorted, got.values())) == sorted(sorted((a, b) for a in range(y, y + 3) for b in range(x, x + 4)) for y, x in [(5, 5), (5, 18), (18, 20), (30, 8), (33, 33), (20, 34)])
+
+
 SCHEMA = "image_id long, shard int, y0 int, y1 int, x0 int, x1 int, y int, x int, cell_id long"
 
 

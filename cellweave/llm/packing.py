@@ -21,6 +21,8 @@ from . import common
 from .tokens import PieceEncoder, byte_bpe_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Text bytes encoded at once.
+SLICE_BYTES = 2 << 20
 #: Pieces of one length that are ranked in one window; a commoner length is dealt over as many as it takes.
 RANKED_AT_ONCE = 500
 
@@ -41,7 +43,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabul
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = PieceEncoder.of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in common.slices(batch, 1):
+            for part in common.slices(batch, 1, SLICE_BYTES):
                 flat, at = encoder.ids(part.column(1))
                 doc, piece, start, length, crc = [], [], [], [], []
                 for k, key in enumerate(part.column(0).to_pylist()):
@@ -54,6 +56,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabul
                         crc.append(zlib.crc32(ids[4 * begun : 4 * (begun + n)]))
                         begun += n
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                pa.default_memory_pool().release_unused()  # what a slice has freed doesn't stay with the worker
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, PIECES)
 

@@ -13,10 +13,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-#: Pieces that a worker remembers, some 60 bytes each; beyond it, it starts anew. Bounds memory, never results.
-CACHE_ENTRIES = 1_000_000
+#: Pieces that a worker remembers, some 150 bytes each; beyond it, it starts anew. Bounds memory, never results.
+CACHE_ENTRIES = 500_000
 #: Pieces handed to the library at once, which holds some 1 KB for each until its ids are taken.
 ENCODED_AT_ONCE = 10_000
 #: Bytes of one text that are cut at once.
@@ -70,8 +69,9 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Known pieces as one Arrow array, their ids in a row, and where each piece's begin."""
-        self.pieces, self.flat, self.begins = pa.array([], pa.large_binary()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        """Known pieces and their places, all their ids in a row, and where each piece's begin."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.begins = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -79,29 +79,28 @@ class PieceEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _remember(self, pieces: pa.Array) -> None:
+    def _remember(self, pieces: list[bytes]) -> None:
         lengths, ids = [], []
         for at in range(0, len(pieces), ENCODED_AT_ONCE):
-            texts = [p.decode("utf-8", "replace") for p in pieces.slice(at, ENCODED_AT_ONCE).to_pylist()]
+            texts = [p.decode("utf-8", "replace") for p in pieces[at : at + ENCODED_AT_ONCE]]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
             ids.append(np.fromiter(chain.from_iterable(got), "<u4", int(lengths[-1].sum())))
         ends = np.cumsum(np.concatenate(lengths))
         self.begins = np.concatenate([self.begins, ends + self.begins[-1]])
         self.flat = np.concatenate([self.flat, *ids])
-        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
 
     def _places(self, distinct: pa.Array) -> np.ndarray:
         """Where each distinct piece is among the known ones; new ones are encoded."""
-        found = pc.index_in(distinct, value_set=self.pieces)
-        if found.null_count:
-            missing = distinct.filter(found.is_null())
-            if len(self.pieces) + len(missing) > CACHE_ENTRIES:
-                self._forget()
-                missing = distinct
+        pieces = distinct.to_pylist()
+        missing = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(missing) > CACHE_ENTRIES:
+            self._forget()
+            missing = pieces
+        if missing:
             self._remember(missing)
-            found = pc.index_in(distinct, value_set=self.pieces)
-        return found.to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Starts and ends of all pieces in the texts' buffer, them as an Arrow array, and the number before each text."""

@@ -14,13 +14,12 @@ _STEP = 64
 
 def _place(order: str, bounds: list) -> Column:
     """How many bounds are at or below the value: first among every 64th, then among the 64 after it."""
-    below = lambda some: F.size(F.filter(some, lambda b: b <= F.col(order)))
-    coarse = F.array(*[F.lit(b) for b in bounds[_STEP - 1 :: _STEP]]) if len(bounds) >= _STEP else None
     fine = [F.array(*[F.lit(b) for b in bounds[k : k + _STEP]]) for k in range(0, len(bounds), _STEP)]
-    if coarse is None:
-        return below(fine[0])
-    first = below(coarse)
-    return first * _STEP + F.coalesce(below(F.get(F.array(*fine), first)), F.lit(0))
+    first = F.lit(0)
+    for b in bounds[_STEP - 1 :: _STEP]:
+        first = first + (F.lit(b) <= F.col(order)).cast("int")
+    near = F.get(F.array(*fine), first) if len(fine) > 1 else fine[0]
+    return first * _STEP * int(len(fine) > 1) + F.coalesce(F.size(F.filter(near, lambda b: b <= F.col(order))), F.lit(0))
 
 
 def running_sum(rows: DataFrame, order: str, value: str | None = None, name: str = "before", slices: int | None = None, ties: Sequence[str] = ()) -> DataFrame:

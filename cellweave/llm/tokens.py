@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker remembers, some 150 bytes each; beyond it, it starts anew. Bounds memory, never results.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 600_000
 #: Pieces handed to the library at once, which holds some 1 KB for each until its ids are taken.
 ENCODED_AT_ONCE = 10_000
 #: Bytes of one text that are cut at once.

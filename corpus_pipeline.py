@@ -41,6 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per packed piece of every document that the stages keep (see packing.pack).
+
+    Null texts count as empty and null ids as ids like any other, in every stage; rows that repeat both are one document
+    to exact dedup; all other columns pass through whatever their names; without documents there are no rows.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

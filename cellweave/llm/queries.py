@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, licenses, packing, simhash, token_counts, token_store, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, simhash, token_counts, token_store, toxicity, url_filter
 from .common import new_path, read
 
 
@@ -57,7 +57,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_token_store, op7_license_scan, op8_toxicity, op9_decontamination, op10_chat_format)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(read(spark, sf_dir, "documents")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_token_store, op7_license_scan, op8_toxicity, op9_decontamination, op10_chat_format, op12_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -110,4 +114,12 @@ ORACLE_SQL = {
             coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             sum(prefix) FILTER (WHERE role = 'assistant' OR last)::BIGINT AS formatted_chars
         FROM upto GROUP BY conv_id, alone""",
+    "op12_line_dedup": rf"""
+        WITH cut AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        each AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM cut),
+        keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
+        often AS (SELECT key, max(doc_id) AS last FROM (SELECT DISTINCT row, doc_id, key FROM keyed WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3),
+        judged AS (SELECT row, keyed.doc_id, i, line, last IS NOT NULL AND keyed.doc_id IS DISTINCT FROM last AS dropped FROM keyed LEFT JOIN often USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY row, doc_id""",
 }

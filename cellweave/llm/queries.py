@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, simhash, token_counts, token_store, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, prefix_trie, simhash, token_counts, token_store, toxicity, url_filter
 from .common import new_path, read
 
 
@@ -57,11 +57,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuild(read(spark, sf_dir, "conversations"))).drop("enter", "leave")
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(read(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_token_store, op7_license_scan, op8_toxicity, op9_decontamination, op10_chat_format, op12_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_token_store, op7_license_scan, op8_toxicity, op9_decontamination, op10_chat_format, op11_prefix_trie, op12_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -114,6 +118,20 @@ ORACLE_SQL = {
             coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             sum(prefix) FILTER (WHERE role = 'assistant' OR last)::BIGINT AS formatted_chars
         FROM upto GROUP BY conv_id, alone""",
+    "op11_prefix_trie": r"""
+        WITH given AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns FROM given GROUP BY conv_id),
+        heads AS (SELECT conv_id, turns, (xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4)::BIGINT AS h FROM own),
+        whole AS (SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+        member AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM whole),
+        nodes AS (SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, list(conv_id ORDER BY conv_id) FILTER (WHERE len(turns) = depth) AS ends FROM member GROUP BY ALL),
+        linked AS (SELECT n.*, p.conv_id AS parent_conv_id, (n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.path[n.depth].text, '[^\x20\x09-\x0D]+')) END AS saved,
+            (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.path[1:n.depth] = n.path) AS n_children FROM (SELECT n_convs, depth, conv_id, ends, path FROM nodes) n LEFT JOIN (SELECT path, depth, conv_id FROM nodes) p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]),
+        up AS (SELECT unnest(range(0, depth + 1)) AS top, path, saved, n_children FROM linked),
+        sums AS (SELECT top, path[1:top] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY top, path[1:top])
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(array_to_string(ends, ','), '')) AS ends_sha256
+        FROM linked JOIN sums ON top = depth AND sums.path = linked.path""",
     "op12_line_dedup": rf"""
         WITH cut AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         each AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM cut),

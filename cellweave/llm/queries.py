@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, prefix_trie, simhash, token_counts, token_store, toxicity, url_filter
+from . import alignment, chat, decontaminate, exact_dedup, licenses, line_dedup, packing, prefix_trie, simhash, token_counts, token_store, toxicity, url_filter
 from .common import new_path, read
 
 
@@ -65,7 +65,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(read(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_token_store, op7_license_scan, op8_toxicity, op9_decontamination, op10_chat_format, op11_prefix_trie, op12_line_dedup)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_token_store, op7_license_scan, op8_toxicity, op9_decontamination, op10_chat_format, op11_prefix_trie, op12_line_dedup, op13_token_alignment)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

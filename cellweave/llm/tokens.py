@@ -58,7 +58,9 @@ def mark_starts(data: np.ndarray, cut: np.ndarray) -> None:
 class PieceEncoder:
     """One per Python worker and vocabulary."""
 
-    _made: dict[str, PieceEncoder] = {}
+    _made: dict[tuple[type, str], PieceEncoder] = {}
+    entries: int | None = None  # pieces that it remembers, where fewer than CACHE_ENTRIES
+    mark = staticmethod(mark_starts)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -68,6 +70,10 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self._forget()
 
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         """Known pieces and their places, all their ids in a row, and where each piece's begin."""
         self.known: dict[bytes, int] = {}
@@ -75,15 +81,14 @@ class PieceEncoder:
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        if (cls, path) not in cls._made:
+            cls._made[cls, path] = cls(path)
+        return cls._made[cls, path]
 
     def _remember(self, pieces: list[bytes]) -> None:
         lengths, ids = [], []
         for at in range(0, len(pieces), ENCODED_AT_ONCE):
-            texts = [p.decode("utf-8", "replace") for p in pieces[at : at + ENCODED_AT_ONCE]]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            got = self._encode(pieces[at : at + ENCODED_AT_ONCE])
             lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
             ids.append(np.fromiter(chain.from_iterable(got), "<u4", int(lengths[-1].sum())))
         ends = np.cumsum(np.concatenate(lengths))
@@ -95,7 +100,7 @@ class PieceEncoder:
         """Where each distinct piece is among the known ones; new ones are encoded."""
         pieces = distinct.to_pylist()
         missing = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
+        if len(self.known) + len(missing) > (self.entries or CACHE_ENTRIES):
             self._forget()
             missing = pieces
         if missing:
@@ -112,7 +117,7 @@ class PieceEncoder:
         for at in range(0, len(data), WINDOW):  # three bytes more, for the character before the window
             low = max(0, at - 3)
             found = np.zeros(len(data[low : at + WINDOW]), bool)
-            mark_starts(data[low : at + WINDOW], found)
+            self.mark(data[low : at + WINDOW], found)
             cut[at : at + len(found) - (at - low)] = found[at - low :]
         cut[bounds] = True
         starts = np.flatnonzero(cut[: len(data)])
@@ -129,6 +134,9 @@ class PieceEncoder:
         """All texts' ids in a row, and where each text's begin (one more than texts)."""
         _, _, pieces, before = self._pieces(texts.fill_null(""))
         where = self._looked_up(pieces)
+        return self._joined(where, before)
+
+    def _joined(self, where: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, lengths = self.begins[where], np.diff(self.begins)[where]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(first - ends[:-1], lengths)

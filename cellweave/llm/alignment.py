@@ -52,6 +52,12 @@ class _Side(PieceEncoder):
         super()._forget()
         self.wrong = np.zeros(0, bool)
 
+    def _make_room(self, room: int) -> None:
+        again, wrong = self.met > 1, self.wrong
+        super()._make_room(room)
+        if len(self.known) == again.sum():
+            self.wrong = wrong[again]
+
     def _remember(self, pieces: list[bytes]) -> None:
         n = len(self.known)
         super()._remember(pieces)

@@ -14,8 +14,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-#: Pieces that a worker remembers, some 150 bytes each; beyond it, it starts anew. Bounds memory, never results.
-CACHE_ENTRIES = 600_000
+#: Pieces that a worker remembers, some 150 bytes each; beyond it, it keeps those that it has met again since. Bounds memory, never results.
+CACHE_ENTRIES = 300_000
 #: Pieces handed to the library at once, which holds some 1 KB for each until its ids are taken.
 ENCODED_AT_ONCE = 10_000
 #: Bytes of one text that are cut at once.
@@ -75,9 +75,23 @@ class PieceEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        """Known pieces and their places, all their ids in a row, and where each piece's begin."""
+        """Known pieces and their places, all their ids in a row, where each piece's begin, and in how many slices each was met."""
         self.known: dict[bytes, int] = {}
         self.flat, self.begins = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int32)
+
+    def _make_room(self, room: int) -> None:
+        """Forget pieces that only one slice had; all, where too few are those."""
+        again = np.flatnonzero(self.met > 1)
+        if len(again) > min(room, len(self.known) // 2):
+            self._forget()
+            return
+        pieces = list(self.known)
+        first, lengths = self.begins[again], np.diff(self.begins)[again]
+        ends = np.append(0, np.cumsum(lengths))
+        self.flat = self.flat[np.repeat(first - ends[:-1], lengths) + np.arange(ends[-1])]
+        self.begins, self.met = ends, np.ones(len(again), np.int32)
+        self.known = {pieces[k]: i for i, k in enumerate(again.tolist())}
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -95,17 +109,21 @@ class PieceEncoder:
         self.begins = np.concatenate([self.begins, ends + self.begins[-1]])
         self.flat = np.concatenate([self.flat, *ids])
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.met = np.append(self.met, np.zeros(len(pieces), np.int32))
 
     def _places(self, distinct: pa.Array) -> np.ndarray:
         """Where each distinct piece is among the known ones; new ones are encoded."""
         pieces = distinct.to_pylist()
         missing = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(missing) > (self.entries or CACHE_ENTRIES):
-            self._forget()
-            missing = pieces
+        most = self.entries or CACHE_ENTRIES
+        if len(self.known) + len(missing) > most:
+            self._make_room(most - len(pieces))
+            missing = [p for p in pieces if p not in self.known]
         if missing:
             self._remember(missing)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        places = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.met[places] += 1
+        return places
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Starts and ends of all pieces in the texts' buffer, them as an Arrow array, and the number before each text."""

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cellweave.llm import packing, prefixes, token_counts, token_store, tokens
+from cellweave.llm import common, packing, prefixes, token_counts, token_store, tokens
 from cellweave.llm import queries
 from cellweave.llm.common import new_path
 
@@ -285,3 +286,27 @@ def test_token_store_layout_and_selective_reads(spark, clashing):
     assert "ids" not in token_store.lengths(store)._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1]
     got = token_store.digest(store).orderBy("start").collect()
     assert [r["start"] for r in got] == list(np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1])
+
+
+def test_pieces_met_again_are_kept(monkeypatch):
+    """A cache that overflows in nearly every slice gives the library's ids."""
+    rng = random.Random(8)
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 60)
+    encoder, library = tokens.PieceEncoder(PATHS[0]), Tokenizer.from_file(PATHS[0])
+    for _ in range(60):
+        texts = [" ".join(f"w{int(rng.expovariate(0.03))}" for _ in range(rng.randint(0, 20))) for _ in range(3)]
+        flat, at = encoder.ids(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) <= 120
+
+
+@pytest.mark.parametrize("ids", [[None] * 4000, [7] * 4000])
+def test_slots_of_one_id(spark, monkeypatch, ids):
+    """All pieces under one id, or none, are dealt as evenly as others, and each gets a slot of its own."""
+    monkeypatch.setattr(packing, "SUMMED_AT_ONCE", 7)
+    pieces = spark.createDataFrame([(i, 0, 0, 3 + k % 2, 0) for k, i in enumerate(ids)], packing.PIECES).repartition(4)
+    out = packing.assign_slots(common.materialize(pieces, "one-id"), 20, ranked_at_once=50).collect()
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    assert len(taken) == 4000 and len(set(taken)) == 4000
+    for (s, o, n), (s2, o2, _) in zip(taken, taken[1:], strict=False):
+        assert (s2, o2) == (s, o + n) or (s2 > s and o2 == 0)

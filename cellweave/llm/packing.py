@@ -23,8 +23,8 @@ from .tokens import PieceEncoder, byte_bpe_path
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Text bytes encoded at once.
 SLICE_BYTES = 2 << 20
-#: Pieces of one length that are ranked in one window; a commoner length is dealt over as many as it takes.
-RANKED_AT_ONCE = 500
+#: Pieces of one length that are ranked in one window; a commoner length is dealt over as many as it takes. Windows whose counts are summed at once.
+RANKED_AT_ONCE, SUMMED_AT_ONCE = 500, 1000
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -103,27 +103,30 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
 def assign_slots(pieces: DataFrame, capacity: int = 2048, ranked_at_once: int = RANKED_AT_ONCE) -> DataFrame:
     """pieces (doc_id, piece, length, ...; materialised, as it is read three times) with sequence_id and offset.
 
-    Each length has as many salts as its count asks for, so neither the windows nor the counts by salt depend on how
-    common a length is. Ties in (doc_id, piece) may take each other's slots of the same length; every piece has exactly
-    one slot. An empty input gives no rows.
+    Each length has as many salts as its count asks for, dealt by the number that a piece has in its table, so neither
+    the windows nor the counts by salt depend on how common a length is or on what the ids are, null or repeated ones
+    included. Pieces of a length may take each other's slots; every piece has exactly one. An empty input gives no rows.
     """
     spark = pieces.sparkSession
-    bucket, salts, local, base = common.fresh(pieces, "bucket", "salts", "local", "base")
+    bucket, salts, local, base, row = common.fresh(pieces, "bucket", "salts", "local", "base", "row")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most `capacity` rows
     of_length = spark.createDataFrame([(n, max(1, -(-k // ranked_at_once))) for n, k in histogram.items()], f"length long, {salts} long")
-    dealt = pieces.join(F.broadcast(of_length), "length").withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.col(salts)))
+    numbered = pieces.withColumn(row, F.monotonically_increasing_id())  # the same in each read of a written table
+    dealt = numbered.join(F.broadcast(of_length), "length").withColumn(bucket, F.pmod(F.xxhash64(row), F.col(salts)))
     counts = dealt.groupBy("length", bucket).agg(F.count("*").alias("n"))
     counts = common.materialize(counts, "pack-counts")
     runs = spark.createDataFrame(plan_runs(histogram, capacity), "length long, run_rank long, run_n long, run_sequence long, per long, run_offset long")
-    before = Window.partitionBy("length").orderBy(bucket)
-    bases = counts.withColumn(base, F.sum("n").over(before) - F.col("n"))
+    group = F.floor(F.col(bucket) / SUMMED_AT_ONCE).alias("group")
+    groups = counts.groupBy("length", group).agg(F.sum("n").alias("group_n"))
+    groups = groups.withColumn("group_base", F.sum("group_n").over(Window.partitionBy("length").orderBy("group")) - F.col("group_n")).drop("group_n")
+    before = Window.partitionBy("length", "group").orderBy(bucket)
+    bases = counts.withColumn("group", group).join(groups, ["length", "group"]).withColumn(base, F.col("group_base") + F.sum("n").over(before) - F.col("n"))
     cut = (
         bases.join(runs, "length")
         .where((F.col("run_rank") < F.col(base) + F.col("n")) & (F.col("run_rank") + F.col("run_n") > F.col(base)))
         .select("length", bucket, base, "run_rank", "run_n", "run_sequence", "per", "run_offset")
     )
-    order = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    ranked = dealt.withColumn(local, F.row_number().over(Window.partitionBy("length", bucket).orderBy(*order)) - 1)
+    ranked = dealt.withColumn(local, F.row_number().over(Window.partitionBy("length", bucket).orderBy(row)) - 1)
     at = F.col(base) + F.col(local)
     keys = ["length", bucket]
     taken = ranked.join(cut.select(*keys, base, *[F.col(c) for c in ("run_rank", "run_n", "run_sequence", "per", "run_offset")]), keys)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import running_sum
+from . import mixture
 
 NEIGHBOURS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -71,11 +72,19 @@ def size_thresholds(sizes: DataFrame, confidence: float = 0.95) -> DataFrame:
     return fit.select(F.exp(F.col("mu") - z * F.col("sigma")).alias("low"), F.exp(F.col("mu") + z * F.col("sigma")).alias("high"))
 
 
-def size_outliers(mask: DataFrame, confidence: float = 0.95, lower: bool = True, upper: bool = True) -> DataFrame:
-    """Labels outside the fitted interval; either side can be left open."""
+def size_outliers(mask: DataFrame, confidence: float = 0.95, lower: bool = True, upper: bool = True, components: int = 1, keep: str = "largest", **how) -> DataFrame:
+    """Labels (cell_id, n) outside the fitted interval; either side can be left open.
+
+    With more components than one the interval is that of the kept population of a mixture fitted to log sizes: the
+    largest, smallest, mostcommon or leastcommon; how: settings of mixture.fit().
+    """
     sizes = label_sizes(mask)
-    row = size_thresholds(sizes, confidence).first()
-    low, high = (row["low"], row["high"]) if row and row["low"] is not None else (-math.inf, math.inf)
+    if components == 1 and not how:
+        row = size_thresholds(sizes, confidence).first()
+        limits = (row["low"], row["high"]) if row and row["low"] is not None else None
+    else:
+        limits = mixture.thresholds(sizes, components, keep, confidence, **how)
+    low, high = limits or (-math.inf, math.inf)
     outside = F.lit(False)
     if lower:
         outside = outside | (F.col("n") < low)
@@ -84,6 +93,14 @@ def size_outliers(mask: DataFrame, confidence: float = 0.95, lower: bool = True,
     return sizes.where(outside)
 
 
+def filter_sizes(mask: DataFrame, limits: tuple[float | None, float | None] | None = None, **how) -> DataFrame:
+    """The mask without labels beyond the limits (None: open), or, without limits, beyond a fitted interval (see size_outliers)."""
+    if limits is None:
+        return remove_labels(mask, size_outliers(mask, **how))
+    low, high = (d if x is None else x for x, d in zip(limits, (-math.inf, math.inf), strict=True))
+    return size_filter(mask, low, high)
+
+
 def mixture_index(components: DataFrame, which: str) -> DataFrame:
     """Component (k, mean, weight) with the largest or smallest mean, or the most or least weight; the first of ties."""
     column = "mean" if which in ("largest", "smallest") else "weight"

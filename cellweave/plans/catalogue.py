@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import images, more, tables
+from . import fits, images, more, tables
 
 FLAGSHIP = "a4_cell_statistics"
-QUERIES = images.QUERIES | tables.QUERIES | more.QUERIES
-ORACLE_SQL = images.ORACLE_SQL | tables.ORACLE_SQL | more.ORACLE_SQL
+QUERIES = images.QUERIES | tables.QUERIES | more.QUERIES | fits.QUERIES
+ORACLE_SQL = images.ORACLE_SQL | tables.ORACLE_SQL | more.ORACLE_SQL | fits.ORACLE_SQL

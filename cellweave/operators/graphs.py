@@ -26,18 +26,22 @@ def _both(edges: DataFrame, *columns: str) -> DataFrame:
 BLOCK = 4096
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which cuts its lineage; only a local session gets a folder of its own."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="cellweave-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graphs/{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage."""
+    path = f"{_shared(df.sparkSession)}/graphs/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _rounds(most: int | None) -> Iterator[int]:

@@ -60,65 +60,158 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
         seen = grown
 
 
+def column_distance(mask: np.ndarray, far: float) -> np.ndarray:
+    """Rows to the nearest background of the same column; far where a column has none."""
+    rows = np.arange(len(mask), dtype=float)[:, None]
+    back = ~mask.astype(bool)
+    above = rows - np.maximum.accumulate(np.where(back, rows, -np.inf), axis=0)
+    below = np.minimum.accumulate(np.where(back, rows, np.inf)[::-1], axis=0)[::-1] - rows
+    return np.minimum(np.minimum(above, below), far)
+
+
+def row_envelope(columns: np.ndarray) -> np.ndarray:
+    """Euclidean distances from column distances: for each offset along the row what lies there, up to the farthest that still matters."""
+    squares = columns**2
+    out = squares.copy()
+    for gap in range(1, columns.shape[1]):
+        if gap * gap >= out.max(initial=0):
+            break
+        np.minimum(out[:, gap:], squares[:, :-gap] + gap * gap, out=out[:, gap:])
+        np.minimum(out[:, :-gap], squares[:, gap:] + gap * gap, out=out[:, :-gap])
+    return np.sqrt(out)
+
+
 def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance to the nearest background pixel, by lower envelopes along each axis."""
-    far = float(sum(mask.shape)) ** 2
-    d = np.where(mask.astype(bool), far, 0.0)
-    for axis in (0, 1):
-        n = d.shape[axis]
-        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-        lines = np.moveaxis(d, axis, 1)
-        d = np.moveaxis((lines[:, None, :] + gap[None]).min(2), 1, axis)
-    return np.sqrt(d)
+    """Exact Euclidean distance to the nearest background pixel, by columns and then by rows; memory is a few times the mask's."""
+    return row_envelope(column_distance(mask, float(sum(mask.shape))))
+
+
+def peaks(a: np.ndarray, min_distance: int) -> np.ndarray:
+    """Pixels above 0 that no pixel within a disk exceeds."""
+    top = np.max([shifted(a, p, q, -np.inf) for p, q in disk_offsets(max(min_distance, 1))], axis=0)
+    return (a == top) & (a > 0)
+
+
+def choose_peaks(rows: list[tuple[float, int, int, int]], min_distance: int) -> list[int]:
+    """States of peaks (value, y, x, state): 1 kept, -1 dropped, 0 to decide here, 2 to decide elsewhere; all but 0 stay.
+
+    From the strongest on, of ties the first in reading order, a peak is kept if no kept one is within min_distance. One
+    near a stronger peak that isn't decided stays undecided.
+    """
+    cell = max(min_distance, 1)
+    near: dict[tuple[int, int], list[int]] = {}
+    states = [r[3] for r in rows]
+    for k in sorted(range(len(rows)), key=lambda k: (-rows[k][0], rows[k][1], rows[k][2])):
+        _, y, x, state = rows[k]
+        if not state:
+            found = [states[j] for p in (-1, 0, 1) for q in (-1, 0, 1) for j in near.get((y // cell + p, x // cell + q), ()) if (rows[j][1] - y) ** 2 + (rows[j][2] - x) ** 2 <= min_distance**2]
+            states[k] = -1 if 1 in found else 0 if 0 in found or 2 in found else 1
+        near.setdefault((y // cell, x // cell), []).append(k)
+    return states
 
 
 def local_maxima(a: np.ndarray, min_distance: int) -> list[tuple[int, int]]:
     """Peaks that are the largest within a disk, strongest first; of ties the first in reading order, min_distance apart."""
-    top = np.max([shifted(a, p, q, -np.inf) for p, q in disk_offsets(max(min_distance, 1))], axis=0)
-    found = sorted(((-a[y, x], y, x) for y, x in zip(*np.nonzero((a == top) & (a > 0)), strict=True)))
-    kept: list[tuple[int, int]] = []
-    for _, y, x in found:
-        if all((y - p) ** 2 + (x - q) ** 2 > min_distance**2 for p, q in kept):
-            kept.append((int(y), int(x)))
-    return kept
-
-
-def travel_time(speed: np.ndarray, seeds: list[tuple[int, int]]) -> np.ndarray:
-    """Least time from any seed over the 4-neighbourhood, 1 / speed a step (a graph distance, not the eikonal equation's)."""
-    cost = np.full(speed.shape, np.inf)
-    queue = []
-    for y, x in seeds:
-        cost[y, x] = 0
-        queue.append((0.0, y, x))
+    y, x = np.nonzero(peaks(a, min_distance))
+    rows = [(float(v), int(p), int(q), 0) for v, p, q in zip(a[y, x], y, x, strict=True)]
+    kept = [r for r, s in zip(rows, choose_peaks(rows, min_distance), strict=True) if s == 1]
+    return [(y, x) for _, y, x in sorted((-v, y, x) for v, y, x, _ in kept)]
+
+
+def travel_time(speed: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Least time from pixels that have a cost already, over the 4-neighbourhood, 1 / speed a step (a graph distance, not the eikonal equation's)."""
+    out = cost.astype(float)
+    queue = [(float(out[y, x]), int(y), int(x)) for y, x in zip(*np.nonzero(np.isfinite(out)), strict=True)]
     heapq.heapify(queue)
     while queue:
         t, y, x = heapq.heappop(queue)
-        if t > cost[y, x]:
+        if t > out[y, x]:
             continue
-        for p, q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+        for dy, dx in FOUR:
+            p, q = y + dy, x + dx
             if 0 <= p < speed.shape[0] and 0 <= q < speed.shape[1] and speed[p, q] > 0:
-                new = t + 1 / speed[p, q]
-                if new < cost[p, q]:
-                    cost[p, q] = new
+                new = t + 1 / float(speed[p, q])
+                if new < out[p, q]:
+                    out[p, q] = new
                     heapq.heappush(queue, (new, p, q))
-    return cost
+    return out
 
 
-def watershed(height: np.ndarray, seeds: list[tuple[int, int]], mask: np.ndarray) -> np.ndarray:
-    """Flood from the seeds in order of height, inside the mask; labels 1..n in the order of seeds."""
-    labels = np.zeros(height.shape, np.int64)
-    queue = []
-    for k, (y, x) in enumerate(seeds, 1):
-        labels[y, x] = k
-        queue.append((height[y, x], k, y, x))
+#: Steps to neighbours, in reading order.
+FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+
+
+def flood_levels(height: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Least height that has to be climbed to from a pixel that has a level already; pixels of infinite height are walls."""
+    out = level.copy()
+    queue = [(float(out[y, x]), int(y), int(x)) for y, x in zip(*np.nonzero(np.isfinite(out)), strict=True)]
     heapq.heapify(queue)
     while queue:
-        _, k, y, x = heapq.heappop(queue)
-        for p, q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-            if 0 <= p < height.shape[0] and 0 <= q < height.shape[1] and mask[p, q] and not labels[p, q]:
-                labels[p, q] = k
-                heapq.heappush(queue, (max(height[p, q], height[y, x]), k, p, q))
-    return labels
+        at, y, x = heapq.heappop(queue)
+        if at > out[y, x]:
+            continue
+        for dy, dx in FOUR:
+            p, q = y + dy, x + dx
+            if 0 <= p < height.shape[0] and 0 <= q < height.shape[1] and height[p, q] < np.inf:
+                new = max(at, float(height[p, q]))
+                if new < out[p, q]:
+                    out[p, q] = new
+                    heapq.heappush(queue, (new, p, q))
+    return out
+
+
+def plateau_steps(level: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Steps over pixels of the same level from a lower neighbour (0) or from a pixel that has steps already."""
+    entry = np.isfinite(level) & np.any([shifted(level, dy, dx, np.inf) < level for dy, dx in FOUR], axis=0)
+    out = np.where(entry, 0, steps)
+    while True:
+        new = out
+        for dy, dx in FOUR:
+            new = np.where(shifted(level, dy, dx, np.nan) == level, np.minimum(new, shifted(out, dy, dx, np.inf) + 1), new)
+        if (new == out).all():
+            return out
+        out = new
+
+
+def flood_parents(level: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Where each pixel is flooded from, as a place in FOUR: the lowest lower neighbour, else one that is a step nearer; -1 for none. Of ties the first."""
+    best, out = level.copy(), np.full(level.shape, -1)
+    for k, (dy, dx) in enumerate(FOUR):
+        near = shifted(level, dy, dx, np.inf)
+        out, best = np.where((near < best) & np.isfinite(level), k, out), np.minimum(near, best)
+    for k, (dy, dx) in enumerate(FOUR):
+        back = (out < 0) & np.isfinite(level) & (shifted(level, dy, dx, np.nan) == level) & (shifted(steps, dy, dx, np.inf) == steps - 1)
+        out = np.where(back, k, out)
+    return out
+
+
+def follow(parents: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Each pixel's label: its own, if it has one, else that of the pixel at the end of its parents within the grid."""
+    at = np.arange(labels.size).reshape(labels.shape)
+    for k, (dy, dx) in enumerate(FOUR):
+        at = np.where((parents == k) & (labels == 0), np.arange(labels.size).reshape(labels.shape) + dy * labels.shape[1] + dx, at)
+    at = at.ravel()
+    while True:
+        further = at[at]
+        if (further == at).all():
+            return labels.ravel()[at].reshape(labels.shape)
+        at = further
+
+
+def watershed(height: np.ndarray, seeds: list[tuple[int, int]], mask: np.ndarray) -> np.ndarray:
+    """Flood from the seeds inside the mask; labels 1..n in the order of seeds.
+
+    A pixel's level is the least height to climb on a way from any seed. It belongs to the seed of its lowest neighbour,
+    or, where none is lower, of the nearest one on its plateau; so labels don't depend on the order of work.
+    """
+    wet = np.where(mask, height, np.inf)
+    level, steps, labels = np.full(wet.shape, np.inf), np.full(wet.shape, np.inf), np.zeros(wet.shape, np.int64)
+    for k, (y, x) in enumerate(seeds, 1):
+        wet[y, x] = level[y, x] = height[y, x]
+        steps[y, x], labels[y, x] = 0, k
+    level = flood_levels(wet, level)
+    steps = plateau_steps(level, steps)
+    return follow(flood_parents(level, steps), labels)
 
 
 def label_mask(mask: np.ndarray, dilation: int = 0, min_distance: int = 2) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Whole-image operators: NumPy kernels over images (or tiles with halos) that Spark deals by image id."""
+"""Whole-image operators: segmentation and filters over tiles that Spark deals out, and small kernels over images, crops and pairs."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from . import tiled
+from .graphs import _cut as _written
+from .labels import otsu_threshold
 
 
 def per_image(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by: str = "image_id", keep_zeros: bool = True, out: str = "out double") -> DataFrame:
@@ -29,72 +32,91 @@ def per_image(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by: str
     return px.groupBy(by).applyInPandas(run, f"{by} {px.schema[by].dataType.simpleString()}, y int, x int, {name} {kind}")
 
 
-def _quantile_unit(a: np.ndarray, low: float, high: float) -> np.ndarray:
-    lo, hi = np.quantile(a, [low, high])
-    return ((a - lo) / (hi - lo) if hi > lo else a - lo).clip(0, 1)
+def segment_threshold(px: DataFrame, threshold: float | None = None, speckle: int = 1, dilation: int = 0, min_distance: int = 2, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
+    """px(by, y, x, value) to (by, y, x, cell_id): labels by a global threshold (the image's Otsu threshold if none), opened by disks, then peaks and watershed.
 
+    Images are cut into tiles whose borders don't show (see operators.tiled). An image is as large as its pixels show;
+    missing pixels are 0. Empty input gives no labels.
+    """
+    px = tiled.sized(px.select(by, "y", "x", "value"), [by])
+    limit = F.lit(threshold) if threshold is not None else F.col("threshold")
+    if threshold is None:
+        px = px.join(otsu_threshold(px, by=[by]), by)
+    mask = px.where(F.col("value") > limit).select(by, "h", "w", "y", "x")
+    if speckle:
+        mask = tiled.morphology(tiled.morphology(mask, K.erode, speckle, [by], tile), K.dilate, speckle - 1, [by], tile)
+    return tiled.label_mask(_written(mask), dilation, min_distance, [by], tile).drop("h", "w")
 
-def segment_threshold(px: DataFrame, threshold: float | None = None, speckle: int = 1, dilation: int = 0, min_distance: int = 2) -> DataFrame:
-    """Labels by a global threshold (the image's Otsu threshold if none): opened by disks, then peaks and watershed."""
 
-    def run(a: np.ndarray) -> np.ndarray:
-        mask = (a > (otsu(a) if threshold is None else threshold)).astype(np.int8)
-        if speckle:
-            mask = K.dilate(K.erode(mask, speckle), speckle - 1) if speckle > 1 else K.erode(mask, speckle)
-        return K.label_mask(mask, dilation, min_distance)
+def segment_local(px: DataFrame, radius: int = 3, offset: float = 0.0, min_distance: int = 2, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
+    """Labels by a local median threshold, otherwise as segment_threshold."""
+    px = tiled.sized(px.select(by, "y", "x", "value"), [by])
+    mask = tiled.per_block(px, lambda g: {"on": K.local_threshold(g["value"], radius, offset)}, radius, [by], {"value": 0.0}, {"on": "int"}, tile, keep="on").drop("on")
+    return tiled.label_mask(_written(mask), 0, min_distance, [by], tile).drop("h", "w")
 
-    return per_image(px, run, keep_zeros=False, out="cell_id long")
 
-
-def segment_local(px: DataFrame, radius: int = 3, offset: float = 0.0, min_distance: int = 2) -> DataFrame:
-    """Labels by a local median threshold."""
-    return per_image(px, lambda a: K.label_mask(K.local_threshold(a, radius, offset), 0, min_distance), keep_zeros=False, out="cell_id long")
-
-
-def otsu(a: np.ndarray, bins: int = 512) -> float:
-    counts, edges = np.histogram(a, bins)
-    centre = (edges[:-1] + edges[1:]) / 2
-    low, high = counts.cumsum(), counts[::-1].cumsum()[::-1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        m_low, m_high = (counts * centre).cumsum() / low, ((counts * centre)[::-1].cumsum() / counts[::-1].cumsum())[::-1]
-        between = np.nan_to_num(low[:-1] * high[1:] * (m_low[:-1] - m_high[1:]) ** 2)
-    return float(centre[between.argmax()])
-
-
-def expand_nuclei(px: DataFrame, radius: int) -> DataFrame:
+def expand_nuclei(px: DataFrame, radius: int, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
     """Label images (value = label) with each nucleus grown; grown labels stay inside the image."""
-    return per_image(px, lambda a: K.expand_labels(a.astype(np.int64), radius), keep_zeros=False, out="cell_id long")
+    mask = tiled.sized(px.select(by, "y", "x", F.col("value").cast("long").alias("cell_id")), [by])
+    return tiled.expand(mask, radius, [by], tile).drop("h", "w")
 
 
-def segment_cytosol(px: DataFrame, low: float = 0.02, high: float = 0.98, min_distance: int = 2) -> DataFrame:
+def segment_cytosol(px: DataFrame, low: float = 0.02, high: float = 0.98, min_distance: int = 2, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
     """Cytosols around nuclei: bright peaks are centres, travel time over the brightness is flooded from them."""
-
-    def run(a: np.ndarray) -> np.ndarray:
-        unit = _quantile_unit(a, low, high)
-        seeds = K.local_maxima(unit, min_distance)
-        inside = unit > otsu(unit)
-        return K.watershed(np.nan_to_num(K.travel_time(unit + 1e-3, seeds), posinf=1e9), [s for s in seeds if inside[s]], inside)
-
-    return per_image(px, run, keep_zeros=False, out="cell_id long")
-
-
-def refine_upscaled(px: DataFrame, n: int, smoothing: int = 2) -> DataFrame:
-    """Label images n times as large, borders smoothed by opening; the disk shrinks until no label is lost."""
-
-    def run(a: np.ndarray) -> np.ndarray:
-        big = np.kron(a, np.ones((n, n))).astype(np.int64)
-        for k in range(smoothing, 0, -1):
-            out = np.where(K.erode((big > 0).astype(np.int8), k) > 0, big, 0)
-            out = K.expand_labels(out, k + 1) * (big > 0)
-            if len(np.unique(out)) == len(np.unique(big)):
-                return out
-        return big
-
-    return per_image(px, run, keep_zeros=False, out="cell_id long")
-
-
-def blur(px: DataFrame, sigma: float) -> DataFrame:
-    return per_image(px, lambda a: K.gaussian_blur(a, sigma))
+    px = tiled.sized(px.select(by, "y", "x", F.col("value").cast("double").alias("value")), [by])
+    ends = px.groupBy(by).agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("q"))
+    lo, span = F.col("q")[0], F.col("q")[1] - F.col("q")[0]
+    unit = F.when(span > 0, (F.col("value") - lo) / span).otherwise(F.col("value") - lo)
+    px = px.join(ends, by).select(by, "h", "w", "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit)).alias("value"))
+    px = _written(px.join(otsu_threshold(px, by=[by]), by).withColumn("inside", (F.col("value") > F.col("threshold")).cast("double")).drop("threshold"))
+
+    def whole(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        seeds, inside = K.local_maxima(g["value"], min_distance), g["inside"] > 0
+        cost = np.full(inside.shape, np.inf)
+        for s in seeds:
+            cost[s] = 0
+        return {"cell_id": K.watershed(np.minimum(K.travel_time(g["value"] + 1e-3, cost), 1e9), [s for s in seeds if inside[s]], inside)}
+
+    def rounds(px: DataFrame) -> DataFrame:
+        seeds = _written(tiled.chosen_peaks(px, min_distance, [by], tile))
+        timed = tiled.travel_time(px.withColumn("speed", F.col("value") + 1e-3), seeds, [by], tile)
+        height = timed.where("inside > 0").withColumn("height", F.least("time", F.lit(1e9))).drop("value", "speed", "time", "inside")
+        order = Window.partitionBy(by).orderBy("rank")
+        kept = seeds.join(px.where("inside > 0").select(by, "y", "x"), [by, "y", "x"]).withColumn("rank", F.row_number().over(order).cast("long"))
+        return tiled.watershed(height, kept, [by], tile)
+
+    once = lambda px: tiled.per_block(px, whole, 0, [by], {"value": 0.0, "inside": 0.0}, {"cell_id": "long"}, tile, keep="cell_id")
+    return tiled.by_size(px, once, rounds, tile).drop("h", "w")
+
+
+def refine_upscaled(px: DataFrame, n: int, smoothing: int = 2, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
+    """Label images (value = label) n times as large, borders smoothed by opening; the disk shrinks until an image loses no label."""
+    steps = F.sequence(F.lit(0), F.lit(n - 1))
+    big = px.select(by, "y", "x", F.col("value").cast("long").alias("cell_id")).where("cell_id != 0")
+    big = big.withColumn("p", F.explode(steps)).withColumn("q", F.explode(steps)).select(by, (F.col("y") * n + F.col("p")).cast("int").alias("y"), (F.col("x") * n + F.col("q")).cast("int").alias("x"), "cell_id")
+    big = _written(tiled.sized(big, [by]))
+
+    def opened(k: int) -> Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]:
+        def kernel(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            labels = g["cell_id"].astype(np.int64)
+            core = np.where(K.erode((labels > 0).astype(np.int8), k) > 0, labels, 0)
+            return {"cell_id": K.expand_labels(core, k + 1) * (labels > 0)}
+
+        return kernel
+
+    tries = big.withColumn("k", F.lit(0))
+    for k in range(1, smoothing + 1):
+        tries = tries.unionByName(tiled.per_block(big, opened(k), 2 * k + 1, [by], {"cell_id": 0.0}, {"cell_id": "long"}, tile, keep="cell_id").withColumn("k", F.lit(k)))
+    tries = _written(tries)
+    found = tries.groupBy(by, "k", "cell_id").agg(F.lit(1).alias("one")).groupBy(by, "k").agg(F.count("one").alias("n"))
+    whole = found.where("k = 0").select(by, F.col("n").alias("all"))
+    best = found.join(whole, by).where(F.col("n") == F.col("all")).groupBy(by).agg(F.max("k").alias("k"))
+    return tries.join(best, [by, "k"]).select(by, "y", "x", "cell_id")
+
+
+def blur(px: DataFrame, sigma: float, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
+    """(by, y, x, out): blurred over tiles with halos; borders of the image are repeated."""
+    return tiled.blur(tiled.sized(px.select(by, "y", "x", "value"), [by]), sigma, [by], tile).drop("h", "w")
 
 
 def rotate(px: DataFrame, choices: int, seed: int) -> DataFrame:
@@ -111,8 +133,18 @@ def rotate(px: DataFrame, choices: int, seed: int) -> DataFrame:
     return px.select("image_id", "y", "x", F.col("value").cast("double").alias("value")).groupBy("image_id").applyInPandas(run, f"image_id {px.schema['image_id'].dataType.simpleString()}, y int, x int, out double")
 
 
-def illumination(px: DataFrame, sigma: float = 2.0, double: bool = False) -> DataFrame:
-    return per_image(px, lambda a: K.correct_illumination(a, sigma, double))
+def illumination(px: DataFrame, sigma: float = 2.0, double: bool = False, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
+    """(by, y, x, out): unit range, then dark parts lifted by the inverted blurred background; optionally bright parts lowered by it too."""
+    px = tiled.sized(px.select(by, "y", "x", F.col("value").cast("double").alias("value")), [by])
+    ends = px.groupBy(by).agg(F.min("value").alias("lo"), (F.max("value") - F.min("value")).alias("span"))
+    unit = _written(px.join(ends, by).withColumn("value", F.when(F.col("span") > 0, (F.col("value") - F.col("lo")) / F.col("span")).otherwise(0.0)).drop("lo", "span"))
+    back = _written(unit.select(by, "y", "x", "value").join(tiled.blur(unit, sigma, [by], tile).drop("h", "w"), [by, "y", "x"]))
+    lit = back.join(back.groupBy(by).agg(F.min("out").alias("dim"), F.max("out").alias("bright")), by)
+    v, b = F.col("value"), F.col("out")
+    out = v + F.when(v < b, F.col("bright") - b).otherwise(0.0)
+    if double:
+        out = out - F.when(v > b, b - F.col("dim")).otherwise(0.0)
+    return lit.select(by, "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)).alias("out"))
 
 
 def cell_crops(crops: DataFrame, half: int, sigma: float = 1.0) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators import blocks, features, images, labels, plates, tiling
 from ..sources import adapters as A
 from ..sources import files
@@ -43,6 +44,16 @@ def w3_merge_shards(spark, d):
     return tiling.merge_shards(_shard_labels(spark, d))
 
 
+@query()
+def l7_segment_shards(spark, d):
+    """The mosaic in overlapping shards, each labelled by its own threshold and watershed, then merged to one mask."""
+    m, h, w = _mosaic(spark, d)
+    px = m.select(F.lit(0).cast("long").alias("image_id"), "y", "x", "value")
+    plan = tiling.shard_plan(spark, h, w, 64 * 64, 8)
+    found = tiling.segment_shards(px, plan, lambda a: kernels.label_mask(a > 12000, 0, 2))
+    return tiling.merge_shards(found)
+
+
 @query()
 def j5_cell_crops(spark, d):
     """Holes filled, mask blurred, values under it."""

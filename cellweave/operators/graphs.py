@@ -22,8 +22,8 @@ def _both(edges: DataFrame, *columns: str) -> DataFrame:
     return edges.select("a", "b", *columns).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *back))
 
 
-#: Node numbers that make a block.
-BLOCK = 4096
+#: Node numbers that make a block, and nodes of a component whose eccentricities are found at once, at most.
+BLOCK, SOURCES = 4096, 64
 
 
 def _shared(spark: SparkSession) -> str:
@@ -115,27 +115,37 @@ def _cheapest(arcs: DataFrame, sources: DataFrame, block: int, most: int | None)
             return now
 
 
-def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:
+def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int | None = None, block: int = BLOCK, sources: int = SOURCES) -> DataFrame:
     """(component, centre): the first node of least eccentricity (in hops) of each component.
 
-    Paths from one node at a time bound every other node's eccentricity from both sides; the next to ask is the one
-    that may have the least. A row per node is held, never a pair, and a chain or a grid takes a few such sweeps.
+    Paths from some nodes bound every other node's eccentricity from both sides; the next to ask are those that may have
+    the least. A chain or a grid takes a few single sweeps; where bounds don't tell, as on rings, sweeps take twice as
+    many nodes each time, up to `sources`, each over its own copy of the open components' edges. A row per node is kept.
     """
-    hops = _arcs(edges.select("a", "b", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), F.lit(1.0).alias("error")), block)
-    far = F.lit(float("inf"))
+    top = nodes.agg(F.max("node")).first()[0]
+    stride = ((top or 0) // block + 1) * block
+    labelled = _cut(edges.select("a", "b").join(parts.withColumnRenamed("node", "a"), "a"))
+    far, many = F.lit(float("inf")), 1
     state = _cut(nodes.join(parts, "node").select("node", "component", F.lit(0.0).alias("low"), far.alias("high")))
     for _ in _rounds(most):
         rank = F.struct("low", "node")
-        open_, closed = F.when(F.col("low") < F.col("high"), rank), F.when(F.col("low") == F.col("high"), rank)
-        tried = state.groupBy("component").agg(F.min(open_).alias("next"), F.min(closed).alias("centre"))
-        asked = _cut(tried.where("next is not null and (centre is null or next < centre)").select("component", F.col("next.node").alias("node")))
+        closed = F.when(F.col("low") == F.col("high"), rank)
+        best = state.groupBy("component").agg(F.min(closed).alias("centre"))
+        open_ = state.where("low < high").join(best, "component").where(F.col("centre").isNull() | (rank < F.col("centre")))
+        asked = open_.groupBy("component", (F.col("node") % many).alias("k")).agg(F.min(rank).alias("next"))
+        asked = _cut(asked.select("component", (F.col("next.node") + F.col("k") * stride).alias("node"), "k"))
         if asked.isEmpty():
-            return tried.select("component", F.col("centre.node").alias("centre"))
-        reached = _cheapest(hops, asked, block, most).select("node", "component", F.col("cost").alias("d"))
-        ecc = reached.groupBy("component").agg(F.max("d").alias("ecc"))
-        bounds = reached.join(ecc, "component").select("node", F.greatest("d", F.col("ecc") - F.col("d")).alias("l"), (F.col("ecc") + F.col("d")).alias("h"))
+            return best.select("component", F.col("centre.node").alias("centre"))
+        copies = labelled.join(asked.select("component", "k"), "component")
+        place = lambda c: (F.col(c) + F.col("k") * stride).alias(c)
+        hops = _arcs(copies.select(place("a"), place("b"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), F.lit(1.0).alias("error")), block)
+        reached = _cheapest(hops, asked.select("node", "component"), block, most).select((F.col("node") % stride).alias("node"), F.expr(f"node div {stride}").alias("k"), "component", F.col("cost").alias("d"))
+        reached = _cut(reached)
+        ecc = reached.groupBy("component", "k").agg(F.max("d").alias("ecc"))
+        bounds = reached.join(ecc, ["component", "k"]).groupBy("node").agg(F.max(F.greatest("d", F.col("ecc") - F.col("d"))).alias("l"), F.min(F.col("ecc") + F.col("d")).alias("h"))
         joined = state.join(bounds, "node", "left")
         state = _cut(joined.select("node", "component", F.greatest("low", F.coalesce("l", F.lit(0.0))).alias("low"), F.least("high", F.coalesce("h", far)).alias("high")))
+        many = min(2 * many, sources)
 
 
 def positions(edges: DataFrame, centres: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:

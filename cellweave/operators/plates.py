@@ -89,3 +89,36 @@ def channels_from_xml(spark, path: str) -> DataFrame:
     """channel ids and names, blanks removed, one row each."""
     raw = spark.read.format("xml").option("rowTag", "Image").load(path)
     return raw.select(F.col("ChannelID").cast("int").alias("channel"), F.replace("ChannelName", F.lit(" "), F.lit("")).alias("name")).distinct()
+
+
+# The namespaces of plate index files by version, and what an image element holds.
+_IMAGE = "URL string, Row int, Col int, FieldID int, PlaneID int, TimepointID int, ChannelID string, ChannelName string, FlimID int, PositionX double, PositionY double, AbsTime string"
+_SCHEMA = f"Images struct<Image: array<struct<{_IMAGE}>>>"
+VERSIONS = {"HarmonyV5": (_SCHEMA, 1), "HarmonyV7": (_SCHEMA.replace(", FlimID int", ", FlimID int, OrientationMatrix string"), 0)}
+
+
+def plate_index(documents: DataFrame, flatfield: bool = False) -> DataFrame:
+    """Index files of plates (name, xml: one document a row) to a row per image: name, version, filename, row_id, well, zstack,
+    timepoint, channel, px, py, date, unix_time.
+
+    The version is told by the root's namespace; another one is an error. Version 5 counts timepoints from 1, version 7
+    from 0, and they name files differently; flat-field exports of version 7 have shorter names. Channel ids take the
+    name that an image of the same document gives them, without blanks. Documents without images give no rows.
+    """
+    found = F.regexp_extract("xml", r'<\w+[^>]*xmlns="[^"]*(' + "|".join(VERSIONS) + r')[^"]*"', 1)
+    told = documents.select("name", "xml", F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("unknown version of "), "name"))).alias("version"))
+    out = None
+    for version, (schema, first) in VERSIONS.items():
+        images = told.where(F.col("version") == version).select("name", "version", F.from_xml("xml", schema, {"mode": "FAILFAST"}).alias("x")).select("name", "version", F.explode("x.Images.Image").alias("i"))
+        two = lambda c: F.lpad(F.col(f"i.{c}").cast("string"), 2, "0")
+        time = F.col("i.TimepointID") + first
+        head = F.concat(F.lit("r"), two("Row"), F.lit("c"), two("Col"), F.lit("f"), two("FieldID"), F.lit("p"), two("PlaneID"), F.lit("-ch"), "i.ChannelID")
+        if flatfield and version == "HarmonyV7":
+            file = F.concat(head, F.lit("t"), F.lpad(time.cast("string"), 2, "0"), F.lit(".tiff"))
+        else:
+            file = F.concat(head, F.lit("sk"), time.cast("string"), F.lit("fk1fl"), F.coalesce(F.col("i.FlimID"), F.lit(1)).cast("string"), F.lit(".tiff"))
+        at = F.to_timestamp(F.concat(F.substring("i.AbsTime", 1, 19), F.regexp_extract("i.AbsTime", r"([+-]\d\d:?\d\d|Z)$", 1)))
+        part = images.select("name", "version", file.alias("filename"), two("Row").alias("row_id"), two("Col").alias("well"), two("PlaneID").alias("zstack"), time.alias("timepoint"), F.col("i.ChannelID").alias("channel_id"), F.replace("i.ChannelName", F.lit(" "), F.lit("")).alias("said"), F.col("i.PositionX").alias("px"), F.col("i.PositionY").alias("py"), F.substring("i.AbsTime", 1, 10).alias("date"), F.unix_timestamp(at).alias("unix_time"))
+        out = part if out is None else out.unionByName(part)
+    names = out.where("said is not null").groupBy("name", "channel_id").agg(F.min("said").alias("channel"))  # as many rows as a plate has channels
+    return out.drop("said").join(names, ["name", "channel_id"], "left").drop("channel_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import augment, plates
-from ..operators.graphs import _shared
+from ..operators.graphs import _cut, _shared
 from ..sources import adapters as A
 from ..sources import metrics
 from ..sources.adapters import with_views
@@ -74,3 +74,35 @@ def u9_random_transforms(spark, d):
     px = A.pixels(spark, d).select(F.col("image_id").alias("cell_id"), "y", "x", F.col("value").cast("double").alias("value"))
     out = augment.apply_chain(px, [augment.flip(), augment.quarter_turns(), augment.scale(0.8, 1.2)], A.SIDE, seed=5, epoch=2)
     return out.withColumn("value", F.round("value", 6))
+
+
+#: Tiles of the mosaic: their side, the step between them, and the rows and columns by which a tile may be off.
+_TILE_SIDE, _TILE_STEP = 40, 28
+
+
+def _cut_tiles(spark, d):
+    """Tiles of the whole mosaic at places up to two pixels off nominal; the last ones end at its border."""
+    from .images import _mosaic
+
+    m, h, w = _mosaic(spark, d)
+    rows, columns = (max(0, -(-(n - _TILE_SIDE) // _TILE_STEP)) + 1 for n in (h, w))
+    grid = spark.range(rows * columns).select(F.col("id").alias("tile"), F.expr(f"id div {columns}").cast("int").alias("r"), (F.col("id") % columns).cast("int").alias("k"))
+    nominal = lambda c, n: F.least(F.col(c) * _TILE_STEP, F.lit(max(n - _TILE_SIDE, 0)))
+    off = lambda c, n, by: F.greatest(F.lit(0), F.least(nominal(c, n) + F.when(F.col("tile") == 0, 0).otherwise(F.col("tile") * by % 5 - 2), F.lit(max(n - _TILE_SIDE, 0)))).cast("int")
+    grid = grid.select("tile", nominal("r", h).cast("double").alias("y"), nominal("k", w).cast("double").alias("x"), off("r", h, 3).alias("ty"), off("k", w, 7).alias("tx"))
+    reach = F.explode(F.sequence(F.lit(0), F.lit(_TILE_SIDE - 1)))
+    asked = grid.select("tile", "ty", "tx", reach.alias("y")).select("*", reach.alias("x"))
+    px = asked.join(m.select(F.col("y").alias("my"), F.col("x").alias("mx"), "value"), (F.col("my") == F.col("y") + F.col("ty")) & (F.col("mx") == F.col("x") + F.col("tx")))
+    return px.select("tile", F.lit(0).alias("c"), "y", "x", "value"), grid.select("tile", "y", "x")
+
+
+@query(f"""{with_views('mosaic')}, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM mosaic), n AS (SELECT *, greatest(0, ceil((h - 40) / 28.0))::INT + 1 AS nr, greatest(0, ceil((w - 40) / 28.0))::INT + 1 AS nk FROM s),
+    t AS (SELECT i AS tile, greatest(0, least(least(i // nk * 28, greatest(h - 40, 0)) + CASE WHEN i = 0 THEN 0 ELSE i * 3 % 5 - 2 END, greatest(h - 40, 0))) AS ty, greatest(0, least(least(i % nk * 28, greatest(w - 40, 0)) + CASE WHEN i = 0 THEN 0 ELSE i * 7 % 5 - 2 END, greatest(w - 40, 0))) AS tx FROM n, range(nr * nk) g(i)),
+    o AS (SELECT min(ty) AS oy, min(tx) AS ox FROM t) SELECT 0 AS c, (y - oy)::INT AS y, (x - ox)::INT AS x, any_value(value)::DOUBLE AS value FROM mosaic m, t, o WHERE m.y >= ty AND m.y < ty + 40 AND m.x >= tx AND m.x < tx + 40 GROUP BY y, x, oy, ox""")
+def g10_stitch_mosaic(spark, d):
+    """Tiles of the mosaic, off their nominal places, registered, placed and blended to the mosaic again."""
+    from ..operators import stitching
+
+    px, nominal = _cut_tiles(spark, d)
+    canvas, _ = stitching.stitch(_cut(px), _cut(nominal), _TILE_SIDE, _TILE_SIDE, most_error=0.4)
+    return canvas.select("c", "y", "x", F.round("value", 6).alias("value"))

@@ -77,6 +77,27 @@ def tokens_up_to(table: DataFrame, n_chars: int) -> DataFrame:
     return table.select("doc_id", F.when(k > 0, F.element_at("prefix_tokens", F.greatest(k, F.lit(1)))).otherwise(0).cast("long").alias("n_tokens"))
 
 
+def truncate(docs: DataFrame, budget: int, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id and the longest prefix of its text, ending at any character, of at most `budget` tokens.
+
+    Cut where the row's prefix counts are made, so null and repeated ids are kept row by row and nothing is joined; null
+    texts become empty, other columns are left out, an empty input gives no rows.
+    """
+    path = vocabulary or word_bpe_path()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PrefixCounter.of(path)
+        for batch in batches:
+            for part in common.slices(batch, 1, SLICE_BYTES):
+                texts = part.column(1).fill_null("")
+                tokens, at = counter.table(texts)
+                fits = [np.flatnonzero(tokens[a:b] <= budget) for a, b in zip(at[:-1], at[1:], strict=True)]
+                kept = [t[: int(f[-1]) + 1] if len(f) else "" for t, f in zip(texts.to_pylist(), fits, strict=True)]
+                yield pa.record_batch([part.column(0), pa.array(kept, pa.string())], ["doc_id", "text"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, "doc_id long, text string")
+
+
 def truncated(table: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
     """doc_id and the longest prefix of each text, ending at any character, of at most `budget` tokens; no text is encoded again. Ids are unique and not null."""
     ends = within(table, budget).select("doc_id", F.col("fit_chars").cast("int").alias("_cw_end"))

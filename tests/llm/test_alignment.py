@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.llm import alignment
+from cellweave.llm import alignment, queries
 from cellweave.llm.tokens import byte_bpe_path
 
 from .conftest import SCHEMA
@@ -134,3 +134,8 @@ def test_long_text(libraries, spark):
     out = got(alignment.alignment_digest(spark.createDataFrame(rows, SCHEMA)))
     short = brute(libraries, [(1, "a long text, " * 3, "en", "s", 1)])[0]
     assert out[0][1] / 800_000 == pytest.approx(short[1] / 3, rel=0.2) and out[0][3] > 2_000_000 and len(out) == 2
+
+
+def test_query_on_the_whole_table(libraries, spark, tiny):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
+    assert got(queries.op13_token_alignment(spark, tiny)) == brute(libraries, rows)

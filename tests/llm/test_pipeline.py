@@ -53,3 +53,30 @@ def test_pipeline_against_brute_force(spark, tiny):
 def test_stages_keep_columns(spark, tiny, clashing):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clashing, tiny).columns == clashing.columns
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _copy_of(spark, tiny, tmp_path, rows):
+    """A folder with these documents beside the given labels and benchmark."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tiny}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_without_documents(spark, tiny, tmp_path):
+    assert corpus_pipeline.run(spark, _copy_of(spark, tiny, tmp_path, [])).count() == 0
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tiny, tmp_path):
+    """Of equal texts one row stays, of near copies one; texts that differ stay, whatever their ids."""
+    apart = ["the first text has its own words only", "quite another one, about rivers and stones", "numbers 1 2 3 and nothing more than that", None]
+    rows = [(None, t, "en", "s", 1) for t in apart] + [(4, apart[0], "en", "s", 1), (4, apart[0], "en", "s", 1), (4, "one more text under a used number, of birds", "en", "s", 1)]
+    got = corpus_pipeline.run(spark, _copy_of(spark, tiny, tmp_path, rows)).collect()
+    kept = [apart[0], "one more text under a used number, of birds", *apart[1:]]
+    assert sorted(str(r["doc_id"]) for r in got) == ["4", "4", "None", "None", "None"]
+    from tests.llm.test_tokens import crc, reference_ids
+
+    assert sorted(r["ids_crc32"] for r in got) == sorted(crc(i) for i in reference_ids([(0, t) for t in kept], 0))

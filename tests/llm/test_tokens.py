@@ -310,3 +310,24 @@ def test_slots_of_one_id(spark, monkeypatch, ids):
     assert len(taken) == 4000 and len(set(taken)) == 4000
     for (s, o, n), (s2, o2, _) in zip(taken, taken[1:], strict=False):
         assert (s2, o2) == (s, o + n) or (s2 > s and o2 == 0)
+
+
+def test_truncate_row_by_row(spark):
+    """Three rows in, three rows out, whatever their ids; equal to trying every prefix."""
+    library = Tokenizer.from_file(PATHS[1])
+    rows = [(None, "one two three four"), (5, "one two three four"), (5, "internationalization of things"), (None, None), (7, "日本語 text")]
+    got = token_counts.truncate(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    best = lambda t: max((t[:k] for k in range(len(t) + 1) if count(t[:k]) <= 2), key=len)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((i, best(t or "")) for i, t in rows), key=str)
+
+
+def test_token_store_with_clashing_columns(spark, docs, rows):
+    """Extra columns under the operator's own names are there when it writes."""
+    from pyspark.sql import functions as F
+
+    extra = docs.select("*", *[F.lit(9).alias(c) for c in ("row", "h", "file_no", "file_start", "n_tokens", "ids")])
+    path = new_path(spark, "store")
+    token_store.write_token_store(extra, path)
+    ids = sorted(((r.doc_id, list(r.ids)) for r in token_store.read_token_store(spark, path).collect()), key=str)
+    assert ids == sorted(((r[0], i) for r, i in zip(rows, reference_ids(rows, 2), strict=True)), key=str)

@@ -57,6 +57,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabul
                         begun += n
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
                 pa.default_memory_pool().release_unused()  # what a slice has freed doesn't stay with the worker
+        encoder.forget()  # the worker goes on to other stages, which shouldn't begin with known pieces
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, PIECES)
 

@@ -74,6 +74,10 @@ class PieceEncoder:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        """Give the memory of known pieces back, where a worker has done its task."""
+        self._forget()
+
     def _forget(self) -> None:
         """Known pieces and their places, all their ids in a row, where each piece's begin, and in how many slices each was met."""
         self.known: dict[bytes, int] = {}

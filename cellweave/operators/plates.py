@@ -17,6 +17,7 @@ def cluster_positions(tiles: DataFrame, value: str, out: str, by: Sequence[str]
     gaps (below a fifth of it) exist, they are jitter: the tolerance is twice their 0.95 quantile, a hundredth of the
     step at least; else it is a twentieth of the step. A gap above the tolerance opens a new group.
     """
+    # The quantiles 0.9 and 0.95 and the factors 0.2, 0.05, 2 and 0.01, which decide what counts as one position.
     keys = list(by) or [F.lit(0).alias("_all")]
     order = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy(value)
     distinct = tiles.select(*by, value).distinct().withColumn("gap", F.col(value) - F.lag(value).over(order))
@@ -39,8 +40,10 @@ def tile_positions(tiles: DataFrame, by: Sequence[str] = ("row_id", "well")) ->
 def missing_tiles(tiles: DataFrame, axes: Sequence[str]) -> DataFrame:
     """Combinations of the axes' values that no tile has, each once. The grid is the product of short lists of distinct values."""
     grid = tiles.agg(*[F.array_sort(F.collect_set(axis)).alias(axis) for axis in axes])
-    for axis in axes:
+    for k, axis in enumerate(axes):
         grid = grid.withColumn(axis, F.explode(axis))
+        if k == 0:
+            grid = grid.repartition(axis)  # the rest of the product is made by as many tasks as the first axis allows
     return grid.join(tiles.select(*axes).distinct(), list(axes), "left_anti")
 
 

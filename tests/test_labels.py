@@ -1,5 +1,7 @@
 """Literal label masks with known answers."""
 
+# Small masks and the answers that they must have.
+
 import pytest
 from pyspark.sql import functions as F
 

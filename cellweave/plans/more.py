@@ -80,7 +80,9 @@ def i16_segment_nuclei(spark, d):
     return labels.size_filter(found, 3, 60)
 
 
-@query()
+@query(f"""{with_views('px')}, t AS (SELECT *, radians(45 * (((image_id + 3) * 2654435761 % 4294967296) % 8)) AS a FROM px),
+    f AS (SELECT image_id, y, x, round(3.5 + cos(a) * (y - 3.5) - sin(a) * (x - 3.5))::INT AS sy, round(3.5 + sin(a) * (y - 3.5) + cos(a) * (x - 3.5))::INT AS sx FROM t)
+    SELECT f.image_id, f.y, f.x, coalesce(px.value, 0)::DOUBLE AS out FROM f LEFT JOIN px ON px.image_id = f.image_id AND px.y = sy AND px.x = sx""")
 def p29_random_rotation(spark, d):
     return images.rotate(A.pixels(spark, d), 8, 3)
 

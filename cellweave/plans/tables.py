@@ -218,7 +218,8 @@ def i3_segment_local_threshold(spark, d):
     return images.segment_local(A.pixels(spark, d))
 
 
-@query()
+@query(f"""{with_views('px', 'nuc')}, s AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM nuc GROUP BY image_id), near AS (SELECT image_id, y + oy AS y, x + ox AS x, min(cell_id) AS cell_id FROM nuc, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(oy, ox) GROUP BY 1, 2, 3)
+    SELECT image_id, y::INT AS y, x::INT AS x, coalesce(nuc.cell_id, near.cell_id) AS cell_id FROM near FULL JOIN nuc USING (image_id, y, x) JOIN s USING (image_id) WHERE y >= 0 AND x >= 0 AND y < h AND x < w""")
 def i15_expand_nuclei(spark, d):
     nuc = A.nuclei(A.pixels(spark, d)).withColumn("value", F.col("cell_id"))
     return images.expand_nuclei(nuc, 1)
@@ -229,14 +230,23 @@ def i17_segment_cytosol(spark, d):
     return images.segment_cytosol(A.pixels(spark, d))
 
 
-@query()
+def _blurred(sigma: float, source: str) -> str:
+    """Views: weights of the kernel, and `blurred` of source(image_id, y, x, v), borders repeated."""
+    reach = int(4 * sigma + 0.5)
+    one = lambda axis, other, inner: f"SELECT p.image_id, p.y, p.x, sum(w * q.v) AS v FROM {inner} p CROSS JOIN weight JOIN {inner} q ON q.image_id = p.image_id AND q.{other} = p.{other} AND q.{axis} = least(greatest(p.{axis} + i, 0), 7) GROUP BY 1, 2, 3"
+    return f"""raw_weight AS (SELECT i, exp(-0.5 * pow(i / {sigma}, 2)) AS w FROM range({-reach}, {reach + 1}) t(i)), weight AS (SELECT i, w / (SELECT sum(w) FROM raw_weight) AS w FROM raw_weight),
+    down AS ({one('y', 'x', source)}), blurred AS ({one('x', 'y', 'down')})"""
+
+
+@query(f"{with_views('px')}, src AS (SELECT image_id, y, x, value::DOUBLE AS v FROM px), {_blurred(1.0, 'src')} SELECT image_id, y, x, round(v, 5) AS out FROM blurred")
 def p30_gaussian_blur(spark, d):
-    return images.blur(A.pixels(spark, d), 1.0)
+    return images.blur(A.pixels(spark, d), 1.0).withColumn("out", F.round("out", 5))
 
 
-@query()
+@query(f"""{with_views('px')}, src AS (SELECT image_id, y, x, (value - min(value) OVER i) / nullif(max(value) OVER i - min(value) OVER i, 0)::DOUBLE AS v FROM px WINDOW i AS (PARTITION BY image_id)), {_blurred(2.0, 'src')},
+    lit AS (SELECT src.*, blurred.v AS b, max(blurred.v) OVER (PARTITION BY src.image_id) AS bright FROM src JOIN blurred USING (image_id, y, x)) SELECT image_id, y, x, round(greatest(0, least(1, v + CASE WHEN v < b THEN bright - b ELSE 0 END)), 6) AS out FROM lit""")
 def i21_illumination(spark, d):
-    return images.illumination(A.pixels(spark, d))
+    return images.illumination(A.pixels(spark, d)).withColumn("out", F.round("out", 6))
 
 
 @query()

@@ -55,6 +55,17 @@ def segment_local(px: DataFrame, radius: int = 3, offset: float = 0.0, min_dista
     return tiled.label_mask(_written(mask), 0, min_distance, [by], tile).drop("h", "w")
 
 
+def otsu(a: np.ndarray, bins: int = 512) -> float:
+    """The threshold of one grid, as labels.otsu_threshold has it of a table."""
+    counts, edges = np.histogram(a, bins)
+    centre = (edges[:-1] + edges[1:]) / 2
+    low, high = counts.cumsum(), counts[::-1].cumsum()[::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m_low, m_high = (counts * centre).cumsum() / low, ((counts * centre)[::-1].cumsum() / counts[::-1].cumsum())[::-1]
+        between = np.nan_to_num(low[:-1] * high[1:] * (m_low[:-1] - m_high[1:]) ** 2)
+    return float(centre[between.argmax()])
+
+
 def expand_nuclei(px: DataFrame, radius: int, by: str = "image_id", tile: int = tiled.TILE) -> DataFrame:
     """Label images (value = label) with each nucleus grown; grown labels stay inside the image."""
     mask = tiled.sized(px.select(by, "y", "x", F.col("value").cast("long").alias("cell_id")), [by])

@@ -68,12 +68,12 @@ def _draw(place: int, k: int) -> str:
 
 @query(f"""{with_views('px')}, a AS (SELECT image_id, y, CASE WHEN {_draw(0, 0)} < 0.5 THEN 7 - x ELSE x END AS x, value FROM px),
     b AS (SELECT *, floor({_draw(1, 0)} * 4) AS k FROM a), t AS (SELECT image_id, CASE k WHEN 0 THEN y WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y ELSE x END AS ny, CASE k WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7 - x ELSE 7 - y END AS nx, value FROM b)
-    SELECT image_id AS cell_id, ny::INT AS y, nx::INT AS x, round(value * (0.8 + 0.4 * {_draw(2, 0)}), 6) AS value FROM t""")
+    SELECT image_id AS cell_id, ny::INT AS y, nx::INT AS x, round(value * (0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * {_draw(2, 0)}), 4) AS value FROM t""")
 def u9_random_transforms(spark, d):
     """Flips, quarter turns and brightness, drawn per cell and epoch."""
     px = A.pixels(spark, d).select(F.col("image_id").alias("cell_id"), "y", "x", F.col("value").cast("double").alias("value"))
     out = augment.apply_chain(px, [augment.flip(), augment.quarter_turns(), augment.scale(0.8, 1.2)], A.SIDE, seed=5, epoch=2)
-    return out.withColumn("value", F.round("value", 6))
+    return out.withColumn("value", F.round("value", 4))
 
 
 #: Tiles of the mosaic: their side, the step between them, and the rows and columns by which a tile may be off.

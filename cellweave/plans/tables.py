@@ -238,9 +238,9 @@ def _blurred(sigma: float, source: str) -> str:
     down AS ({one('y', 'x', source)}), blurred AS ({one('x', 'y', 'down')})"""
 
 
-@query(f"{with_views('px')}, src AS (SELECT image_id, y, x, value::DOUBLE AS v FROM px), {_blurred(1.0, 'src')} SELECT image_id, y, x, round(v, 5) AS out FROM blurred")
+@query(f"{with_views('px')}, src AS (SELECT image_id, y, x, value::DOUBLE AS v FROM px), {_blurred(1.0, 'src')} SELECT image_id, y, x, round(v, 3) AS out FROM blurred")
 def p30_gaussian_blur(spark, d):
-    return images.blur(A.pixels(spark, d), 1.0).withColumn("out", F.round("out", 5))
+    return images.blur(A.pixels(spark, d), 1.0).withColumn("out", F.round("out", 3))
 
 
 @query(f"""{with_views('px')}, src AS (SELECT image_id, y, x, (value - min(value) OVER i) / nullif(max(value) OVER i - min(value) OVER i, 0)::DOUBLE AS v FROM px WINDOW i AS (PARTITION BY image_id)), {_blurred(2.0, 'src')},

@@ -33,10 +33,11 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [rest] * (rest > 0) + [capacity] * (n // capacity)
 
 
-def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", release: bool = False) -> DataFrame:
     """One row per piece of each document's ids (end_id after each document); the ids themselves stay as a checksum.
 
     Null texts count as empty (a piece with end_id alone); null or repeated ids are kept row by row.
+    release: workers give known pieces back after each task, as other work follows; it costs some encoding.
     """
     path = vocabulary or byte_bpe_path()
 
@@ -57,7 +58,8 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabul
                         begun += n
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
                 pa.default_memory_pool().release_unused()  # what a slice has freed doesn't stay with the worker
-        encoder.forget()  # the worker goes on to other stages, which shouldn't begin with known pieces
+        if release:
+            encoder.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encode, PIECES)
 
@@ -140,12 +142,12 @@ def assign_slots(pieces: DataFrame, capacity: int = 2048, ranked_at_once: int =
     )
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, release: bool = False) -> DataFrame:
     """All documents packed into sequences of at most `capacity` tokens.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts count as empty (a
     piece of end_id alone); null and repeated ids are packed row by row; columns of docs besides doc_id and text are left
     out, whatever their names; no documents give no rows.
     """
-    pieces = common.materialize(token_pieces(docs, capacity, end_id, vocabulary), "pieces")
+    pieces = common.materialize(token_pieces(docs, capacity, end_id, vocabulary, release=release), "pieces")
     return assign_slots(pieces, capacity)

@@ -61,8 +61,8 @@ class _Side(PieceEncoder):
     def _remember(self, pieces: list[bytes]) -> None:
         n = len(self.known)
         super()._remember(pieces)
-        ids, begins = self.flat.tolist(), self.begins.tolist()
-        spelt = (b"".join(map(self.token_bytes.__getitem__, ids[a:b])) for a, b in zip(begins[n:-1], begins[n + 1 :], strict=True))
+        ids, begins = self.flat[self.begins[n] :].tolist(), (self.begins[n:] - self.begins[n]).tolist()
+        spelt = (b"".join(map(self.token_bytes.__getitem__, ids[a:b])) for a, b in zip(begins[:-1], begins[1:], strict=True))
         self.wrong = np.append(self.wrong, np.fromiter((a != b for a, b in zip(spelt, pieces, strict=True)), bool, len(pieces)))
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

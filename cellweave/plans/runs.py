@@ -28,6 +28,9 @@ def query(sql: str | None = None):
     return add
 
 
+#: Part numbers whose images share an index file; a plate has as many files as its images ask for.
+_FILE_IMAGES = 400
+
 _PARTS = """p AS (SELECT *, p_partkey % 4 = 3 AS late, (p_partkey + 1) % 3 + 1 AS ch FROM part)"""
 
 
@@ -44,8 +47,8 @@ def s17_plate_xml(spark, d):
     time = F.concat(F.lit("2023-05-0"), (key % 9 + 1).cast("string"), F.lit("T12:00:"), F.lpad((key % 60).cast("string"), 2, "0"), F.lit(".1234567+02:00"))
     fields = {"Row": size % 16 + 1, "Col": size % 24 + 1, "FieldID": key % 90 + 1, "PlaneID": key % 5 + 1, "TimepointID": key % 7, "ChannelID": channel, "ChannelName": names, "FlimID": key % 2 + 1, "PositionX": key % 11 * 0.25, "PositionY": key % 5 * -0.5, "AbsTime": time}
     image = F.concat(F.lit('<Image Version="1">'), *[tag(k, v) for k, v in fields.items()], F.lit("</Image>"))
-    rows = A.table(spark, d, "part").select(F.when(late, "plate7").otherwise("plate5").alias("name"), F.when(late, "HarmonyV7").otherwise("HarmonyV5").alias("v"), image.alias("image"))
-    docs = rows.groupBy("name", "v").agg(F.array_join(F.collect_list("image"), "").alias("body"))
+    rows = A.table(spark, d, "part").select(F.when(late, "plate7").otherwise("plate5").alias("name"), F.when(late, "HarmonyV7").otherwise("HarmonyV5").alias("v"), F.expr(f"p_partkey div {_FILE_IMAGES}").alias("file"), image.alias("image"))
+    docs = rows.groupBy("name", "v", "file").agg(F.array_join(F.collect_list("image"), "").alias("body"))
     xml = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?><EvaluationInputData xmlns="http://www.perkinelmer.com/PEHH/'), "v", F.lit('" Version="1"><User>x</User><Images>'), "body", F.lit("</Images></EvaluationInputData>"))
     return plates.plate_index(docs.select("name", xml.alias("xml")))
 

@@ -15,11 +15,15 @@ _STEP = 64
 def _place(order: str, bounds: list) -> Column:
     """How many bounds are at or below the value: first among every 64th, then among the 64 after it."""
     fine = [F.array(*[F.lit(b) for b in bounds[k : k + _STEP]]) for k in range(0, len(bounds), _STEP)]
-    first = F.lit(0)
-    for b in bounds[_STEP - 1 :: _STEP]:
-        first = first + (F.lit(b) <= F.col(order)).cast("int")
-    near = F.get(F.array(*fine), first) if len(fine) > 1 else fine[0]
-    return first * _STEP * int(len(fine) > 1) + F.coalesce(F.size(F.filter(near, lambda b: b <= F.col(order))), F.lit(0))
+
+    def place(v: Column) -> Column:
+        first = F.lit(0)
+        for b in bounds[_STEP - 1 :: _STEP]:
+            first = first + (F.lit(b) <= v).cast("int")
+        near = F.get(F.array(*fine), first) if len(fine) > 1 else fine[0]
+        return first * _STEP * int(len(fine) > 1) + F.coalesce(F.size(F.filter(near, lambda b: b <= v)), F.lit(0))
+
+    return F.transform(F.array(F.col(order)), place)[0]  # bound once: an expression behind `order` isn't worked out again for each bound
 
 
 def running_sum(rows: DataFrame, order: str, value: str | None = None, name: str = "before", slices: int | None = None, ties: Sequence[str] = ()) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tile registration graphs as tables of edges: components, spanning paths, positions, and the global fit.
 
 Paths run over blocks of consecutive nodes: a task takes all paths inside its block at once, and what leaves the block is
-passed on in the next round. So rounds are block borders crossed, not hops, and no task holds more than a block.
+passed on in the next round. So rounds are block borders crossed, not hops, and no task holds more than a block. Tables
+of nodes are joined by shuffles, so what the driver gets doesn't grow with them.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, a row for each node, to be joined by sorted shuffles: small as its files are, it is never sent to the driver and on to all executors."""
+    return df.hint("merge")
+
+
 def _rounds(most: int | None) -> Iterator[int]:
     """1, 2, ... without an end, or an error beyond `most`: a loop that isn't done has no right result."""
     for k in count(1):
@@ -54,14 +60,14 @@ def _rounds(most: int | None) -> Iterator[int]:
 
 def components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): the least node that edges lead to, by passing labels on and jumping over them."""
-    both = _both(edges)
+    both = _cut(_both(edges))
     now = _cut(nodes.select("node", F.col("node").alias("component")))
     for _ in _rounds(most):
-        seen = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = now.join(seen, now["node"] == seen["a"], "left").select("node", F.least("component", "near").alias("component"))
+        seen = both.join(_dealt(now.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("component").alias("near"))
+        step = now.join(_dealt(seen), now["node"] == seen["a"], "left").select("node", F.least("component", "near").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = _cut(step.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")))
-        settled = step.join(now.withColumnRenamed("component", "was"), "node").where("component != was").isEmpty()
+        step = _cut(step.join(_dealt(jump), "component", "left").select("node", F.least("component", "further").alias("component")))
+        settled = step.join(_dealt(now.withColumnRenamed("component", "was")), "node").where("component != was").isEmpty()
         now = step
         if settled:
             return now
@@ -110,7 +116,7 @@ def _cheapest(arcs: DataFrame, sources: DataFrame, block: int, most: int | None)
         best = both.groupBy("node").agg(F.min(F.struct("cost", "new", "component", "y", "x")).alias("m"))
         step = _cut(best.select("node", "m.component", "m.y", "m.x", "m.cost", "m.new"))
         now = step.drop("new")
-        fresh = step.where("new = 1").drop("new").join(moved.where("left").select("node").distinct(), "node", "left_semi")
+        fresh = step.where("new = 1").drop("new").join(_dealt(moved.where("left").select("node").distinct()), "node", "left_semi")
         if fresh.isEmpty():
             return now
 
@@ -124,9 +130,9 @@ def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int
     """
     top = nodes.agg(F.max("node")).first()[0]
     stride = ((top or 0) // block + 1) * block
-    labelled = _cut(edges.select("a", "b").join(parts.withColumnRenamed("node", "a"), "a"))
+    labelled = _cut(edges.select("a", "b").join(_dealt(parts.withColumnRenamed("node", "a")), "a"))
     far, many = F.lit(float("inf")), 1
-    state = _cut(nodes.join(parts, "node").select("node", "component", F.lit(0.0).alias("low"), far.alias("high")))
+    state = _cut(nodes.join(_dealt(parts), "node").select("node", "component", F.lit(0.0).alias("low"), far.alias("high")))
     for _ in _rounds(most):
         rank = F.struct("low", "node")
         closed = F.when(F.col("low") == F.col("high"), rank)
@@ -143,7 +149,7 @@ def centre_nodes(nodes: DataFrame, edges: DataFrame, parts: DataFrame, most: int
         reached = _cut(reached)
         ecc = reached.groupBy("component", "k").agg(F.max("d").alias("ecc"))
         bounds = reached.join(ecc, ["component", "k"]).groupBy("node").agg(F.max(F.greatest("d", F.col("ecc") - F.col("d"))).alias("l"), F.min(F.col("ecc") + F.col("d")).alias("h"))
-        joined = state.join(bounds, "node", "left")
+        joined = state.join(_dealt(bounds), "node", "left")
         state = _cut(joined.select("node", "component", F.greatest("low", F.coalesce("l", F.lit(0.0))).alias("low"), F.least("high", F.coalesce("h", far)).alias("high")))
         many = min(2 * many, sources)
 
@@ -158,7 +164,7 @@ def positions(edges: DataFrame, centres: DataFrame, most: int | None = None, blo
 
 def fit_positions(found: DataFrame, nominal: DataFrame) -> DataFrame:
     """All tiles in one frame: a linear map nominal -> found of the largest component (identity if it is degenerate) predicts the others' places; the least position becomes the origin."""
-    joined = found.join(nominal.select("node", F.col("y").alias("ny"), F.col("x").alias("nx")), "node")
+    joined = found.join(_dealt(nominal.select("node", F.col("y").alias("ny"), F.col("x").alias("nx"))), "node")
     size = joined.groupBy("component").agg(F.count("*").alias("n"))
     main = size.agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("c")).first()["c"]
     m = joined.where(F.col("component") == main).agg(*[F.avg(c).alias(f"m_{c}") for c in ("ny", "nx", "y", "x")], F.covar_pop("ny", "ny").alias("yy"), F.covar_pop("nx", "nx").alias("xx"), F.covar_pop("ny", "nx").alias("yx"), *[F.covar_pop(p, q).alias(f"{p}_{q}") for p in ("ny", "nx") for q in ("y", "x")]).first()
@@ -180,4 +186,4 @@ def grid_edges(spark: SparkSession, tiles: DataFrame) -> DataFrame:
     """Neighbour pairs (a, b) of tiles (node, gy, gx) on a grid."""
     right = tiles.select(F.col("node").alias("b"), F.col("gy").alias("gy"), (F.col("gx") - 1).alias("gx"))
     below = tiles.select(F.col("node").alias("b"), (F.col("gy") - 1).alias("gy"), F.col("gx").alias("gx"))
-    return tiles.withColumnRenamed("node", "a").join(right.unionByName(below), ["gy", "gx"]).select("a", "b")
+    return tiles.withColumnRenamed("node", "a").join(_dealt(right.unionByName(below)), ["gy", "gx"]).select("a", "b")

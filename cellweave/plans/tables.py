@@ -260,7 +260,7 @@ def i19_register_neighbours(spark, d):
 def _tile_graph(spark, d):
     """All customers as tiles in chains of 1,009."""
     c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
-    edges = c.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(c.select(F.col("node").alias("b")), "b").where("a % 1009 != 0")
+    edges = c.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(c.select(F.col("node").alias("b")).hint("merge"), "b").where("a % 1009 != 0")
     return c, edges.select("a", "b", F.lit(8.0).alias("dy"), (F.col("a") % 3 - 1.0).alias("dx"), F.lit(1.0).alias("error"))
 
 

@@ -1,8 +1,13 @@
-"""NumPy neighbourhood kernels on one small grid, for tasks that Spark has dealt by image or tile."""
+"""NumPy neighbourhood kernels, for tasks that Spark has dealt by image or tile.
+
+Rows and columns are the last two axes, so most kernels take a stack of grids of one size as well as one; where a kernel
+takes lists of places, it says so.
+"""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 
@@ -10,11 +15,11 @@ import numpy as np
 def shifted(a: np.ndarray, dy: int, dx: int, fill: float = 0) -> np.ndarray:
     """out[y, x] = a[y + dy, x + dx], fill outside."""
     out = np.full_like(a, fill)
-    h, w = a.shape
+    h, w = a.shape[-2:]
     ys, xs = slice(max(dy, 0), h + min(dy, 0)), slice(max(dx, 0), w + min(dx, 0))
     yd, xd = slice(max(-dy, 0), h + min(-dy, 0)), slice(max(-dx, 0), w + min(-dx, 0))
     if yd.start < yd.stop and xd.start < xd.stop:
-        out[yd, xd] = a[ys, xs]
+        out[..., yd, xd] = a[..., ys, xs]
     return out
 
 
@@ -37,15 +42,17 @@ def gaussian_blur(a: np.ndarray, sigma: float) -> np.ndarray:
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
     out = a.astype(float)
-    for axis in (0, 1):
-        padded = np.pad(out, [(r, r) if axis == i else (0, 0) for i in (0, 1)], mode="edge")
+    for axis in (-2, -1):
+        padded = np.pad(out, [(r, r) if axis == i else (0, 0) for i in range(-a.ndim, 0)], mode="edge")
         out = sum(w * np.take(padded, np.arange(i, i + a.shape[axis]), axis=axis) for i, w in enumerate(k))
     return out
 
 
 def median(a: np.ndarray, radius: int) -> np.ndarray:
     stack = np.array([shifted(a.astype(float), p, q, np.nan) for p, q in disk_offsets(radius)])
-    return np.nanmedian(stack, axis=0)
+    stack.sort(axis=0)  # what lies outside sorts last
+    n = (~np.isnan(stack)).sum(axis=0)[None]
+    return np.mean([np.take_along_axis(stack, k, 0)[0] for k in ((n - 1) // 2, n // 2)], axis=0)
 
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:
@@ -62,10 +69,10 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
 
 def column_distance(mask: np.ndarray, far: float) -> np.ndarray:
     """Rows to the nearest background of the same column; far where a column has none."""
-    rows = np.arange(len(mask), dtype=float)[:, None]
+    rows = np.arange(mask.shape[-2], dtype=float)[:, None]
     back = ~mask.astype(bool)
-    above = rows - np.maximum.accumulate(np.where(back, rows, -np.inf), axis=0)
-    below = np.minimum.accumulate(np.where(back, rows, np.inf)[::-1], axis=0)[::-1] - rows
+    above = rows - np.maximum.accumulate(np.where(back, rows, -np.inf), axis=-2)
+    below = np.minimum.accumulate(np.where(back, rows, np.inf)[..., ::-1, :], axis=-2)[..., ::-1, :] - rows
     return np.minimum(np.minimum(above, below), far)
 
 
@@ -73,17 +80,17 @@ def row_envelope(columns: np.ndarray) -> np.ndarray:
     """Euclidean distances from column distances: for each offset along the row what lies there, up to the farthest that still matters."""
     squares = columns**2
     out = squares.copy()
-    for gap in range(1, columns.shape[1]):
+    for gap in range(1, columns.shape[-1]):
         if gap * gap >= out.max(initial=0):
             break
-        np.minimum(out[:, gap:], squares[:, :-gap] + gap * gap, out=out[:, gap:])
-        np.minimum(out[:, :-gap], squares[:, gap:] + gap * gap, out=out[:, :-gap])
+        np.minimum(out[..., gap:], squares[..., :-gap] + gap * gap, out=out[..., gap:])
+        np.minimum(out[..., :-gap], squares[..., gap:] + gap * gap, out=out[..., :-gap])
     return np.sqrt(out)
 
 
 def distance_transform(mask: np.ndarray) -> np.ndarray:
     """Exact Euclidean distance to the nearest background pixel, by columns and then by rows; memory is a few times the mask's."""
-    return row_envelope(column_distance(mask, float(sum(mask.shape))))
+    return row_envelope(column_distance(mask, float(sum(mask.shape[-2:]))))
 
 
 def peaks(a: np.ndarray, min_distance: int) -> np.ndarray:
@@ -118,9 +125,26 @@ def local_maxima(a: np.ndarray, min_distance: int) -> list[tuple[int, int]]:
     return [(y, x) for _, y, x in sorted((-v, y, x) for v, y, x, _ in kept)]
 
 
+#: Steps to neighbours, in reading order.
+FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+
+
+def _relaxed(out: np.ndarray, reached: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The least values that ways from neighbour to neighbour lead to, for a stack of small grids at once; the same as by a queue."""
+    while True:
+        new = np.minimum(out, reached(np.minimum.reduce([shifted(out, dy, dx, np.inf) for dy, dx in FOUR])))
+        if (new == out).all():
+            return out
+        out = new
+
+
 def travel_time(speed: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Least time from pixels that have a cost already, over the 4-neighbourhood, 1 / speed a step (a graph distance, not the eikonal equation's)."""
     out = cost.astype(float)
+    if out.ndim > 2:
+        with np.errstate(divide="ignore"):
+            step = np.where(speed > 0, 1 / speed, np.inf)
+        return _relaxed(out, lambda near: near + step)
     queue = [(float(out[y, x]), int(y), int(x)) for y, x in zip(*np.nonzero(np.isfinite(out)), strict=True)]
     heapq.heapify(queue)
     while queue:
@@ -137,13 +161,11 @@ def travel_time(speed: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Steps to neighbours, in reading order.
-FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
-
-
 def flood_levels(height: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Least height that has to be climbed to from a pixel that has a level already; pixels of infinite height are walls."""
     out = level.copy()
+    if out.ndim > 2:
+        return _relaxed(out, lambda near: np.where(height < np.inf, np.maximum(near, height), np.inf))
     queue = [(float(out[y, x]), int(y), int(x)) for y, x in zip(*np.nonzero(np.isfinite(out)), strict=True)]
     heapq.heapify(queue)
     while queue:
@@ -187,9 +209,10 @@ def flood_parents(level: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 def follow(parents: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Each pixel's label: its own, if it has one, else that of the pixel at the end of its parents within the grid."""
-    at = np.arange(labels.size).reshape(labels.shape)
+    own = np.arange(labels.size).reshape(labels.shape)
+    at = own
     for k, (dy, dx) in enumerate(FOUR):
-        at = np.where((parents == k) & (labels == 0), np.arange(labels.size).reshape(labels.shape) + dy * labels.shape[1] + dx, at)
+        at = np.where((parents == k) & (labels == 0), own + dy * labels.shape[-1] + dx, at)
     at = at.ravel()
     while True:
         further = at[at]
@@ -204,14 +227,52 @@ def watershed(height: np.ndarray, seeds: list[tuple[int, int]], mask: np.ndarray
     A pixel's level is the least height to climb on a way from any seed. It belongs to the seed of its lowest neighbour,
     or, where none is lower, of the nearest one on its plateau; so labels don't depend on the order of work.
     """
-    wet = np.where(mask, height, np.inf)
-    level, steps, labels = np.full(wet.shape, np.inf), np.full(wet.shape, np.inf), np.zeros(wet.shape, np.int64)
+    ranks = np.zeros(mask.shape, np.int64)
     for k, (y, x) in enumerate(seeds, 1):
-        wet[y, x] = level[y, x] = height[y, x]
-        steps[y, x], labels[y, x] = 0, k
-    level = flood_levels(wet, level)
-    steps = plateau_steps(level, steps)
-    return follow(flood_parents(level, steps), labels)
+        ranks[y, x] = k
+    return watershed_from(height, ranks, mask)
+
+
+def watershed_from(height: np.ndarray, ranks: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """watershed() from seeds given as a grid of labels, or a stack of them."""
+    at = ranks > 0
+    wet = np.where(mask | at, height, np.inf)
+    level = flood_levels(wet, np.where(at, height, np.inf))
+    steps = plateau_steps(level, np.where(at, 0, np.inf))
+    return follow(flood_parents(level, steps), ranks)
+
+
+def ranked_maxima(a: np.ndarray, min_distance: int) -> np.ndarray:
+    """local_maxima() as a grid of ranks from 1 on, or a stack of them."""
+    if a.ndim == 2:
+        out = np.zeros(a.shape, np.int64)
+        for k, place in enumerate(local_maxima(a, min_distance), 1):
+            out[place] = k
+        return out
+    peak = peaks(a, min_distance)
+    open_, kept = peak.copy(), np.zeros(a.shape, bool)
+    around = [(p, q) for p, q in disk_offsets(min_distance) if (p, q) != (0, 0)]
+    while open_.any():  # each that no stronger open or kept one is near to is kept, of equal ones the first in reading order
+        free = open_.copy()
+        for p, q in around:
+            near, other = shifted(a, p, q, -np.inf), shifted(open_, p, q, False)
+            free &= ~(other & ((near > a) | ((near == a) & ((p, q) < (0, 0)))))
+        kept |= free
+        open_ &= ~free
+        for p, q in around:
+            open_ &= ~shifted(kept, p, q, False)
+    return ranks_of(kept, -a)
+
+
+def ranks_of(kept: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Ranks from 1 on of the kept pixels of each grid, by order, of ties in reading order."""
+    flat, by = (g.reshape(-1, *kept.shape[-2:]) for g in (kept, order))
+    n, y, x = np.nonzero(flat)
+    at = np.lexsort((x, y, by[n, y, x], n))
+    n, y, x = n[at], y[at], x[at]
+    out = np.zeros(flat.shape, np.int64)
+    out[n, y, x] = np.arange(len(n)) - np.searchsorted(n, n) + 1
+    return out.reshape(kept.shape)
 
 
 def label_mask(mask: np.ndarray, dilation: int = 0, min_distance: int = 2) -> np.ndarray:
@@ -219,7 +280,7 @@ def label_mask(mask: np.ndarray, dilation: int = 0, min_distance: int = 2) -> np
     mask = mask.astype(bool)
     depth = distance_transform(mask)
     grown = dilate(mask.astype(np.int8), dilation).astype(bool) if dilation else mask
-    return watershed(-depth, local_maxima(depth, min_distance), grown)
+    return watershed_from(-depth, ranked_maxima(depth, min_distance), grown)
 
 
 def local_threshold(a: np.ndarray, radius: int, offset: float) -> np.ndarray:

@@ -82,11 +82,9 @@ def segment_cytosol(px: DataFrame, low: float = 0.02, high: float = 0.98, min_di
     px = _written(px.join(otsu_threshold(px, by=[by]), by).withColumn("inside", (F.col("value") > F.col("threshold")).cast("double")).drop("threshold"))
 
     def whole(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        seeds, inside = K.local_maxima(g["value"], min_distance), g["inside"] > 0
-        cost = np.full(inside.shape, np.inf)
-        for s in seeds:
-            cost[s] = 0
-        return {"cell_id": K.watershed(np.minimum(K.travel_time(g["value"] + 1e-3, cost), 1e9), [s for s in seeds if inside[s]], inside)}
+        seeds, inside = K.ranked_maxima(g["value"], min_distance), g["inside"] > 0
+        time = K.travel_time(g["value"] + 1e-3, np.where(seeds > 0, 0.0, np.inf))
+        return {"cell_id": K.watershed_from(np.minimum(time, 1e9), K.ranks_of((seeds > 0) & inside, seeds), inside)}
 
     def rounds(px: DataFrame) -> DataFrame:
         seeds = _written(tiled.chosen_peaks(px, min_distance, [by], tile))

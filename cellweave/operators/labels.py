@@ -128,23 +128,24 @@ def contact_filter(dense: DataFrame, height: int, width: int, threshold: float)
 
 
 def otsu_threshold(px: DataFrame, bins: int = 512, by: Sequence[str] = (), column: str = "value") -> DataFrame:
-    """Global Otsu threshold: the first bin centre with the largest variance between classes."""
+    """Global Otsu threshold: the first bin centre with the largest variance between classes.
+
+    Bins without values are left out: their variance is that of the bin before them, which comes first.
+    """
     v = F.col(column).cast("double")
     ends = px.groupBy(*by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     joined = px.join(ends, list(by)) if by else px.crossJoin(F.broadcast(ends))  # ends is one row
     width = (F.col("hi") - F.col("lo")) / bins
     k = F.least(F.floor((v - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)).cast("int")
     counts = joined.groupBy(*by, "lo", "hi", F.coalesce(k, F.lit(0)).alias("k")).agg(F.count("*").alias("n"))
-    grid = ends.select(*by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("k"))
-    full = grid.join(counts, [*by, "lo", "hi", "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    full = full.withColumn("centre", F.col("lo") + (F.col("k") + 0.5) * width)
+    full = counts.withColumn("centre", F.col("lo") + (F.col("k") + 0.5) * width)
     keys = list(by) or [F.lit(0)]
     up = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys).orderBy("k").rowsBetween(1, Window.unboundedFollowing)
     n, weighted = F.col("n"), F.col("n") * F.col("centre")
     low_n, high_n = F.sum(n).over(up), F.sum(n).over(down)
     spread = low_n * high_n * F.pow(F.sum(weighted).over(up) / F.nullif(low_n, F.lit(0)) - F.sum(weighted).over(down) / F.nullif(high_n, F.lit(0)), F.lit(2.0))
-    scored = full.select(*by, "k", "centre", spread.alias("spread")).where(F.col("k") < bins - 1)
+    scored = full.select(*by, "k", "centre", spread.alias("spread"))  # the last bin has none; it counts only in images of one value
     return scored.groupBy(*by).agg(F.max_by("centre", F.struct("spread", -F.col("k"))).alias("threshold"))
 
 

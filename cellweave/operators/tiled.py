@@ -8,7 +8,7 @@ kernels in `functions.kernels` for every tile size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from .graphs import _cut as _written
 
 #: Side of a tile, and columns or rows that a task takes the distances of at once.
 TILE, LINES = 512, 64
+#: Pixels of a grid that is worked on in a stack with others of its size, and of a stack, at most.
+SMALL, STACK = 4096, 1 << 19
 
 
 def sized(px: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -37,34 +39,74 @@ def per_block(px: DataFrame, kernel: Callable[[dict[str, np.ndarray]], dict[str,
     """A kernel over tiles with halos, cut at the image's ends: (by..., h, w, y, x, outputs...) of each tile's own pixels.
 
     px(by..., h, w, y, x, inputs...); inputs: columns and what stands for missing pixels; outputs: names and types. The
-    kernel also gets `core`, the pixels that aren't halo. With keep, an output's name, only pixels where it isn't 0. A tile that no pixel reaches gives none. tile is raised to the halo.
+    kernel also gets `core`, the pixels that aren't halo. A partition's tiles come sorted; small ones of one size are stacked,
+    so a kernel takes grids of two axes and of three. With keep, an output's name, only pixels where it isn't 0. A tile that no pixel reaches gives none. tile is raised to the halo.
     """
     tile = max(tile, halo, 1)
     columns = [*by, "h", "w"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ty, tx, h, w = (int(rows[c].iloc[0]) for c in ("ty", "tx", "h", "w"))
-        if ty * tile >= h or tx * tile >= w:  # only a halo of the image's last tiles
-            return rows.iloc[:0].assign(**dict.fromkeys(outputs, 0.0))[[*columns, "y", "x", *outputs]]
-        y0, y1, x0, x1 = max(ty * tile - halo, 0), min((ty + 1) * tile + halo, h), max(tx * tile - halo, 0), min((tx + 1) * tile + halo, w)
-        y, x = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
-        grids = {}
-        for name, missing in inputs.items():
-            grids[name] = np.full((y1 - y0, x1 - x0), missing, np.float64)
-            grids[name][y, x] = rows[name].to_numpy()
-        grids["core"] = np.zeros((y1 - y0, x1 - x0), bool)
-        grids["core"][ty * tile - y0 : (ty + 1) * tile - y0, tx * tile - x0 : (tx + 1) * tile - x0] = True
-        made = kernel(grids)
-        ys, xs = np.mgrid[ty * tile - y0 : min((ty + 1) * tile, h) - y0, tx * tile - x0 : min((tx + 1) * tile, w) - x0].reshape(2, -1)
-        if keep:
-            there = made[keep][ys, xs] != 0
-            ys, xs = ys[there], xs[there]
-        out = {c: rows[c].iloc[0] for c in columns} | {"y": (ys + y0).astype(np.int32), "x": (xs + x0).astype(np.int32)}
-        return pd.DataFrame(out | {name: made[name][ys, xs].astype({"long": np.int64, "int": np.int32}.get(kind, np.float64)) for name, kind in outputs.items()})
-
-    shared = tiling.with_halo(px.select(*columns, "y", "x", *inputs), tile, halo)
+    ids = [*by, "ty", "tx"]
+
+    def work(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Whole tiles, whose rows begin at starts."""
+        heads = rows.iloc[starts]
+        ty, tx, h, w = (heads[c].to_numpy().astype(np.int64) for c in ("ty", "tx", "h", "w"))
+        y0, y1, x0, x1 = np.maximum(ty * tile - halo, 0), np.minimum((ty + 1) * tile + halo, h), np.maximum(tx * tile - halo, 0), np.minimum((tx + 1) * tile + halo, w)
+        own = np.stack([ty * tile - y0, np.minimum((ty + 1) * tile, h) - y0, tx * tile - x0, np.minimum((tx + 1) * tile, w) - x0], 1)
+        shapes, kind = np.unique(np.column_stack([y1 - y0, x1 - x0, own]), axis=0, return_inverse=True)
+        kind = np.where((ty * tile < h) & (tx * tile < w), kind.ravel(), -1)  # others are only a halo of the image's last tiles
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        y, x, slot = rows["y"].to_numpy() - y0[group], rows["x"].to_numpy() - x0[group], np.zeros(len(starts), np.int64)
+        for k, (height, width, a, b, c, d) in enumerate(shapes.tolist()):
+            alike = np.flatnonzero(kind == k)
+            size = height * width
+            many = max(STACK // size, 1) if size <= SMALL else 1
+            for at in range(0, len(alike), many):
+                some = alike[at : at + many]
+                slot[some] = np.arange(len(some))
+                if len(some) == len(starts):
+                    here = slice(None)
+                elif len(some) == 1:
+                    here = slice(starts[some[0]], starts[some[0] + 1] if some[0] + 1 < len(starts) else None)
+                else:
+                    taken = np.zeros(len(starts), bool)
+                    taken[some] = True
+                    here = taken[group]
+                grids = {}
+                for name, missing in inputs.items():
+                    grids[name] = np.full((len(some), height, width), missing, np.float64)
+                    grids[name][slot[group[here]], y[here], x[here]] = rows[name].to_numpy()[here]
+                grids["core"] = np.zeros((len(some), height, width), bool)
+                grids["core"][:, a:b, c:d] = True
+                made = kernel(grids if size <= SMALL else {name: g[0] for name, g in grids.items()})
+                made = {name: made[name].reshape(len(some), height, width)[:, a:b, c:d] for name in outputs}
+                n, ys, xs = np.nonzero(made[keep]) if keep else (v.ravel() for v in np.indices((len(some), b - a, d - c)))
+                out = {c_: heads[c_].to_numpy()[some[n]] for c_ in columns} | {"y": (ys + a + y0[some[n]]).astype(np.int32), "x": (xs + c + x0[some[n]]).astype(np.int32)}
+                yield pd.DataFrame(out | {name: made[name][n, ys, xs].astype({"long": np.int64, "int": np.int32}.get(kind_, np.float64)) for name, kind_ in outputs.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the last tile so far
+        for rows in batches:
+            if not len(rows):
+                continue
+            last = pd.concat([held[-1].iloc[-1:], rows])[ids] if held else pd.concat([rows.iloc[:1], rows])[ids]
+            before, now = last.iloc[:-1].reset_index(drop=True), last.iloc[1:].reset_index(drop=True)
+            new = np.flatnonzero(((before != now) & ~(before.isna() & now.isna())).any(axis=1).to_numpy())
+            if len(new):
+                done = pd.concat([*held, rows.iloc[: new[-1]]], ignore_index=True)
+                ahead = sum(map(len, held))
+                starts = np.unique(np.append(0, new[:-1] + ahead))
+                if len(done):
+                    yield from work(done, starts)
+                held = [rows.iloc[new[-1] :]]
+            else:
+                held.append(rows)
+        if held:
+            yield from work(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
+
+    shared = tiling.with_halo(px.select(*columns, "y", "x", *inputs), tile, halo).drop("core")
     kinds = "".join(f", {name} {kind}" for name, kind in outputs.items())
-    return shared.groupBy(*by, "ty", "tx").applyInPandas(run, f"{_fields(px, columns)}, y int, x int{kinds}")
+    return shared.repartition(*ids).sortWithinPartitions(*ids).mapInPandas(run, f"{_fields(px, columns)}, y int, x int{kinds}")
 
 
 def distance(mask: DataFrame, by: Sequence[str] = (), lines: int = LINES) -> DataFrame:

@@ -66,10 +66,9 @@ def with_halo(px: DataFrame, tile: int, halo: int) -> DataFrame:
     """Columns ty, tx, core: each pixel once for its tile and again for the neighbours within `halo`, so that a tile's neighbourhoods are whole. A halo wider than a tile is refused, as it would reach past the neighbours."""
     if halo > tile:
         raise ValueError("the halo has to be no wider than a tile")
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    sent = px.withColumn("o", near).withColumns({"ty": F.expr(f"cast(y div {tile} + o.a as int)"), "tx": F.expr(f"cast(x div {tile} + o.b as int)")})
-    inside = (F.col("y") >= F.col("ty") * tile - halo) & (F.col("y") < (F.col("ty") + 1) * tile + halo) & (F.col("x") >= F.col("tx") * tile - halo) & (F.col("x") < (F.col("tx") + 1) * tile + halo)
-    return sent.where(inside & (F.col("ty") >= 0) & (F.col("tx") >= 0)).withColumn("core", (F.col("o.a") == 0) & (F.col("o.b") == 0)).drop("o")
+    reach = lambda c: F.explode(F.expr(f"sequence(cast(greatest({c} - {halo}, 0) div {tile} as int), cast(({c} + {halo}) div {tile} as int))"))
+    sent = px.withColumn("ty", reach("y")).withColumn("tx", reach("x")) if halo else px.withColumns({c: F.expr(f"cast({a} div {tile} as int)") for c, a in (("ty", "y"), ("tx", "x"))})
+    return sent.withColumn("core", (F.col("ty") == F.expr(f"y div {tile}")) & (F.col("tx") == F.expr(f"x div {tile}")))
 
 
 def per_tile(px: DataFrame, tile: int, halo: int, kernel: Callable[[np.ndarray], np.ndarray], by: Sequence[str] = (), fill: float = 0.0) -> DataFrame:

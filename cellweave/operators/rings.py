@@ -1,19 +1,21 @@
 """Outlines of cells as closed rings of corners, in order, holes included.
 
 Every side of a pixel that another label lies behind is a directed edge with the cell on its right; which edge follows
-is told by the three pixels around its end. Edges find their ring's first edge and their distance from it by pointer
-doubling over a table, so neither a cell nor an image has to fit in a task.
+is told by the three pixels around its end. Rings that lie in one tile are ordered by the task that holds it. Edges of the
+others find their ring's first edge and their distance from it by pointer doubling over a table, so neither a cell nor an
+image has to fit in a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import tiling
+from . import tiled
 from .graphs import _cut as _written
 
 #: Neighbours by the bit that stands for them: the four sides in the order of edges (east along the top, south along the right, west, north), then the corners that each edge runs to.
@@ -25,12 +27,13 @@ MOST_ID, MOST_SIDE = 1 << 44, 1 << 29
 
 
 def _around(grid: np.ndarray) -> np.ndarray:
-    """Label times 256 plus the bits of neighbours with the same label."""
-    wide = np.pad(grid, 1)
+    """Label times 256 plus the bits of neighbours with the same label; 0 for background."""
+    h, w = grid.shape[-2:]
+    wide = np.pad(grid, [(0, 0)] * (grid.ndim - 2) + [(1, 1)] * 2)
     bits = np.zeros(grid.shape)
     for k, (dy, dx) in enumerate(SIDES + CORNERS):
-        bits += (wide[1 + dy : 1 + dy + grid.shape[0], 1 + dx : 1 + dx + grid.shape[1]] == grid) * float(1 << k)
-    return grid * 256 + bits
+        bits += (wide[..., 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] == grid) * float(1 << k)
+    return np.where(grid != 0, grid * 256 + bits, 0.0)
 
 
 def _edge(y: Column, x: Column, d: int) -> Column:
@@ -44,7 +47,7 @@ def edges(mask: DataFrame, by: Sequence[str] = (), tile: int = 512) -> DataFrame
     corner aren't joined. Background is 0 or missing; labels are from 1 to 2^44, rows and columns below 2^29.
     """
     px = mask.where("cell_id != 0").select(*by, "y", "x", F.col("cell_id").alias("value"))
-    found = tiling.per_tile(px, tile, 1, _around, by).select(*by, "y", "x", F.col("out").cast("long").alias("out"))
+    found = tiled.per_block(tiled.sized(px, by), lambda g: {"out": _around(g["value"])}, 1, by, {"value": 0.0}, {"out": "long"}, tile, keep="out")
     has = lambda k: F.call_function("getbit", F.col("out"), F.lit(k)) == 1
     each = []
     for d in range(4):
@@ -85,9 +88,64 @@ def rings(sides: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sides.join(placed, [*by, "edge"])
 
 
+def _in_partition(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Sides sorted by tile, with ring and place where the whole ring is among the tile's sides, null elsewhere."""
+    ids, held = [*by, "ty", "tx"], []
+
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pointer doubling within whole tiles, several at once."""
+        tile = rows.groupby(ids, sort=False, dropna=False).ngroup().to_numpy()
+        edge, follow = (rows[c].to_numpy() for c in ("edge", "next"))
+        order = np.lexsort((edge, tile))
+        # places of (tile, next) among the sorted (tile, edge)
+        keys = np.rec.fromarrays([tile[order], edge[order]], names="t,e")
+        at = np.searchsorted(keys, np.rec.fromarrays([tile, follow], names="t,e"))
+        at[at == len(rows)] = 0
+        found = (tile[order][at] == tile) & (edge[order][at] == follow)
+        to = np.where(found, order[at], np.arange(len(rows)))
+        whole, first, gap, span = found.copy(), np.arange(len(rows)), np.zeros(len(rows), np.int64), 1
+        while True:  # as in rings(): windows double until no edge learns of a smaller one
+            nearer = edge[first[to]] < edge[first]
+            gap, both = np.where(nearer, gap[to] + span, gap), whole & whole[to]
+            settled = not nearer.any() and (both == whole).all()
+            first, whole, to, span = np.where(nearer, first[to], first), both, to[to], 2 * span
+            if settled:
+                break
+        n = np.bincount(first[whole], minlength=len(rows))[first]
+        out = rows.drop(columns=["ty", "tx"])
+        out["ring"] = pd.array(np.where(whole, edge[first], 0), "Int64")
+        out["place"] = pd.array(np.where(whole, (n - gap) % np.maximum(n, 1), 0), "Int64")
+        out.loc[~whole, ["ring", "place"]] = pd.NA
+        return out
+
+    for rows in batches:
+        if not len(rows):
+            continue
+        seen = pd.concat([held[-1].iloc[-1:] if held else rows.iloc[:1], rows])[ids]
+        was, now = seen.iloc[:-1].reset_index(drop=True), seen.iloc[1:].reset_index(drop=True)
+        new = np.flatnonzero(((was != now) & ~(was.isna() & now.isna())).any(axis=1).to_numpy())
+        if not len(new):
+            held.append(rows)
+            continue
+        done = pd.concat([*held, rows.iloc[: new[-1]]], ignore_index=True)
+        if len(done):
+            yield ordered(done)
+        held = [rows.iloc[new[-1] :]]
+    if held:
+        yield ordered(pd.concat(held, ignore_index=True))
+
+
 def outlines(mask: DataFrame, by: Sequence[str] = (), tile: int = 512) -> DataFrame:
-    """rings() of a mask: a row per edge with by..., cell_id, ring, place, y, x, direction, turn."""
-    return rings(_written(edges(mask, by, tile)), by)
+    """rings() of a mask: a row per edge with by..., cell_id, ring, place, y, x, direction, turn. A task holds the sides of a tile."""
+    names, fields = [*by, "cell_id", "edge", "next", "y", "x", "direction", "turn"], edges(mask, by, tile)
+    sides = fields.select(*names, F.expr(f"shiftright(edge, 33) div {tile}").alias("ty"), F.expr(f"shiftright({(1 << 33) - 1} & edge, 2) div {tile}").alias("tx"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.select(*names).schema)
+    ids = [*by, "ty", "tx"]
+    found = sides.repartition(*ids).sortWithinPartitions(*ids).mapInPandas(lambda batches: _in_partition(batches, by), f"{kinds}, ring long, place long")
+    found = _written(found)
+    rest = found.where("ring is null").drop("ring", "place")
+    done = found.where("ring is not null")
+    return done if rest.isEmpty() else done.unionByName(rings(rest, by))
 
 
 def corners(outline: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import augment, plates
@@ -84,7 +84,7 @@ _TILE_SIDE, _TILE_STEP = 40, 28
 
 
 def _cut_tiles(spark, d):
-    """Tiles of the whole mosaic at places up to two pixels off nominal; the last ones end at its border."""
+    """Tiles of the whole mosaic at places up to two pixels off nominal; the last ones end at its border. Each pixel tells its tiles, without a join."""
     from .images import _mosaic
 
     m, h, w = _mosaic(spark, d)
@@ -92,11 +92,17 @@ def _cut_tiles(spark, d):
     grid = spark.range(rows * columns).select(F.col("id").alias("tile"), F.expr(f"id div {columns}").cast("int").alias("r"), (F.col("id") % columns).cast("int").alias("k"))
     nominal = lambda c, n: F.least(F.col(c) * _TILE_STEP, F.lit(max(n - _TILE_SIDE, 0)))
     off = lambda c, n, by: F.greatest(F.lit(0), F.least(nominal(c, n) + F.when(F.col("tile") == 0, 0).otherwise(F.col("tile") * by % 5 - 2), F.lit(max(n - _TILE_SIDE, 0)))).cast("int")
-    grid = grid.select("tile", nominal("r", h).cast("double").alias("y"), nominal("k", w).cast("double").alias("x"), off("r", h, 3).alias("ty"), off("k", w, 7).alias("tx"))
-    reach = F.explode(F.sequence(F.lit(0), F.lit(_TILE_SIDE - 1)))
-    asked = grid.select("tile", "ty", "tx", reach.alias("y")).select("*", reach.alias("x"))
-    px = asked.join(m.select(F.col("y").alias("my"), F.col("x").alias("mx"), "value"), (F.col("my") == F.col("y") + F.col("ty")) & (F.col("mx") == F.col("x") + F.col("tx")))
-    return px.select("tile", F.lit(0).alias("c"), "y", "x", "value"), grid.select("tile", "y", "x")
+
+    def near(c: str, n: int, many: int) -> Column:
+        """Rows (or columns) of tiles that may hold a pixel: a tile is up to two pixels off, the last one may begin before its step."""
+        low = F.greatest(F.lit(0), F.least(F.expr(f"({c} - {_TILE_SIDE + 1}) div {_TILE_STEP}"), F.lit(many - 1)))
+        high = F.when(F.col(c) >= n - _TILE_SIDE - 2, many - 1).otherwise(F.least(F.expr(f"({c} + 2) div {_TILE_STEP}"), F.lit(many - 1)))
+        return F.explode(F.sequence(low.cast("int"), high.cast("int")))
+
+    asked = m.select("y", "x", "value", near("y", h, rows).alias("r")).select("*", near("x", w, columns).alias("k"))
+    asked = asked.withColumn("tile", F.col("r").cast("long") * columns + F.col("k"))
+    px = asked.select("tile", (F.col("y") - off("r", h, 3)).cast("int").alias("y"), (F.col("x") - off("k", w, 7)).cast("int").alias("x"), "value").where(F.col("y").between(0, _TILE_SIDE - 1) & F.col("x").between(0, _TILE_SIDE - 1))
+    return px.select("tile", F.lit(0).alias("c"), "y", "x", "value"), grid.select("tile", nominal("r", h).cast("double").alias("y"), nominal("k", w).cast("double").alias("x"))
 
 
 @query(f"""{with_views('mosaic')}, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM mosaic), n AS (SELECT *, greatest(0, ceil((h - 40) / 28.0))::INT + 1 AS nr, greatest(0, ceil((w - 40) / 28.0))::INT + 1 AS nk FROM s),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .tokens import PieceEncoder, byte_bpe_path
+from .tokens import byte_level as _byte_level
 
 #: Text bytes aligned at once (a longer document is still taken whole), and known pieces that a worker keeps for each side.
 SLICE_BYTES, ENTRIES = 2 << 20, 250_000
@@ -35,13 +36,6 @@ def piece_bpe_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _byte_level() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where it prints, else the next code point from 256 on."""
-    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in prints]
-    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class _Side(PieceEncoder):
     """An encoder that also knows its tokens' bytes, and which pieces they don't spell."""
 

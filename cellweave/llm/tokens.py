@@ -9,7 +9,7 @@ library treats them by its default.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,10 @@ import pyarrow as pa
 CACHE_ENTRIES = 300_000
 #: Pieces handed to the library at once, which holds some 1 KB for each until its ids are taken.
 ENCODED_AT_ONCE = 10_000
+#: Pieces that are written one after another into one text for the library, where they can be told apart again.
+JOINED = 32
+#: ASCII white space, before which a text is cut.
+BLANKS = " \t\n\v\f\r"
 #: Bytes of one text that are cut at once.
 WINDOW = 8 << 20
 
@@ -55,11 +59,31 @@ def mark_starts(data: np.ndarray, cut: np.ndarray) -> None:
     cut[at[_after_wide_space(data, at)]] = False
 
 
+def byte_level() -> dict[str, int]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where it prints, else the next code point from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def _token_sizes(tokenizer) -> np.ndarray | None:
+    """Bytes of each token of a vocabulary that spells texts byte by byte; None if it doesn't."""
+    pre = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or type(pre).__name__ != "ByteLevel" or pre.add_prefix_space:
+        return None
+    byte_of, vocabulary = byte_level(), tokenizer.get_vocab()
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token) if all(c in byte_of for c in token) else len(token.encode())
+    return sizes
+
+
 class PieceEncoder:
     """One per Python worker and vocabulary."""
 
     _made: dict[tuple[type, str], PieceEncoder] = {}
     entries: int | None = None  # pieces that it remembers, where fewer than CACHE_ENTRIES
+    sizes: np.ndarray | None = None  # bytes of each token, where they spell the text
     mark = staticmethod(mark_starts)
 
     def __init__(self, path: str) -> None:
@@ -68,12 +92,41 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.sizes = _token_sizes(self.tokenizer)
         self._forget()
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encode(self, pieces: list[bytes]) -> list[list[int]]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and each piece's number of ids."""
+        got = self._encode(pieces)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), "<u4", int(lengths.sum())), lengths
+
+    def _encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with fewer calls of the library, whose cost is more than that of a short piece: pieces that begin with a
+        blank and don't end with one, between which every text is cut, are joined, and parted again by their tokens' sizes."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        joins = np.fromiter((t[0] in BLANKS and not t[-1].isspace() for t in texts), bool, len(texts))
+        together = list(compress(pieces, joins))
+        ids, _ = self._encode_flat([b"".join(together[at : at + JOINED]) for at in range(0, len(together), JOINED)])
+        ends, asked = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, together), np.int64, len(together)))
+        last = np.searchsorted(ends, asked)
+        if not len(ends) or ends[-1] != asked[-1] or (ends[last] != asked).any():
+            return self._encode_flat(pieces)
+        others, n = self._encode_flat(list(compress(pieces, ~joins)))
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[joins], lengths[~joins] = np.diff(last, prepend=-1), n
+        which = np.repeat(joins, lengths)
+        flat = np.zeros(len(which), "<u4")
+        flat[which], flat[~which] = ids, others
+        return flat, lengths
+
     def forget(self) -> None:
         """Give the memory of known pieces back, where a worker has done its task."""
         self._forget()
@@ -106,9 +159,9 @@ class PieceEncoder:
     def _remember(self, pieces: list[bytes]) -> None:
         lengths, ids = [], []
         for at in range(0, len(pieces), ENCODED_AT_ONCE):
-            got = self._encode(pieces[at : at + ENCODED_AT_ONCE])
-            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-            ids.append(np.fromiter(chain.from_iterable(got), "<u4", int(lengths[-1].sum())))
+            flat, n = (self._encode_flat if self.sizes is None else self._encode_joined)(pieces[at : at + ENCODED_AT_ONCE])
+            lengths.append(n)
+            ids.append(flat)
         ends = np.cumsum(np.concatenate(lengths))
         self.begins = np.concatenate([self.begins, ends + self.begins[-1]])
         self.flat = np.concatenate([self.flat, *ids])
@@ -118,14 +171,16 @@ class PieceEncoder:
     def _places(self, distinct: pa.Array) -> np.ndarray:
         """Where each distinct piece is among the known ones; new ones are encoded."""
         pieces = distinct.to_pylist()
-        missing = [p for p in pieces if p not in self.known]
+        find = lambda: np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        places = find()
         most = self.entries or CACHE_ENTRIES
-        if len(self.known) + len(missing) > most:
+        if len(self.known) + np.count_nonzero(places < 0) > most:
             self._make_room(most - len(pieces))
-            missing = [p for p in pieces if p not in self.known]
-        if missing:
-            self._remember(missing)
-        places = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            places = find()
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._remember([pieces[k] for k in new.tolist()])
         self.met[places] += 1
         return places
 

@@ -71,6 +71,27 @@ def test_windows_and_forgetting(monkeypatch):
         assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_new_pieces_are_joined_for_the_library(monkeypatch):
+    """2,000 new words reach it in a few dozen texts; where sizes don't tell them apart, one by one; ids are the same."""
+    texts = [" ".join(f"w{k}é" for k in range(1000)), "".join(f" x{k},\n<|endoftext|> {k}\u3000{k} " for k in range(1000))]
+    library, handed, own = Tokenizer.from_file(PATHS[0]), [], tokens.PieceEncoder._encode
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens.PieceEncoder, "_encode", lambda self, pieces: handed.append(len(pieces)) or own(self, pieces))
+    encoder = tokens.PieceEncoder(PATHS[0])
+    for _ in range(2):
+        flat, at = encoder.ids(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    encoder.ids(pa.array(texts[:1]))
+    few, joined = sum(handed), tokens.PieceEncoder(PATHS[0])
+    handed.clear()
+    joined.ids(pa.array(texts[:1]))
+    assert sum(handed) < 50 and few < 2500
+    joined._forget()
+    joined.sizes = joined.sizes + 1
+    flat, at = joined.ids(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
 def reference_ids(rows, end):
     library = Tokenizer.from_file(PATHS[0])
     return [library.encode(r[1] or "", add_special_tokens=False).ids + [end] for r in rows]

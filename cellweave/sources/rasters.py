@@ -11,10 +11,13 @@ from __future__ import annotations
 import gzip
 import json
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby, islice, pairwise
 from math import prod
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import datasource as ds
 
+from ..operators.graphs import _cut
 from .files import BITS, COMPRESSION, COUNTS, FORMAT, HEIGHT, OFFSETS, PHOTOMETRIC, ROWS, SAMPLES, WIDTH, channel_name
 
 # TIFF tags of tiled files, and the sizes and codes of its field types.
@@ -31,6 +35,8 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 FIELDS = {1: (1, "B"), 3: (2, "H"), 4: (4, "I"), 16: (8, "Q")}
 #: Bytes of files, or of unpacked chunks, that a task reads; a larger file is shared by several tasks.
 TASK_BYTES = 32 << 20
+#: Pixels of a section of an image, and of a task that writes sections on average.
+SECTION_PIXELS, TASK_PIXELS = 1 << 17, 1 << 20
 
 
 def open_fs(uri: str) -> tuple[afs.FileSystem, str]:
@@ -358,86 +364,141 @@ def load_omezarr(spark: SparkSession, path: str, remap: Sequence[int] | None = N
     return px.where(F.col("c").isin(list(remap))).withColumn("c", new[F.col("c")].cast("int"))
 
 
-class _Strips:
-    """One 16-bit file, written strip by strip as its rows come, under a name of its own until it is whole."""
-
-    def __init__(self, path: str, height: int, width: int, rows: int) -> None:
-        self.system, self.at = open_fs(path)
-        self.path, self.height, self.width, self.rows = path, height, width, min(rows, height)
-        n = -(-height // self.rows)
-        sizes = [2 * width * min(self.rows, height - k * self.rows) for k in range(n)]
-        fields = [(WIDTH, [width]), (HEIGHT, [height]), (BITS, [16]), (COMPRESSION, [1]), (PHOTOMETRIC, [1]), (OFFSETS, None), (SAMPLES, [1]), (ROWS, [self.rows]), (COUNTS, sizes), (FORMAT, [1])]
-        after = 16 + 8 + 20 * len(fields) + 8  # lists follow the directory, strips follow them
-        start = after + (16 * n if n > 1 else 0)
-        places = [start + sum(sizes[:k]) for k in range(n)] if n < 2 else (start + np.append(0, np.cumsum(sizes[:-1]))).tolist()
-        head = b"II" + struct.pack("<HHHQQ", 43, 8, 0, 16, len(fields))
-        lists = {OFFSETS: places, COUNTS: sizes}
-        for tag, values in fields:
-            values = lists.get(tag, values)
-            where = values[0] if n == 1 or tag not in lists else after + 8 * n * (tag == COUNTS)
-            head += struct.pack("<HHQQ", tag, 16 if tag in lists else 4 if tag in (WIDTH, HEIGHT, ROWS) else 3, len(values), where)
-        head += struct.pack("<Q", 0)
-        if n > 1:
-            head += np.array([*places, *sizes], "<u8").tobytes()
-        self.system.create_dir(self.at.rsplit("/", 1)[0], recursive=True)
-        self.part = f"{self.at}.{id(self)}.part"
-        self.out = self.system.open_output_stream(self.part)
-        self.out.write(head)
-        self._begin(0)
-
-    def _begin(self, k: int) -> None:
-        self.k = k
-        self.strip = np.zeros((max(0, min(self.rows, self.height - k * self.rows)), self.width), "<u2")
-
-    def _end(self) -> None:
-        self.out.write(self.strip.tobytes())
-        self._begin(self.k + 1)
-
-    def add(self, y: np.ndarray, x: np.ndarray, value: np.ndarray) -> None:
-        """Pixels in the order of rows."""
-        strip = y // self.rows
-        for k in np.unique(strip):
-            while self.k < k:
-                self._end()
-            here = strip == k
-            self.strip[y[here] - k * self.rows, x[here]] = value[here]
-
-    def close(self) -> None:
-        while len(self.strip):
-            self._end()
-        self.out.close()
-        self.system.move(self.part, self.at)
+def _head(height: int, width: int, rows: int) -> bytes:
+    """What stands before the rows of a 16-bit file, which follow one another: its directory, and where its strips lie."""
+    rows = min(rows, height)
+    n = -(-height // rows)
+    sizes = np.full(n, 2 * width * rows, "<u8")
+    sizes[-1] = 2 * width * (height - (n - 1) * rows)
+    fields = [(WIDTH, [width]), (HEIGHT, [height]), (BITS, [16]), (COMPRESSION, [1]), (PHOTOMETRIC, [1]), (OFFSETS, None), (SAMPLES, [1]), (ROWS, [rows]), (COUNTS, sizes), (FORMAT, [1])]
+    after = 16 + 8 + 20 * len(fields) + 8  # lists follow the directory, strips follow them
+    places = after + 16 * n * (n > 1) + np.cumsum(sizes) - sizes
+    head = b"II" + struct.pack("<HHHQQ", 43, 8, 0, 16, len(fields))
+    lists = {OFFSETS: places, COUNTS: sizes}
+    for tag, values in fields:
+        values = lists.get(tag, values)
+        where = int(values[0]) if n == 1 or tag not in lists else after + 8 * n * (tag == COUNTS)
+        head += struct.pack("<HHQQ", tag, 16 if tag in lists else 4 if tag in (WIDTH, HEIGHT, ROWS) else 3, len(values), where)
+    return head + struct.pack("<Q", 0) + (places.astype("<u8").tobytes() + sizes.tobytes() if n > 1 else b"")
+
+
+def _put(path: str, content: Iterable[bytes]) -> None:
+    """A file written piece by piece, under a name of its own until it is whole."""
+    system, at = open_fs(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(part) as out:
+            for piece in content:
+                out.write(piece)
+        system.move(part, at)
+    except BaseException:
+        if system.get_file_info(part).type != afs.FileType.NotFound:
+            system.delete_file(part)
+        raise
+
+
+def _join_sections(path: str, height: int, width: int, rows: int, per: int, sections: list[tuple[int, str]]) -> None:
+    """The file of an image from files of `per` rows each, which are deleted; sections without a file are 0.
+
+    If some are gone, an earlier attempt has joined them: they go only after the whole file is in its place.
+    """
 
+    def content() -> Iterator[bytes]:
+        yield _head(height, width, rows)
+        at = 0
+        for k, part in sections:
+            for row in range(at, k * per, per):
+                yield bytes(2 * width * min(per, k * per - row))
+            system, place = open_fs(part)
+            with system.open_input_file(place) as f:
+                yield f.read()
+            at = (k + 1) * per
+
+    try:
+        _put(path, content())
+    except FileNotFoundError:
+        system, at = open_fs(path)
+        if system.get_file_info(at).type == afs.FileType.NotFound:
+            raise
+    for _, part in sections:
+        system, at = open_fs(part)
+        if system.get_file_info(at).type != afs.FileType.NotFound:
+            system.delete_file(at)
 
-def write_tiffs(px: DataFrame, folder: str, by: str = "image_id", rows_per_strip: int = 256) -> DataFrame:
-    """px(by, y, x, value) to a 16-bit file for each image, folder/NAME.tif; (by, path, height, width), once they are written.
 
-    Values are those of unsigned 16 bits; pixels that don't exist are 0. A task holds a strip of rows, not an image.
-    """
-    size = px.groupBy(by).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    rows = px.select(by, "y", "x", "value").join(size, by).select(F.col(by).cast("string").alias("name"), "height", "width", "y", "x", F.col("value").cast("int").alias("value"))
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 200)):
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, file = None, None
 
-        def done() -> pa.RecordBatch:
-            file.close()
-            return pa.record_batch([pa.array([name]), pa.array([file.path]), pa.array([file.height], pa.int32()), pa.array([file.width], pa.int32())], ["name", "path", "height", "width"])
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
 
+
+def write_tiffs(px: DataFrame, folder: str, by: str = "image_id", rows_per_strip: int = 256) -> DataFrame:
+    """px(by, y, x, value) to a 16-bit file for each image, folder/NAME.tif; (by, path, height, width), once they are written.
+
+    Values are those of unsigned 16 bits; pixels that don't exist are 0. Images are dealt by sections of whole rows, some
+    SECTION_PIXELS each or one row, which a task holds one at a time; pixels are packed for them, six bytes each, before
+    they are dealt. Files of an image's sections are then copied one after another into its own. The images' sizes are
+    worked out at once, and give the number of tasks.
+    """
+    size = _cut(px.groupBy(by).agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), F.count("*").alias("n")))
+    tasks = 1 + (size.agg(F.sum("n")).first()[0] or 0) // TASK_PIXELS
+    size = size.select(by, "height", "width", F.greatest(F.lit(1), F.expr(f"cast({SECTION_PIXELS} div width as int)")).alias("per"))
+    columns = [F.col(by).cast("string").alias("name"), "height", "width", "per", F.expr("cast(y div per as int)").alias("section"), F.expr("cast(y % per * width + x as int)").alias("place"), F.col("value").cast("int").alias("value")]
+    rows = px.select(by, "y", "x", "value").join(size, by).select(*columns)
+    fields = [("name", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("per", pa.int32()), ("section", pa.int32())]
+    runs, parts = pa.schema([*fields, ("places", pa.binary()), ("values", pa.binary())]), pa.schema([*fields, ("path", pa.string())])
+    files = pa.schema([("name", pa.string()), ("path", pa.string()), ("height", pa.int32()), ("width", pa.int32())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The pixels of a batch that lie in the same section as one row."""
         for batch in batches:
-            frame = batch.to_pandas()
-            for key, part in frame.groupby("name", sort=False):
-                if key != name:
-                    if file is not None:
-                        yield done()
-                    name, file = key, _Strips(f"{folder}/{key}.tif", int(part["height"].iloc[0]), int(part["width"].iloc[0]), rows_per_strip)
-                file.add(part["y"].to_numpy(), part["x"].to_numpy(), part["value"].to_numpy())
-        if file is not None:
+            if not batch.num_rows:
+                continue
+            code, section, place, value = (c.to_numpy(zero_copy_only=False) for c in (batch.column(0).dictionary_encode().indices, *(batch.column(k) for k in (4, 5, 6))))
+            order = np.lexsort((section, code))
+            code, section, place, value = code[order], section[order], place[order].astype("<i4"), value[order].astype("<u2")
+            edges = np.flatnonzero((code[1:] != code[:-1]) | (section[1:] != section[:-1])) + 1
+            for a, b in pairwise([0, *edges.tolist(), len(code)]):
+                yield *(batch.column(k)[int(order[a])].as_py() for k in range(5)), place[a:b].tobytes(), value[a:b].tobytes()
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """A file for each section; an image of one section has its own file at once."""
+        key, block = None, None
+
+        def done() -> tuple:
+            name, height, width, per, section = key
+            path = f"{folder}/{name}.tif"
+            if per < height:
+                path = f"{path}.{uuid.uuid4().hex}.part"
+            _put(path, [block.tobytes()] if per < height else [_head(height, width, rows_per_strip), block.tobytes()])
+            return *key, path
+
+        for *here, places, values in _rows_of(batches):
+            if here != key:
+                if key is not None:
+                    yield done()
+                key, (_, height, width, per, k) = here, here
+                block = np.zeros((min(per, height - k * per), width), "<u2")
+            block.ravel()[np.frombuffer(places, "<i4")] = np.frombuffer(values, "<u2")
+        if key is not None:
             yield done()
 
-    sorted_rows = rows.repartition("name").sortWithinPartitions("name", "y")
-    written = sorted_rows.mapInArrow(run, "name string, path string, height int, width int")
-    return written.select(F.col("name").cast(px.schema[by].dataType).alias(by), "path", "height", "width")
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (name, height, width, per), own in groupby(_rows_of(batches), itemgetter(0, 1, 2, 3)):
+            path = f"{folder}/{name}.tif"
+            if per < height:
+                _join_sections(path, height, width, rows_per_strip, per, [r[4:] for r in own])
+            yield name, path, height, width
+
+    of_section = "name string, height int, width int, per int, section int"
+    dealt = rows.mapInArrow(lambda batches: _in_batches(packed(batches), runs), f"{of_section}, places binary, values binary").repartition(tasks, "name", "section").sortWithinPartitions("name", "section")
+    written = dealt.mapInArrow(lambda batches: _in_batches(sections(batches), parts), f"{of_section}, path string")
+    whole = written.repartition("name").sortWithinPartitions("name", "section").mapInArrow(lambda batches: _in_batches(joined(batches), files), "name string, path string, height int, width int")
+    return whole.select(F.col("name").cast(px.schema[by].dataType).alias(by), "path", "height", "width")
 
 
 def write_omezarr(px: DataFrame, path: str, channels: Sequence[str], height: int, width: int, chunk: tuple[int, int] = (1024, 1024), fill: int = 0) -> int:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 import struct
 import zlib
 
@@ -70,6 +71,25 @@ def test_written_files_come_back(spark, tmp_path, image):
     assert rasters.write_tiffs(df.where("false"), f"{tmp_path}/none").count() == 0
 
 
+def test_an_image_is_dealt_by_sections(spark, tmp_path, image, monkeypatch):
+    """Sections of four rows go to many tasks, not an image to one; rows without pixels are 0, and a small image has its own file at once."""
+    monkeypatch.setattr(rasters, "SECTION_PIXELS", 4 * 29)
+    monkeypatch.setattr(rasters, "TASK_PIXELS", 100)
+    px = [(1, y, x, int(image[y, x])) for y in range(37) for x in range(29) if y < 3 or y > 20] + [(2, 0, 0, 7)]
+    made = rasters.write_tiffs(spark.createDataFrame(px, "image_id long, y int, x int, value int").repartition(3), str(tmp_path), rows_per_strip=5)
+    assert re.search(rf"hashpartitioning\(name#\d+, section#\d+, {1 + len(px) // 100}\)", made._jdf.queryExecution().executedPlan().toString())
+    want = image.copy()
+    want[3:21] = 0
+    for _ in range(2):  # the second time, all sections are gone
+        assert {(r.image_id, r.height, r.width) for r in made.collect()} == {(1, 37, 29), (2, 1, 1)}
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["1.tif", "2.tif"]
+        assert as_table(rasters.load_tiffs(spark, f"{tmp_path}/1.tif", ((None, None), (None, None)))) == table(want)
+        assert as_table(rasters.load_tiffs(spark, f"{tmp_path}/2.tif", ((None, None), (None, None)))) == {(0, 0): 7}
+    with pytest.raises(FileNotFoundError):
+        rasters._join_sections(f"{tmp_path}/3.tif", 8, 29, 5, 4, [(0, f"{tmp_path}/3.part")])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1.tif", "2.tif"]
+
+
 def read_blocks(reader, monkeypatch, kind, name):
     """How many blocks a reader opens over all its partitions, and its rows."""
     seen, own = [], getattr(kind, name)

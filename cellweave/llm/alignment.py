@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,10 @@ from . import common
 from .tokens import PieceEncoder, byte_bpe_path
 from .tokens import byte_level as _byte_level
 
-#: Text bytes aligned at once (a longer document is still taken whole), and known pieces that a worker keeps for each side.
+#: Text bytes encoded at once, whose id pairs are listed together, and known pieces that a worker keeps for each side.
 SLICE_BYTES, ENTRIES = 2 << 20, 250_000
+#: Text bytes of a slice aligned at once (a longer document is still taken whole): some 100 bytes for each are needed meanwhile.
+ALIGNED_BYTES = 256 << 10
 
 
 def piece_bpe_path() -> str:
@@ -42,6 +44,11 @@ class _Side(PieceEncoder):
     entries = ENTRIES
     token_bytes: list[bytes]
 
+    def _spell(self) -> None:
+        """Token bytes as one Arrow array, and their numbers; set once the vocabulary is read."""
+        self.spelling = pa.array(self.token_bytes, pa.large_binary())
+        self.token_sizes = np.array([len(t) for t in self.token_bytes])
+
     def _forget(self) -> None:
         super()._forget()
         self.wrong = np.zeros(0, bool)
@@ -55,9 +62,19 @@ class _Side(PieceEncoder):
     def _remember(self, pieces: list[bytes]) -> None:
         n = len(self.known)
         super()._remember(pieces)
-        ids, begins = self.flat[self.begins[n] :].tolist(), (self.begins[n:] - self.begins[n]).tolist()
-        spelt = (b"".join(map(self.token_bytes.__getitem__, ids[a:b])) for a, b in zip(begins[:-1], begins[1:], strict=True))
-        self.wrong = np.append(self.wrong, np.fromiter((a != b for a, b in zip(spelt, pieces, strict=True)), bool, len(pieces)))
+        self.wrong = np.append(self.wrong, self._misspelt(self.flat[self.begins[n] :], self.begins[n:] - self.begins[n], pieces))
+
+    def _misspelt(self, ids: np.ndarray, begins: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Which pieces differ from their tokens' bytes: in length, or else byte by byte."""
+        asked = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        wrong = np.diff(np.append(0, np.cumsum(self.token_sizes[ids]))[begins]) != asked
+        same = ~wrong
+        spelt = self.spelling.take(pa.array(ids[np.repeat(same, np.diff(begins))], pa.int64()))
+        ours, theirs = (np.frombuffer(x or b"", np.uint8) for x in (spelt.buffers()[2], b"".join(compress(pieces, same))))
+        ends = np.append(0, np.cumsum(asked[same]))
+        differ = np.append(0, np.cumsum(ours[: ends[-1]] != theirs))
+        wrong[same] = np.diff(differ[ends]) > 0
+        return wrong
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, where each text's begin, and whether the text's tokens spell it."""
@@ -77,6 +94,7 @@ class ByteLevelSide(_Side):
         self.token_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.token_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self._spell()
 
 
 def _mark_spaces(data: np.ndarray, cut: np.ndarray) -> None:
@@ -99,6 +117,7 @@ class SentencePieceSide(_Side):
             raise ValueError(f"pieces go on after white space: {inner[:3]}")
         self.token_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.model.piece_to_id("▁")
+        self._spell()
         self._forget()
 
     def _encode(self, pieces: list[bytes]) -> list[list[int]]:
@@ -110,7 +129,7 @@ class SentencePieceSide(_Side):
 
 @dataclass
 class Aligned:
-    """A batch of documents, those with tokens joined end to end. Token places are within the batch."""
+    """Some documents, those with tokens joined end to end. Token places are within them."""
 
     ids_a: np.ndarray
     ids_b: np.ndarray
@@ -132,7 +151,7 @@ def _covering(ours: np.ndarray, doc: np.ndarray, theirs: np.ndarray, their_doc:
 
 def _kept(flat: np.ndarray, at: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.where(ok, np.diff(at), 0)
-    return flat[np.repeat(ok, np.diff(at))].astype(np.int64), n
+    return flat[np.repeat(ok, np.diff(at))], n
 
 
 class Aligner:
@@ -140,7 +159,7 @@ class Aligner:
 
     def __init__(self, a: ByteLevelSide, b: SentencePieceSide) -> None:
         self.a, self.b = a, b
-        self.size_a, self.size_b = (np.array([len(t) for t in side.token_bytes]) for side in (a, b))
+        self.size_a, self.size_b = a.token_sizes, b.token_sizes
         after = lambda n, ends: [f"{i}{e}".encode() for i in range(n) for e in ends]
         self.words = pa.array(after(len(self.size_a), ",|") + after(len(self.size_b), ",;"), pa.large_binary())
 
@@ -149,16 +168,28 @@ class Aligner:
     def of(path_a: str, path_b: str) -> Aligner:
         return Aligner(ByteLevelSide.of(path_a), SentencePieceSide.of(path_b))
 
-    def align(self, texts: pa.Array) -> Aligned:
+    def aligned(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+        """A slice's rows (texts in its second column), encoded together, and aligned some at a time."""
+        flat_a, n_a, flat_b, n_b = self._encoded(batch.column(1))
+        ends_a, ends_b, at = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b)), 0
+        for rows in common.slices(batch, 1, ALIGNED_BYTES):
+            to = at + len(rows)
+            yield rows, self._align(flat_a[ends_a[at] : ends_a[to]].astype(np.int64), n_a[at:to], flat_b[ends_b[at] : ends_b[to]].astype(np.int64), n_b[at:to])
+            at = to
+        pa.default_memory_pool().release_unused()  # what a slice has freed doesn't stay with the worker
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each side's ids of all texts that have tokens, and the number of each text."""
         spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()).fill_null(""), pa.scalar("", pa.large_string()))
         flat_a, at_a, ok_a = self.a.encoded(spaced)
         flat_b, at_b, ok_b = self.b.encoded(spaced)
         ok = ok_a & ok_b & (pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) > 0)
-        ids_a, n_a = _kept(flat_a, at_a, ok)
-        ids_b, n_b = _kept(flat_b, at_b, ok)
+        return *_kept(flat_a, at_a, ok), *_kept(flat_b, at_b, ok)
+
+    def _align(self, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> Aligned:
         doc_a, doc_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
         size_a, size_b = self.size_a[ids_a], self.size_b[ids_b]
-        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)  # both sides of a document have the same bytes, so ends go on over the batch
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)  # both sides of a document have the same bytes, so ends go on over documents
         start_a, start_b = end_a - size_a, end_b - size_b
         over_a, over_b = _covering(start_a, doc_a, start_b, doc_b), _covering(start_b, doc_b, start_a, doc_a)
         more = start_a[over_b] < start_b  # equal starts are found from both sides
@@ -208,8 +239,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(path_a, path_b)
         for batch in batches:
-            for part in common.slices(batch, 1, SLICE_BYTES):
-                x = aligner.align(part.column(1))
+            for part, x in chain.from_iterable(map(aligner.aligned, common.slices(batch, 1, SLICE_BYTES))):
                 first_a, first_b = np.cumsum(x.n_a) - x.n_a, np.cumsum(x.n_b) - x.n_b
                 doc_of = np.repeat(np.arange(len(x.n_a)), x.n_a)
 
@@ -234,12 +264,17 @@ def link_table(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = Aligner.of(path_a, path_b), TaskContext.get().partitionId() << 32
         for part in chain.from_iterable(common.slices(b, 1, SLICE_BYTES) for b in batches):
-            x = aligner.align(part.column(1))
-            pairs, codes, counts = np.unique(x.ids_a[x.link_a] << 32 | x.ids_b[x.link_b], return_inverse=True, return_counts=True)
+            sizes, linked, digests = [], [], []
+            for _, x in aligner.aligned(part):
+                sizes.append((x.n_a, x.n_b, x.n_links))
+                linked.append(x.ids_a[x.link_a] << 32 | x.ids_b[x.link_b])
+                digests += aligner.digests(x)
+            pairs, codes, counts = np.unique(np.concatenate(linked), return_inverse=True, return_counts=True)
+            n_a, n_b, n_links = map(np.concatenate, zip(*sizes, strict=True))
             n = len(part)
             none = lambda k, kind: pa.nulls(k, kind)
             longs = pa.list_(pa.int64())
-            columns = [pa.array(np.full(n, number)), part.column(0), pa.array(x.n_a), pa.array(x.n_b), pa.array(x.n_links), pa.array(aligner.digests(x)), _lists(codes, x.n_links), none(n, longs), none(n, longs)]
+            columns = [pa.array(np.full(n, number)), part.column(0), pa.array(n_a), pa.array(n_b), pa.array(n_links), pa.array(digests), _lists(codes, n_links), none(n, longs), none(n, longs)]
             names = [f.split(" ")[0] for f in _LINKS.split(", ")]
             yield pa.record_batch(columns, names)
             listed = [pa.array([number]), *[none(1, c.type) for c in columns[1:7]], pa.array([pairs], longs), pa.array([counts], longs)]

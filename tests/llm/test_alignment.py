@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +94,31 @@ def test_sides_equal_the_libraries(libraries):
             assert not fits or flat[a:b].tolist() == [i for i, _ in tokens], t
 
 
+def test_misspelt_pieces_of_equal_length():
+    for side in (alignment.ByteLevelSide(byte_bpe_path()), alignment.SentencePieceSide(alignment.piece_bpe_path())):
+        pieces = [b" the", " 日本µ".encode(), b" of", b" ,", b" a"]
+        flat, n = side._encode_flat(pieces)
+        begins = np.append(0, np.cumsum(n))
+        assert not side._misspelt(flat, begins, pieces).any()
+        assert side._misspelt(flat, begins, [b" thE", " 日本μ".encode(), b" of", b" , ", b""]).tolist() == [True, True, False, True, True]
+        assert side._misspelt(flat[:0], begins[:1], []).tolist() == []
+
+
+def test_memory_of_a_slice(monkeypatch):
+    """A slice of many documents is encoded at once, not aligned at once: some 100 bytes for each of its text's would be needed."""
+    rng, words = random.Random(4), ["the", "of", "alignment,", "tokens", "Ünder", "by", "x1"]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(300)]
+    batch = pa.record_batch([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = alignment.link_table(SimpleNamespace(mapInArrow=lambda f, kinds: f), byte_bpe_path(), alignment.piece_bpe_path())
+    list(run(iter([batch.slice(0, 1)])))  # the vocabularies are read
+    tracemalloc.start()
+    assert sum(map(len, run(iter([batch])))) == 301
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(map(len, texts)), peak
+
+
 def test_equals_brute_force(libraries, spark):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(odd_texts(2, 300))]
     rows += [(900, None, "en", "s", 1), (None, "a b", None, None, None), (None, "a b", None, None, None), (3, "again three", "en", "s", 1)]

@@ -23,6 +23,8 @@ TABLE = "doc_id long, n_bytes long, prefix_tokens array<int>"
 FORMAT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10)}
 #: Text bytes whose table is built at once: four bytes an entry, a few times over.
 SLICE_BYTES = 2 << 20
+#: Entries of a table in which the last one within a budget mostly lies, from the first one at the budget on.
+NEAR = 64
 
 
 def prefix_table(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,11 +65,22 @@ def within(table: DataFrame, budget: int) -> DataFrame:
 
     chars = F.size("prefix_tokens")
     n_tokens = F.when(chars > 0, F.element_at("prefix_tokens", F.greatest(chars, F.lit(1)))).otherwise(0)
-    # one pass that holds no second array, over texts beyond the budget only
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("fit"), F.lit(0).alias("tokens"))
+    # texts beyond the budget only: steps over the few entries from the first one at the budget on, where no later one is
+    # within it; else one pass over all that holds no second array
+    start = lambda at: F.struct(at.alias("at"), F.lit(0).alias("fit"), F.lit(0).alias("tokens"))
     take = lambda acc, n: F.when(n <= budget, F.struct((acc["at"] + 1).alias("at"), (acc["at"] + 1).alias("fit"), n.alias("tokens"))).otherwise(F.struct((acc["at"] + 1).alias("at"), acc["fit"].alias("fit"), acc["tokens"].alias("tokens")))
-    fit = F.when(F.col("n_tokens") <= budget, F.struct(chars.alias("fit"), F.col("n_tokens").alias("tokens"))).otherwise(F.aggregate("prefix_tokens", start, take, lambda acc: F.struct(acc["fit"].alias("fit"), acc["tokens"].alias("tokens"))))
-    rows = table.select("doc_id", "n_bytes", "prefix_tokens", n_tokens.alias("n_tokens")).withColumn("fit", fit)
+    last = lambda entries, at: F.aggregate(entries, start(at), take, lambda acc: F.struct(acc["fit"].alias("fit"), acc["tokens"].alias("tokens")))
+    first = F.array_position("prefix_tokens", F.lit(budget)).cast("int")
+    part = lambda at, n: F.when((F.col("n_tokens") > budget) & (F.col("first") > 0), F.slice("prefix_tokens", F.greatest(at, F.lit(1)), n))
+    later = F.array_min(part(F.col("first") + NEAR, chars))
+    fit = (
+        F.when(F.col("n_tokens") <= budget, F.struct(chars.alias("fit"), F.col("n_tokens").alias("tokens")))
+        .when((F.col("first") > 0) & (F.coalesce(F.col("later"), F.lit(budget + 1)) > budget), last(F.col("near"), F.col("first") - 1))
+        .otherwise(last(F.col("prefix_tokens"), F.lit(0)))
+    )
+    rows = table.select("doc_id", "n_bytes", "prefix_tokens", n_tokens.alias("n_tokens"))
+    rows = rows.withColumn("first", F.when(F.col("n_tokens") > budget, first))
+    rows = rows.withColumns({"near": part(F.col("first"), F.lit(NEAR)), "later": later}).withColumn("fit", fit)
     return rows.select("doc_id", "n_bytes", F.col("n_tokens").cast("long").alias("n_tokens"), (F.col("n_tokens") > budget).alias("over_limit"), F.col("fit.fit").cast("long").alias("fit_chars"), F.col("fit.tokens").cast("long").alias("fit_tokens"))
 
 

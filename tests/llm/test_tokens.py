@@ -223,6 +223,26 @@ def test_truncation_from_the_table(spark, rows, budget):
         assert got == {i: len(library.encode((t or "")[:n], add_special_tokens=False).ids) for i, t in some}
 
 
+@pytest.mark.parametrize("near", [1, 3, 64])
+def test_last_entry_within_a_budget(spark, monkeypatch, near):
+    """Counts that skip the budget, fall below it later, near or far, or stay at it: the few entries stepped over or all, the last one is found."""
+    monkeypatch.setattr(token_counts, "NEAR", near)
+    rng = random.Random(near)
+    tables = [[], [0], [7], [5, 5, 5, 6], [4, 6], [6, 5, 6], [5, *[6] * 200, 5, 6], [*range(1, 300)], [*range(1, 300), 4, 9], [5] * 70 + [6], [6, 7], [5] + [6] * 62 + [3, 9], [5] + [6] * 63 + [3, 9]]
+    for _ in range(150):
+        tables.append([0])
+        for _ in range(rng.randint(0, 150)):
+            tables[-1].append(max(0, tables[-1][-1] + rng.choice([0, 0, 0, 1, 1, 2, -1, -3])))
+    rows = [(i, len(t), t) for i, t in enumerate(tables)]
+    stored = spark.createDataFrame(rows, token_counts.TABLE)
+    for budget in (0, 5, 40):
+        got = {r.doc_id: (r.n_tokens, r.over_limit, r.fit_chars, r.fit_tokens) for r in token_counts.within(stored, budget).collect()}
+        for i, _, t in rows:
+            n = t[-1] if t else 0
+            best = max((k + 1 for k, x in enumerate(t) if x <= budget), default=0)
+            assert got[i] == (n, n > budget, best, t[best - 1] if best else 0), (t, budget)
+
+
 def test_unspaced_text_over_the_limit(spark):
     """81,000 bytes without an ASCII blank: the table has an entry for each character, and the cut is no empty text."""
     text = "日本語文章" * 5400

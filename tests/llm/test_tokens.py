@@ -51,6 +51,48 @@ def test_every_prefix_is_exact(path, short, texts):
     assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [every_prefix(library, t) for t in texts] + [[], []]
 
 
+class Asked:
+    """A part of the library, with the texts that it was given."""
+
+    def __init__(self, part, texts):
+        self._part, self._texts = part, texts
+
+    def __getattr__(self, name):
+        return getattr(self._part, name)
+
+    def tokenize(self, text):
+        self._texts.append(text)
+        return self._part.tokenize(text)
+
+    def encode_batch_fast(self, texts, **how):
+        self._texts.extend(texts)
+        return self._part.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_new_words_are_counted_together(path, monkeypatch):
+    """New words with their blanks and marks are right at every prefix, and the library isn't asked prefix by prefix."""
+    rng = random.Random(4)
+    parts = ["th", "on", "re", "Enn", "ß", "É", "ê", "UX", "ÿ", "µ", "ing", "ä", "ch", "Q", "s"]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(6000)]
+    texts = ["".join(rng.choice([" ", " ", "\n", "\t", "\r\n", "\x0c", ""]) + w + rng.choice(["", "", ".", ",", "&&&", ".)", "---", "'s", "1", "<", "\0", "\u0301"]) for w in words[k : k + 20]) for k in range(0, 2000, 20)]
+    asked: list[str] = []
+    counter, library = prefixes.PrefixCounter(path), Tokenizer.from_file(path)
+    counter.model, counter.tokenizer = Asked(counter.model, asked), Asked(counter.tokenizer, asked)
+    counter.merges.open = Asked(counter.merges.open, asked)
+    plain = [" " + w for w in words]
+    got, at = counter.table(pa.array(plain))
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [every_prefix(library, t) for t in plain]
+    assert len(asked) * 4 < len({t[:k] for t in plain for k in range(2, len(t) + 1)})
+    monkeypatch.setattr(prefixes, "TOGETHER", 500)
+    monkeypatch.setattr(prefixes, "CACHE_ENTRIES", 1500)
+    monkeypatch.setattr(prefixes, "PAIR_BITS", 4)  # pairs that take each other's slots
+    counter = prefixes.PrefixCounter(path)
+    for part in (texts[:50], texts[50:], texts[:50]):
+        got, at = counter.table(pa.array(part))
+        assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [every_prefix(library, t) for t in part]
+
+
 UNSPACED = ["日本語の文章はスペースなしで続きます。" * 12, "x1" * 150, "n" * 300, "ab" * 200, "-" * 300, " " * 300, "\u3000" * 90 + "x", "don't" * 60, "ไทยไม่มีช่องว่าง" * 15, "か\u3099" * 120, "\u1112\u1161\u11ab" * 60, "İ" * 120, "é" * 130, "<|endoftext|>" * 20, "QmFzZTY0+/=" * 30, "😀" * 80]
 
 

@@ -25,7 +25,7 @@ SHORT = 48  # at most 60: a character has at most four tokens
 #: Characters after a pre-token from which its end no longer depends on what follows (contractions, blanks before a word).
 SETTLED = 3
 #: Pieces and characters of pieces that a worker remembers; beyond either it starts anew. Bounds memory, never results.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 8 << 20
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 8 << 20
 #: Prefixes handed to the library at once.
 ENCODED_AT_ONCE = 10_000
 #: Letters that normalise one by one. A piece of a blank or none, letters, and ASCII marks or none is plain: the prefixes of its word are counted by the programme.
